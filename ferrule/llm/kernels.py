@@ -55,15 +55,15 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about `most` bytes of text each (a longer text makes a part of its own)."""
+def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 20, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about `most` bytes of text and `rows` rows at most (a longer text makes a part of its own)."""
     column = batch.column(text)
     sizes = np.frombuffer(column.cast(pa.large_string()).fill_null("").buffers()[1], np.int64)
     ends = sizes[1 : len(column) + 1] - sizes[0]
     at = 0
     while at < len(column):
         base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, base + most, "right"))))
         yield batch.slice(at, to - at)
         at = to
 

@@ -25,6 +25,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ferrule.llm.toxicity import fit, score
+
+    docs = _table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ferrule.llm.mixing import draws, measure
     from ferrule.llm.staging import stage
@@ -34,8 +41,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.groupBy("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), "_s", "_at").agg(F.sum("_words").alias("taken")).drop("_s", "_at")
 
 
-#: In the control conversation both texts hold control strings.
-CONTROL = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ferrule.llm.language_id import fit, held_out, predict
+
+    docs = _table(spark, sf_dir, "documents")
+    model = fit(docs.where(~held_out(F.col("doc_id"))))
+    return predict(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), model)
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +73,9 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
+    "op4_language_id": op4_language_id,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_url_filter": op9_url_filter,
