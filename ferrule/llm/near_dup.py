@@ -3,13 +3,14 @@
 A document's set is its distinct word shingles, as 64-bit hashes. Each hash falls into one of BANDS * ROWS registers; of the least
 value in a register the sketch keeps the number of leading zeros and MANTISSA bits after them. A register into which none falls takes
 the least of the set under a hash of its own, so small sets fill theirs too. Equal runs of ROWS registers (a band) make candidates;
-register matches, corrected for chance collisions, estimate the Jaccard similarity, and pairs within five standard errors
+register matches, corrected for chance collisions, estimate the Jaccard similarity, and pairs within 4.5 standard errors
 of the threshold or above it are checked on the full sets, made anew from the texts.
 
-Equal sets are one class from the start (by a 64-bit digest of the set). A bucket's members are first compared with its least class alone, which joins a group of any
-size by a linear number of pairs. Only buckets that still hold several components are looked at again: members of different
-components are paired if the bucket has at most SMALL classes, and larger buckets are split by each of the other bands and
-treated alike. So no bucket's pairs are all made, and no candidate between different components is left out.
+Equal sets are one class from the start (by a 64-bit digest of the set). A bucket's members are first compared with one of them alone, in
+TURNS turns with another each time, which joins a group of any size by a linear number of pairs. Only buckets that then
+still hold several components are looked at again: members of different components are paired if that makes at most PER_MEMBER pairs
+for each member, and larger buckets are split by SPLIT of the other bands and treated alike. So no bucket's pairs are all made,
+and no candidate between different components is left out.
 
 With 48 bands of 6 registers a pair at similarity 0.8 shares no band with probability 5e-7.
 
@@ -34,8 +35,7 @@ from ferrule.llm.staging import stage
 
 BANDS, ROWS, MANTISSA = 48, 6, 10
 REGISTERS = BANDS * ROWS
-SMALL = 200
-LEVELS = 3
+LEVELS, TURNS, PER_MEMBER, SPLIT = 3, 2, 20, 8
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = np.random.default_rng(8).integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -115,15 +115,16 @@ class Search:
     def __init__(self, docs: DataFrame, sketched: DataFrame, width: int, percent: int, doc_id: str, text: str):
         self.width, self.percent = width, percent
         self.texts = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), F.col(text).alias("text"))
-        self.rows = sketched
-        one = F.min_by(F.struct("doc_id", "row_key", "registers"), F.struct("doc_id", "row_key"))
+        one = F.min_by(F.struct("doc_id", "row_key", "registers", "bands"), F.struct("doc_id", "row_key"))
         self.classes = stage(sketched.where("size(bands) > 0").groupBy("cls").agg(one.alias("one")).select("cls", "one.*"), "classes")
         self.edges: DataFrame | None = None
+        self.roots: DataFrame | None = None
+        self.checked: list[DataFrame] = []
 
     def check(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (x, y) of classes, those that the full sets link, as edges (a, b)."""
         width, percent = self.width, self.percent
-        least = percent / 100 - 5 * float(np.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS))
+        least = percent / 100 - 4.5 * float(np.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS))
         side = lambda c: self.classes.select(F.col("cls").alias(c), F.col("doc_id").alias(f"id_{c}"), F.col("row_key").alias(f"key_{c}"), F.col("registers").alias(f"registers_{c}"))
         both = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "id_x", "key_x", "id_y", "key_y", "registers_x", "registers_y")
         kept = [f for f in both.schema.fields if not f.name.startswith("registers")]
@@ -157,41 +158,62 @@ class Search:
 
         return stage(full.mapInArrow(linked, "a long, b long"), "links")
 
-    def label(self, rows: DataFrame) -> DataFrame:
-        """rows (key, cls) with label: the root of the class's component so far."""
-        if self.edges is None:
-            return rows.withColumn("label", F.col("cls"))
-        roots = self.roots.select(F.col("node").alias("cls"), "root")
-        return rows.join(roots, "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("label"))
+    def root_of(self, rows: DataFrame, cls: str, name: str) -> DataFrame:
+        """rows with the root, as `name`, of the component that the class in column cls belongs to so far."""
+        if self.roots is None:
+            return rows.withColumn(name, F.col(cls))
+        return rows.join(self.roots.select(F.col("node").alias(cls), F.col("root").alias("_root")), cls, "left").withColumn(name, F.coalesce("_root", cls)).drop("_root")
 
     def link(self, pairs: DataFrame) -> None:
-        found = self.check(stage(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs"))
-        self.edges = found if self.edges is None else self.edges.unionByName(found)
-        self.roots = components(self.edges)
-
-    def open(self, rows: DataFrame, name: str) -> DataFrame:
-        """Of rows (key, cls), those in buckets with several components: key, cls, label, hub (least class), size."""
-        labelled = self.label(rows)
-        several = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("cls", "label")).alias("hub"), F.count(F.lit(1)).alias("size")).where("lo < hi").drop("lo", "hi")
-        return stage(labelled.join(several, "key"), name)
-
-    def run(self) -> DataFrame:
-        """node and root for every class that has a link."""
-        rows = self.rows.where("size(bands) > 0").select("cls", F.explode("bands").alias("key"))
+        """Checks pairs (x, y) that weren't checked before."""
+        new = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        for old in self.checked:
+            new = new.join(old, ["x", "y"], "left_anti")
+        new = stage(new, "pairs")
+        self.checked.append(new)
+        if new.isEmpty():
+            return
+        found = self.check(new)
+        if not found.isEmpty():
+            self.edges = found if self.edges is None else self.edges.unionByName(found)
+            self.roots = components(self.edges)
+
+    def open(self, rows: DataFrame, turn: int) -> DataFrame:
+        """Of rows (key, cls), those in buckets with several components: key, cls, label (root), hub (a class of the bucket, another each turn), size."""
+        flip = F.lit(0 if turn == 0 else int(_SEEDS[turn] >> np.uint64(2)))
+        labelled = self.root_of(rows, "cls", "label")
+        several = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.col("cls").bitwiseXOR(flip)).alias("hub"), F.count(F.lit(1)).alias("size")).where("lo < hi")
+        return stage(labelled.join(several.select("key", F.col("hub").bitwiseXOR(flip).alias("hub"), "size"), "key"), "opened")
+
+    def run(self) -> DataFrame | None:
+        """node and root for every class that has a link; None if none has."""
+        rows = self.classes.select("cls", F.explode("bands").alias("key"))
         for level in range(LEVELS + 1):
-            opened = self.open(rows, f"opened-{level}")
-            members = opened.select("key", "cls").distinct()
-            self.link(opened.where("label <> hub.label").select(F.col("hub.cls").alias("x"), F.col("cls").alias("y")))
-            left = self.open(members, f"left-{level}")
-            a = left.where((F.col("size") <= SMALL) | F.lit(level == LEVELS)).select("key", "cls", "label")
-            if not a.isEmpty():
-                b = a.select("key", F.col("cls").alias("y"), F.col("label").alias("other"))
-                self.link(a.withColumnRenamed("cls", "x").join(b, "key").where("label < other").select("x", "y"))
-            large = left.where(F.col("size") > SMALL).select("key", "cls")
+            for turn in range(TURNS):
+                opened = self.open(rows, level * TURNS + turn)
+                if opened.isEmpty():
+                    return self.roots
+                stars = opened.where("cls <> hub").select("hub", F.col("cls").alias("y"), "label").distinct()
+                self.link(self.root_of(stars, "hub", "other").where("label <> other").select(F.col("hub").alias("x"), "y"))
+                rows = opened.select("key", "cls")
+            left = self.open(rows, 0)
+            parts = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
+            bounds = parts.groupBy("key").agg(F.max("n").alias("most"), F.first("size").alias("size"), F.sum(F.col("n") * F.col("n")).alias("inside"))
+            # pairs across components, for each member at most PER_MEMBER
+            few = ((F.col("size") * F.col("size") - F.col("inside")) / 2 <= PER_MEMBER * F.col("size")) | F.lit(level == LEVELS)
+            judged = stage(bounds.select("key", "most", few.alias("few")), "judged")
+            main = parts.join(judged.where("few"), "key").where("n = most").groupBy("key").agg(F.max("label").alias("main"))
+            ready = left.select("key", "cls", "label").join(main, "key")
+            outer = ready.where("label <> main").select("key", F.col("cls").alias("x"), F.col("label").alias("other"))
+            across = outer.join(ready, "key").where("label <> other and (label = main or label < other)")
+            self.link(across.select("x", F.col("cls").alias("y")))
+            large = left.join(judged.where("not few"), "key", "left_semi").select("key", "cls")
             if level == LEVELS or large.isEmpty():
                 break
-            bands = self.rows.where("size(bands) > 0").select("cls", "bands").dropDuplicates(["cls"])
-            rows = large.join(bands, "cls").select("cls", "key", F.explode("bands").alias("band")).where("key <> band").select("cls", F.xxhash64("key", "band").alias("key"))
+            # A large bucket's members share it again in some of SPLIT other bands, the same ones for all of them.
+            bands = F.transform(F.sequence(F.lit(0), F.lit(SPLIT - 1)), lambda j: F.get("bands", F.pmod(F.xxhash64("key", j), F.lit(BANDS)).cast("int")))
+            split = large.join(self.classes.select("cls", "bands"), "cls").select("cls", "key", F.explode(F.array_distinct(bands)).alias("band"))
+            rows = split.where("key <> band").select("cls", F.xxhash64("key", "band").alias("key"))
         return self.roots
 
 
@@ -199,7 +221,8 @@ def decide(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "do
     """For every row: doc_id, row_key, n_shingles, component_id, kept."""
     sketched = stage(sketch_documents(docs, width, doc_id, text), "sketches")
     roots = Search(docs, sketched, width, percent, doc_id, text).run()
-    rows = sketched.select("doc_id", "row_key", "n_shingles", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    rows = sketched.select("doc_id", "row_key", "n_shingles", "cls")
+    rows = rows.withColumn("root", F.col("cls")) if roots is None else rows.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     found = rows.join(least, "root", "left").withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")))
     return found.select("doc_id", "row_key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
