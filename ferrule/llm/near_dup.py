@@ -7,7 +7,7 @@ register matches, corrected for chance collisions, estimate the Jaccard similari
 of the threshold or above it are checked on the full sets, made anew from the texts.
 
 Equal sets are one class from the start (by a 64-bit digest of the set). A bucket's members are first compared with one of them alone, in
-TURNS turns with another each time, which joins a group of any size by a linear number of pairs. Only buckets that then
+TURNS turns with another each time, and each class makes one pair a turn, which joins a group of any size by a linear number of pairs. Only buckets that then
 still hold several components are looked at again: members of different components are paired if that makes at most PER_MEMBER pairs
 for each member, and larger buckets are split by SPLIT of the other bands and treated alike. So no bucket's pairs are all made,
 and no candidate between different components is left out.
@@ -35,7 +35,7 @@ from ferrule.llm.staging import stage
 
 BANDS, ROWS, MANTISSA = 48, 6, 10
 REGISTERS = BANDS * ROWS
-LEVELS, TURNS, PER_MEMBER, SPLIT = 3, 2, 20, 8
+LEVELS, TURNS, PER_MEMBER, SPLIT = 3, 3, 10, 8
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = np.random.default_rng(8).integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -164,19 +164,23 @@ class Search:
             return rows.withColumn(name, F.col(cls))
         return rows.join(self.roots.select(F.col("node").alias(cls), F.col("root").alias("_root")), cls, "left").withColumn(name, F.coalesce("_root", cls)).drop("_root")
 
-    def link(self, pairs: DataFrame) -> None:
-        """Checks pairs (x, y) that weren't checked before."""
-        new = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    def link(self, pairs: DataFrame, one: bool = False) -> bool:
+        """Checks pairs (x, y) that weren't checked before; `one`: one pair for each y. Returns whether there were any."""
+        new = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.col("y").alias("of")).distinct()
         for old in self.checked:
             new = new.join(old, ["x", "y"], "left_anti")
-        new = stage(new, "pairs")
-        self.checked.append(new)
+        if one:
+            new = new.groupBy("of").agg(F.min(F.when(F.col("x") == F.col("of"), F.col("y")).otherwise(F.col("x"))).alias("with"))
+            new = new.select(F.least("of", "with").alias("x"), F.greatest("of", "with").alias("y"))
+        new = stage(new.select("x", "y").distinct(), "pairs")
         if new.isEmpty():
-            return
+            return False
+        self.checked.append(new)
         found = self.check(new)
         if not found.isEmpty():
             self.edges = found if self.edges is None else self.edges.unionByName(found)
             self.roots = components(self.edges)
+        return True
 
     def open(self, rows: DataFrame, turn: int) -> DataFrame:
         """Of rows (key, cls), those in buckets with several components: key, cls, label (root), hub (a class of the bucket, another each turn), size."""
@@ -194,8 +198,10 @@ class Search:
                 if opened.isEmpty():
                     return self.roots
                 stars = opened.where("cls <> hub").select("hub", F.col("cls").alias("y"), "label").distinct()
-                self.link(self.root_of(stars, "hub", "other").where("label <> other").select(F.col("hub").alias("x"), "y"))
+                more = self.link(self.root_of(stars, "hub", "other").where("label <> other").select(F.col("hub").alias("x"), "y"), one=True)
                 rows = opened.select("key", "cls")
+                if not more:
+                    break
             left = self.open(rows, 0)
             parts = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
             bounds = parts.groupBy("key").agg(F.max("n").alias("most"), F.first("size").alias("size"), F.sum(F.col("n") * F.col("n")).alias("inside"))
