@@ -49,6 +49,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), model)
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ferrule.llm.lm_score import score
+
+    return score(_table(spark, sf_dir, "documents"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ferrule.llm.chat_format import digests, format_chats
 
@@ -68,6 +74,18 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide(_table(spark, sf_dir, "documents"), width=2, percent=80).drop("row_key")
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ferrule.llm.embedding_dup import find_links
+
+    return find_links(_table(spark, sf_dir, "embeddings"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
@@ -82,10 +100,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
     "op4_language_id": op4_language_id,
+    "op5_lm_score": op5_lm_score,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_minhash": op8_minhash,
     "op9_url_filter": op9_url_filter,
+    "op10_embeddings": op10_embeddings,
+    "pipeline": pipeline,
 }
 
 _AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -126,6 +147,15 @@ ORACLE_SQL: dict[str, str] = {
         reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
         FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) c ON c.x = d.doc_id""",
+    "op10_embeddings": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x)), true)
+                AND list_contains(list_transform(embedding, lambda x: x <> 0), true)),
+        links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+        reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+        SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.x = e.vec_id) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+        FROM embeddings e JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) c ON c.x = e.vec_id""",
     "op9_url_filter": f"""
         WITH rules(verdict, host, path) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
                 ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
