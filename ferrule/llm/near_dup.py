@@ -7,7 +7,7 @@ register matches, corrected for chance collisions, estimate the Jaccard similari
 of the threshold or above it are checked on the full sets, made anew from the texts.
 
 Equal sets are one class from the start (by a 64-bit digest of the set). A bucket's members are first compared with one of them alone, in
-TURNS turns with another each time, and each class makes one pair a turn, which joins a group of any size by a linear number of pairs. Only buckets that then
+TURNS turns with another each time (later one turn), and each class makes one pair a turn, which joins a group of any size by a linear number of pairs. Only buckets that then
 still hold several components are looked at again: members of different components are paired if that makes at most PER_MEMBER pairs
 for each member, and larger buckets are split by SPLIT of the other bands and treated alike. So no bucket's pairs are all made,
 and no candidate between different components is left out.
@@ -36,6 +36,8 @@ from ferrule.llm.staging import stage
 BANDS, ROWS, MANTISSA = 48, 6, 10
 REGISTERS = BANDS * ROWS
 LEVELS, TURNS, PER_MEMBER, SPLIT = 3, 3, 10, 8
+#: Rows of ids that may be broadcast (under 20 MB); more are joined by a shuffle.
+MAX_BROADCAST = 200_000
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = np.random.default_rng(8).integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -84,6 +86,11 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((np.mean(a == b, axis=1) - chance) / (1 - chance), 0)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """A staged df of a few numbers a row, to be broadcast if it has MAX_BROADCAST rows at most."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
+
+
 def row_key(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 
@@ -115,17 +122,18 @@ class Search:
     def __init__(self, docs: DataFrame, sketched: DataFrame, width: int, percent: int, doc_id: str, text: str):
         self.width, self.percent = width, percent
         self.texts = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), F.col(text).alias("text"))
-        one = F.min_by(F.struct("doc_id", "row_key", "registers", "bands"), F.struct("doc_id", "row_key"))
+        one = F.min_by(F.struct("doc_id", "row_key", F.col("n_shingles").cast("int").alias("n"), "registers", "bands"), F.struct("doc_id", "row_key"))
         self.classes = stage(sketched.where("size(bands) > 0").groupBy("cls").agg(one.alias("one")).select("cls", "one.*"), "classes")
-        self.edges: DataFrame | None = None
         self.roots: DataFrame | None = None
-        self.checked: list[DataFrame] = []
+        self.checked: DataFrame | None = None
 
     def check(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (x, y) of classes, those that the full sets link, as edges (a, b)."""
         width, percent = self.width, self.percent
         least = percent / 100 - 4.5 * float(np.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS))
-        side = lambda c: self.classes.select(F.col("cls").alias(c), F.col("doc_id").alias(f"id_{c}"), F.col("row_key").alias(f"key_{c}"), F.col("registers").alias(f"registers_{c}"))
+        needed = bounded(stage(pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct(), "needed"))
+        classes = self.classes.join(needed, "cls", "left_semi")
+        side = lambda c: classes.select(F.col("cls").alias(c), F.col("doc_id").alias(f"id_{c}"), F.col("row_key").alias(f"key_{c}"), F.col("registers").alias(f"registers_{c}"))
         both = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "id_x", "key_x", "id_y", "key_y", "registers_x", "registers_y")
         kept = [f for f in both.schema.fields if not f.name.startswith("registers")]
 
@@ -137,7 +145,7 @@ class Search:
 
         near = stage(both.mapInArrow(likely, T.StructType(kept)), "likely")
         needed = near.select(F.col("id_x").alias("i"), F.col("key_x").alias("k")).unionByName(near.select(F.col("id_y").alias("i"), F.col("key_y").alias("k"))).distinct()
-        texts = self.texts.join(needed, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("row_key") == F.col("k")), "left_semi")
+        texts = self.texts.join(bounded(stage(needed, "wanted")), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("row_key") == F.col("k")), "left_semi")
         texts = stage(texts.groupBy("doc_id", "row_key").agg(F.first("text").alias("text")), "texts")
         text = lambda c: texts.select(F.col("doc_id").alias(f"i_{c}"), F.col("row_key").alias(f"k_{c}"), F.col("text").alias(f"text_{c}"))
         on = lambda c: F.col(f"id_{c}").eqNullSafe(F.col(f"i_{c}")) & (F.col(f"key_{c}") == F.col(f"k_{c}"))
@@ -167,39 +175,41 @@ class Search:
     def link(self, pairs: DataFrame, one: bool = False) -> bool:
         """Checks pairs (x, y) that weren't checked before; `one`: one pair for each y. Returns whether there were any."""
         new = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.col("y").alias("of")).distinct()
-        for old in self.checked:
-            new = new.join(old, ["x", "y"], "left_anti")
+        if self.checked is not None:
+            new = new.join(self.checked, ["x", "y"], "left_anti")
         if one:
             new = new.groupBy("of").agg(F.min(F.when(F.col("x") == F.col("of"), F.col("y")).otherwise(F.col("x"))).alias("with"))
             new = new.select(F.least("of", "with").alias("x"), F.greatest("of", "with").alias("y"))
         new = stage(new.select("x", "y").distinct(), "pairs")
         if new.isEmpty():
             return False
-        self.checked.append(new)
+        self.checked = new if self.checked is None else self.checked.unionByName(new)
         found = self.check(new)
         if not found.isEmpty():
-            self.edges = found if self.edges is None else self.edges.unionByName(found)
-            self.roots = components(self.edges)
+            if self.roots is not None:  # what is joined already counts by its root alone
+                found = found.unionByName(self.roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            self.roots = components(found)
         return True
 
     def open(self, rows: DataFrame, turn: int) -> DataFrame:
-        """Of rows (key, cls), those in buckets with several components: key, cls, label (root), hub (a class of the bucket, another each turn), size."""
+        """Of rows (key, cls, n), those in buckets with several components: key, cls, n, label (root), hub (a class of the bucket, another each turn), size."""
         flip = F.lit(0 if turn == 0 else int(_SEEDS[turn] >> np.uint64(2)))
         labelled = self.root_of(rows, "cls", "label")
-        several = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.col("cls").bitwiseXOR(flip)).alias("hub"), F.count(F.lit(1)).alias("size")).where("lo < hi")
-        return stage(labelled.join(several.select("key", F.col("hub").bitwiseXOR(flip).alias("hub"), "size"), "key"), "opened")
+        several = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.col("cls").bitwiseXOR(flip).alias("id"), "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("lo < hi")
+        return stage(labelled.join(several.select("key", F.col("hub.id").bitwiseXOR(flip).alias("hub"), F.col("hub.n").alias("hub_n"), "size"), "key"), "opened")
 
     def run(self) -> DataFrame | None:
         """node and root for every class that has a link; None if none has."""
-        rows = self.classes.select("cls", F.explode("bands").alias("key"))
+        alike = lambda a, b: 100 * F.least(a, b) >= self.percent * F.greatest(a, b)  # noqa: E731  sets of other sizes can't be similar enough
+        rows = self.classes.select("cls", "n", F.explode("bands").alias("key"))
         for level in range(LEVELS + 1):
-            for turn in range(TURNS):
+            for turn in range(TURNS if level == 0 else 1):
                 opened = self.open(rows, level * TURNS + turn)
                 if opened.isEmpty():
                     return self.roots
-                stars = opened.where("cls <> hub").select("hub", F.col("cls").alias("y"), "label").distinct()
+                stars = opened.where((F.col("cls") != F.col("hub")) & alike("n", "hub_n")).select("hub", F.col("cls").alias("y"), "label").distinct()
                 more = self.link(self.root_of(stars, "hub", "other").where("label <> other").select(F.col("hub").alias("x"), "y"), one=True)
-                rows = opened.select("key", "cls")
+                rows = opened.select("key", "cls", "n")
                 if not more:
                     break
             left = self.open(rows, 0)
@@ -209,17 +219,17 @@ class Search:
             few = ((F.col("size") * F.col("size") - F.col("inside")) / 2 <= PER_MEMBER * F.col("size")) | F.lit(level == LEVELS)
             judged = stage(bounds.select("key", "most", few.alias("few")), "judged")
             main = parts.join(judged.where("few"), "key").where("n = most").groupBy("key").agg(F.max("label").alias("main"))
-            ready = left.select("key", "cls", "label").join(main, "key")
-            outer = ready.where("label <> main").select("key", F.col("cls").alias("x"), F.col("label").alias("other"))
-            across = outer.join(ready, "key").where("label <> other and (label = main or label < other)")
+            ready = left.select("key", "cls", "n", "label").join(main, "key")
+            outer = ready.where("label <> main").select("key", F.col("cls").alias("x"), F.col("n").alias("of"), F.col("label").alias("other"))
+            across = outer.join(ready, "key").where(F.expr("label <> other and (label = main or label < other)") & alike("n", "of"))
             self.link(across.select("x", F.col("cls").alias("y")))
-            large = left.join(judged.where("not few"), "key", "left_semi").select("key", "cls")
+            large = left.join(judged.where("not few"), "key", "left_semi").select("key", "cls", "n")
             if level == LEVELS or large.isEmpty():
                 break
             # A large bucket's members share it again in some of SPLIT other bands, the same ones for all of them.
             bands = F.transform(F.sequence(F.lit(0), F.lit(SPLIT - 1)), lambda j: F.get("bands", F.pmod(F.xxhash64("key", j), F.lit(BANDS)).cast("int")))
-            split = large.join(self.classes.select("cls", "bands"), "cls").select("cls", "key", F.explode(F.array_distinct(bands)).alias("band"))
-            rows = split.where("key <> band").select("cls", F.xxhash64("key", "band").alias("key"))
+            split = large.join(self.classes.select("cls", "bands"), "cls").select("cls", "n", "key", F.explode(F.array_distinct(bands)).alias("band"))
+            rows = split.where("key <> band").select("cls", "n", F.xxhash64("key", "band").alias("key"))
         return self.roots
 
 
@@ -236,9 +246,9 @@ def decide(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "do
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of every component, with docs' columns: of rows that share the least doc_id, that with the least hash."""
-    kept = decide(docs, width, percent, doc_id, text).where("kept").select(F.col("doc_id").alias("_i"), F.col("row_key").alias("_k"), F.col("component_id").alias("_c"), "n_shingles").distinct()
-    d = docs.withColumn("_key", row_key(doc_id, text))
-    both = d.join(kept, d[doc_id].eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")))
-    empty = F.when(F.col("n_shingles") == 0, F.lit(1)).otherwise(F.lit(0))
-    first = Window.partitionBy("_c", empty).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    return both.withColumn("_nth", F.when(empty == 1, F.lit(1)).otherwise(F.row_number().over(first))).where("_nth = 1").select(*[f"`{c}`" for c in docs.columns])
+    kept = decide(docs, width, percent, doc_id, text).where("kept").select(F.col("doc_id").alias("_i"), F.col("row_key").alias("_k"), F.col("component_id").alias("_c"), F.col("n_shingles").alias("_n")).distinct()
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole"), F.col(doc_id).alias("_own"), row_key(doc_id, text).alias("_key"))
+    both = d.join(kept, F.col("_own").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")))
+    alone = both.where("_n = 0").select("_whole.*")
+    first = Window.partitionBy("_c").orderBy(F.xxhash64("_whole"))
+    return both.where("_n > 0").withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select("_whole.*").unionByName(alone)
