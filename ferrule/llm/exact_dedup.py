@@ -48,7 +48,7 @@ def decide(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, with the columns of docs."""
     kept = decide(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    d = docs.withColumn("_own_sha", digest(F.col(text)))
-    both = d.join(kept, d[doc_id].eqNullSafe(kept["_id"]) & (d["_own_sha"] == kept["_sha"]), "left_semi")
-    first = Window.partitionBy(doc_id, "_own_sha").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    return both.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*[f"`{c}`" for c in docs.columns])
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole"), F.col(doc_id).alias("_own"), digest(F.col(text)).alias("_own_sha"))
+    both = d.join(kept, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_sha") == F.col("_sha")), "left_semi")
+    first = Window.partitionBy("_own", "_own_sha").orderBy(F.xxhash64("_whole"))
+    return both.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select("_whole.*")

@@ -189,6 +189,8 @@ def draws(measured: DataFrame, source: str = "source", seed: int = 1, weights: t
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 1, **options) -> DataFrame:
     """The mixed corpus: docs' columns, a row for each copy of a whole document that is taken, dealt out by shard and in a shard's random order."""
-    made = draws(measure(docs, doc_id, text, source, seed), source, seed, whole=True, **options).where("_words > 0")
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole"), F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.col(source).alias("_source"))
+    measured = measure(named, "_id", "_text", "_source", seed).drop("_text")
+    made = draws(measured, "_source", seed, whole=True, **options).where("_words > 0")
     order = F.xxhash64(F.lit(seed), F.col("_shard"), F.col("_key"), F.col("_pass"))
-    return made.withColumn("_order", order).repartition("_shard", F.pmod("_order", F.lit(16))).sortWithinPartitions("_shard", "_order").select(*[f"`{c}`" for c in docs.columns])
+    return made.withColumn("_order", order).repartition("_shard", F.pmod("_order", F.lit(16))).sortWithinPartitions("_shard", "_order").select("_whole.*")
