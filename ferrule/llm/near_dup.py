@@ -6,8 +6,8 @@ the least of the set under a hash of its own, so small sets fill theirs too. Equ
 register matches, corrected for chance collisions, estimate the Jaccard similarity, and pairs within 4.5 standard errors
 of the threshold or above it are checked on the full sets, made anew from the texts.
 
-Equal sets are one class from the start (by a 64-bit digest of the set). A bucket's members are first compared with one of them alone, in
-TURNS turns with another each time (later one turn), and each class makes one pair a turn, which joins a group of any size by a linear number of pairs. Only buckets that then
+Equal sets are one class from the start (by a 64-bit digest of the set). A bucket's members are first compared with one of them alone, and each
+class makes one pair, which joins a group of any size by a linear number of pairs. Only buckets that then
 still hold several components are looked at again: members of different components are paired if that makes at most PER_MEMBER pairs
 for each member, and larger buckets are split by SPLIT of the other bands and treated alike. So no bucket's pairs are all made,
 and no candidate between different components is left out.
@@ -35,7 +35,7 @@ from ferrule.llm.staging import stage
 
 BANDS, ROWS, MANTISSA = 48, 6, 10
 REGISTERS = BANDS * ROWS
-LEVELS, TURNS, PER_MEMBER, SPLIT = 3, 3, 10, 8
+LEVELS, PER_MEMBER, SPLIT = 3, 10, 8
 #: Rows of ids that may be broadcast (under 20 MB); more are joined by a shuffle.
 MAX_BROADCAST = 200_000
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -86,9 +86,9 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((np.mean(a == b, axis=1) - chance) / (1 - chance), 0)
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """A staged df of a few numbers a row, to be broadcast if it has MAX_BROADCAST rows at most."""
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """A df of a few numbers a row, to be broadcast if it has MAX_BROADCAST rows at most."""
+    return F.broadcast(df) if rows <= MAX_BROADCAST else df
 
 
 def row_key(doc_id: str, text: str) -> Column:
@@ -127,11 +127,11 @@ class Search:
         self.roots: DataFrame | None = None
         self.checked: DataFrame | None = None
 
-    def check(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs (x, y) of classes, those that the full sets link, as edges (a, b)."""
+    def check(self, pairs: DataFrame, n: int) -> DataFrame:
+        """Of n pairs (x, y) of classes, those that the full sets link, as edges (a, b)."""
         width, percent = self.width, self.percent
         least = percent / 100 - 4.5 * float(np.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS))
-        needed = bounded(stage(pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct(), "needed"))
+        needed = bounded(pairs.select(F.explode(F.array("x", "y")).alias("cls")), 2 * n)
         classes = self.classes.join(needed, "cls", "left_semi")
         side = lambda c: classes.select(F.col("cls").alias(c), F.col("doc_id").alias(f"id_{c}"), F.col("row_key").alias(f"key_{c}"), F.col("registers").alias(f"registers_{c}"))
         both = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "id_x", "key_x", "id_y", "key_y", "registers_x", "registers_y")
@@ -144,8 +144,8 @@ class Search:
                     yield b.select([f.name for f in kept]).filter(pa.array(estimate(a, c) >= least))
 
         near = stage(both.mapInArrow(likely, T.StructType(kept)), "likely")
-        needed = near.select(F.col("id_x").alias("i"), F.col("key_x").alias("k")).unionByName(near.select(F.col("id_y").alias("i"), F.col("key_y").alias("k"))).distinct()
-        texts = self.texts.join(bounded(stage(needed, "wanted")), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("row_key") == F.col("k")), "left_semi")
+        needed = near.select(F.col("id_x").alias("i"), F.col("key_x").alias("k")).unionByName(near.select(F.col("id_y").alias("i"), F.col("key_y").alias("k")))
+        texts = self.texts.join(bounded(needed, 2 * near.count()), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("row_key") == F.col("k")), "left_semi")
         texts = stage(texts.groupBy("doc_id", "row_key").agg(F.first("text").alias("text")), "texts")
         text = lambda c: texts.select(F.col("doc_id").alias(f"i_{c}"), F.col("row_key").alias(f"k_{c}"), F.col("text").alias(f"text_{c}"))
         on = lambda c: F.col(f"id_{c}").eqNullSafe(F.col(f"i_{c}")) & (F.col(f"key_{c}") == F.col(f"k_{c}"))
@@ -181,10 +181,11 @@ class Search:
             new = new.groupBy("of").agg(F.min(F.when(F.col("x") == F.col("of"), F.col("y")).otherwise(F.col("x"))).alias("with"))
             new = new.select(F.least("of", "with").alias("x"), F.greatest("of", "with").alias("y"))
         new = stage(new.select("x", "y").distinct(), "pairs")
-        if new.isEmpty():
+        n = new.count()
+        if not n:
             return False
         self.checked = new if self.checked is None else self.checked.unionByName(new)
-        found = self.check(new)
+        found = self.check(new, n)
         if not found.isEmpty():
             if self.roots is not None:  # what is joined already counts by its root alone
                 found = found.unionByName(self.roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -192,7 +193,7 @@ class Search:
         return True
 
     def open(self, rows: DataFrame, turn: int) -> DataFrame:
-        """Of rows (key, cls, n), those in buckets with several components: key, cls, n, label (root), hub (a class of the bucket, another each turn), size."""
+        """Of rows (key, cls, n), those in buckets with several components: key, cls, n, label (root), hub (a class of the bucket, another each turn), hub_n, size."""
         flip = F.lit(0 if turn == 0 else int(_SEEDS[turn] >> np.uint64(2)))
         labelled = self.root_of(rows, "cls", "label")
         several = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.col("cls").bitwiseXOR(flip).alias("id"), "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("lo < hi")
@@ -203,16 +204,12 @@ class Search:
         alike = lambda a, b: 100 * F.least(a, b) >= self.percent * F.greatest(a, b)  # noqa: E731  sets of other sizes can't be similar enough
         rows = self.classes.select("cls", "n", F.explode("bands").alias("key"))
         for level in range(LEVELS + 1):
-            for turn in range(TURNS if level == 0 else 1):
-                opened = self.open(rows, level * TURNS + turn)
-                if opened.isEmpty():
-                    return self.roots
-                stars = opened.where((F.col("cls") != F.col("hub")) & alike("n", "hub_n")).select("hub", F.col("cls").alias("y"), "label").distinct()
-                more = self.link(self.root_of(stars, "hub", "other").where("label <> other").select(F.col("hub").alias("x"), "y"), one=True)
-                rows = opened.select("key", "cls", "n")
-                if not more:
-                    break
-            left = self.open(rows, 0)
+            opened = self.open(rows, level)
+            if opened.isEmpty():
+                return self.roots
+            stars = opened.where((F.col("cls") != F.col("hub")) & alike("n", "hub_n")).select("hub", F.col("cls").alias("y"), "label").distinct()
+            more = self.link(self.root_of(stars, "hub", "other").where("label <> other").select(F.col("hub").alias("x"), "y"), one=True)
+            left = self.open(opened.select("key", "cls", "n"), 0) if more else opened
             parts = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
             bounds = parts.groupBy("key").agg(F.max("n").alias("most"), F.first("size").alias("size"), F.sum(F.col("n") * F.col("n")).alias("inside"))
             # pairs across components, for each member at most PER_MEMBER

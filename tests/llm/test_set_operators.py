@@ -115,7 +115,6 @@ def test_near_by_brute_force(spark, width):
 def test_near_when_all_buckets_are_split(spark, monkeypatch):
     """Whatever the bound on a bucket's pairs, no link between components is lost."""
     monkeypatch.setattr(near_dup, "PER_MEMBER", 0)
-    monkeypatch.setattr(near_dup, "TURNS", 1)
     rows = corpus(5)
     assert {r.doc_id: r.component_id for r in near_dup.decide(documents(spark, rows), width=2).collect()} == near_brute(rows, 2)[1]
 
