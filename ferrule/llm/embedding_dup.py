@@ -1,15 +1,16 @@
 """Near-duplicate vectors by iterative quantisation (ITQ) and multi-index Hamming tables.
 
 ITQ learns, on a bounded sample, rotations of the principal components whose signs are balanced binary codes. Each table is keyed by
-`bits` of a code's bits; a pair at cosine c agrees in one bit with probability 1 - acos(c) / pi, and there are so many tables (over
-several rotations) that a pair at the threshold shares one with probability RECALL. Vectors that share a table's key are
+`bits` of a code's bits. There are so many tables (over several rotations) that of close pairs, the sample's own and ones made at the
+threshold, at least RECALL share a key; this is measured. Codes are taken round the sample's mean, or round zero if a group or a
+direction that many vectors share lies so near the mean that its members' codes would differ too much. Vectors that share a table's key are
 compared by the cosine of their original components in double precision.
 
 Equal vectors are one class from the start. Buckets of more than BLOCK classes are compared block by block, each pair of blocks apart from the others, so no
 task gets a whole bucket. A link that several tables find is counted by the first alone, and from each group only counts
 and a spanning forest leave, never its pairs.
 
-The fit sees at most `sample` vectors, those with the smallest seeded hashes.
+The fit sees at most `sample` different vectors, those with the smallest seeded hashes.
 
 Cases: vectors that are null, empty or zero, hold null or non-finite components, or differ in length from the commonest of the
 sample link with nothing; rows that repeat link with each other; an empty table gives no rows; other columns aren't used.
@@ -32,27 +33,83 @@ RECALL = 0.98
 BLOCK = 512
 
 
-def itq(x: np.ndarray, bits: int, rotations: int, rounds: int = 30, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and, side by side, `rotations` learnt projections to `bits` signs each."""
-    mean = x.mean(0)
-    values, vectors = np.linalg.eigh(np.cov((x - mean).T).reshape(x.shape[1], -1))
-    basis = vectors[:, np.argsort(-values)[:bits]]
-    v = (x - mean) @ basis
-    rng, made = np.random.default_rng(seed), []
-    for _ in range(rotations):
-        r = np.linalg.qr(rng.standard_normal((basis.shape[1],) * 2))[0]
+def itq(x: np.ndarray, mean: np.ndarray, width: int, rounds: int = 30, seed: int = 1) -> Iterator[np.ndarray]:
+    """One learnt projection of x - mean to `width` signs after another."""
+    v = x - mean
+    values, vectors = np.linalg.eigh(v.T @ v)
+    basis = vectors[:, np.argsort(-values)[:width]]
+    v = v @ basis
+    rng = np.random.default_rng(seed)
+    while True:
+        r = np.linalg.qr(rng.standard_normal((width, width)))[0]
         for _ in range(rounds):
             u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
             r = (u @ w).T
-        made.append(basis @ r)
-    return mean, np.hstack(made)
+        yield basis @ r
 
 
-def tables(rows: int, dim: int, cosine: float) -> tuple[int, int]:
-    """Bits of a table's key (a few more than log2 of the rows) and number of tables."""
+def tables(bits: int, cosine: float) -> int:
+    """Number of tables of `bits` bits, if a pair at the cosine agrees in a bit as often as its angle says."""
     agree = 1 - np.arccos(cosine) / np.pi
-    bits = int(min(max(8, np.ceil(np.log2(max(rows, 2))) + 3), 28, dim))
-    return bits, int(np.ceil(np.log(1 - RECALL) / np.log(1 - agree**bits)))
+    return int(np.ceil(np.log(1 - RECALL) / np.log(1 - agree**bits)))
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    v = v / np.abs(v).max(1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def close_pairs(x: np.ndarray, cosine: float, most: int = 2000, seed: int = 1) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs just above the cosine, by kind: of the sample's own (if there are enough to tell), and made from it at the cosine, towards other vectors of the sample and anywhere."""
+    rng, left, right = np.random.default_rng(seed), [], []
+    for k in range(0, len(x), 500):
+        s = x[k : k + 500] @ x.T
+        p, q = np.nonzero((s >= cosine) & (s < cosine + 0.02))
+        p, q = p[q > p + k] + k, q[q > p + k]
+        some = rng.permutation(len(p))[:most]
+        left.append(p[some])
+        right.append(q[some])
+    p, q = np.concatenate(left), np.concatenate(right)
+    some = rng.permutation(len(p))[:most]
+    out = [(x[p[some]], x[q[some]])] if len(some) >= 50 else []
+    for towards in (x[rng.integers(0, len(x), most)], rng.standard_normal((most, x.shape[1]))):
+        a = x[rng.integers(0, len(x), most)]
+        d = towards - (a * towards).sum(1, keepdims=True) * a
+        size = np.linalg.norm(d, axis=1)
+        a, d = a[size > 1e-6], d[size > 1e-6] / size[size > 1e-6, None]
+        if len(a):
+            out.append((a, cosine * a + np.sqrt(1 - cosine**2) * d))
+    return out
+
+
+def learn(x: np.ndarray, rows: int, cosine: float) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Mean, projections (a column for each bit of each table), bits of a table's key (at first a few more than log2 of the rows) and number of
+    tables, so many that of each kind of close pairs at least RECALL share a key. Where codes round the mean would need over twice the tables that
+    the angles ask for, as in a group that makes up much of the sample, the mean isn't subtracted; where that isn't enough, keys get shorter."""
+    dim = x.shape[1]
+    width = min(dim, 64)
+    kinds = close_pairs(x, cosine)
+    for bits in range(int(min(max(8, np.ceil(np.log2(max(rows, 2))) + 3), 28, dim)), 0, -1):
+        least = tables(bits, cosine)
+        per = width // bits
+        for mean, most in ((x.mean(0), 2 * least), (np.zeros(dim), 4 * least)):
+            made, count = [], 0
+            met = [np.zeros(len(a), bool) for a, _ in kinds]
+            for planes in itq(x, mean, width):
+                sides = [((a - mean) @ planes > 0) == ((b - mean) @ planes > 0) for a, b in kinds]
+                for k in range(per):
+                    at = np.arange(k, per * bits, per)
+                    made.append(planes[:, at])
+                    met = [m | s[:, at].all(1) for m, s in zip(met, sides, strict=True)]
+                    count += 1
+                    enough = count >= least and all(m.mean() >= RECALL for m in met)
+                    if enough or count == most:
+                        break
+                if enough or count == most:
+                    break
+            if enough:
+                return mean, np.hstack(made), bits, count
+    return np.zeros(dim), np.zeros((dim, 0)), 0, 1  # one bucket
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -89,24 +146,16 @@ def find_links(vectors: DataFrame, cosine: float = 0.9, sample: int = 5000, key:
     dim = max(sorted(set(sizes)), key=sizes.count)
     used = rows.where(F.size("v") == dim)
     classes = stage(used.groupBy("v").agg(F.min("row").alias("cls"), F.count(F.lit(1)).alias("weight")), "classes")
-    x = np.array([r.v for r in some if len(r.v) == dim])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    bits, count = tables(classes.count(), dim, cosine)
-    width = min(dim, 64)
-    per = max(1, width // bits)
-    mean, planes = itq(x, width, -(-count // per))
-    chosen = np.concatenate([r * width + np.arange(k, per * bits, per) for r in range(-(-count // per)) for k in range(per)])[: count * bits]
+    fitted = classes.orderBy(F.xxhash64(F.lit(seed), "v"), "cls").limit(sample).select("v").collect()
+    mean, planes, bits, count = learn(unit(np.array([r.v for r in fitted])), classes.count(), cosine)
     powers = 1 << np.arange(bits, dtype=np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            v = np.array(b.column("v").flatten()).reshape(b.num_rows, dim)
-            scale = np.abs(v).max(1, keepdims=True)
-            v = v / scale
-            v /= np.linalg.norm(v, axis=1, keepdims=True)
-            codes = (((v - mean) @ planes > 0)[:, chosen].reshape(len(v), count, bits) @ powers).astype(np.int32)
+            v = unit(np.array(b.column("v").flatten()).reshape(b.num_rows, dim))
+            codes = (((v - mean) @ planes > 0).reshape(len(v), count, bits) @ powers).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column("cls"), b.column("weight"), pa.array([r.tobytes() for r in v], pa.binary()), pa.array([r.tobytes() for r in codes], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, len(v) * count + 1, count), pa.int32()), pa.array(codes.ravel()))], ["cls", "weight", "unit", "codes", "keys"])
 
     coded = stage(classes.mapInArrow(encode, "cls long, weight long, unit binary, codes binary, keys array<int>"), "codes")

@@ -292,3 +292,37 @@ def test_vectors_recall_over_the_whole_table(spark):
     m /= np.linalg.norm(m, axis=1, keepdims=True)
     want = int((m @ m.T >= 0.9).sum()) - len(m)
     assert QUERIES["op10_embeddings"](spark, SF).agg(F.sum("n_links")).first()[0] >= 0.9 * want
+
+
+@pytest.mark.parametrize("share", [1 / 3, 0.6])
+def test_vectors_recall_in_a_dominant_group(share):
+    """Pairs at 0.90 to 0.92 in a group that holds much of the table, with a direction that all vectors share, keyed as for 200,000 rows."""
+    rng = np.random.default_rng(12)
+    noise = lambda n: rng.standard_normal((n, 64)) / 8
+    common, centre = noise(1), noise(1)
+
+    def made(n):
+        inside = int(n * share)
+        group = embedding_dup.unit(common + centre)
+        return np.vstack([embedding_dup.unit(group + 0.315 * noise(inside)), embedding_dup.unit(common + noise(n - inside))])
+
+    mean, planes, bits, count = embedding_dup.learn(made(3000), 200_000, 0.9)
+    fresh = made(1500)
+    s = np.triu(fresh @ fresh.T, 1)
+    p, q = np.nonzero((s >= 0.9) & (s < 0.92))
+    assert len(p) > 10_000
+    p, q = p[:10_000], q[:10_000]
+    codes = ((fresh - mean) @ planes > 0).reshape(len(fresh), count, bits)
+    assert (codes[p] == codes[q]).all(2).any(1).mean() >= 0.96
+
+
+def test_one_vector_and_a_dominant_group(spark):
+    one = embedding_dup.find_links(spark.createDataFrame([(3, [1.0, 2.0])], "vec_id long, embedding array<double>")).collect()
+    assert [tuple(r) for r in one] == [(3, 0, 3, True)]
+    rng = np.random.default_rng(13)
+    centre = rng.standard_normal(64)
+    v = np.vstack([centre + 0.32 * rng.standard_normal((600, 64)), rng.standard_normal((400, 64))])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    want = int((v @ v.T >= 0.9).sum()) - len(v)
+    assert 0.96 * want <= embedding_dup.find_links(df).agg(F.sum("n_links")).first()[0] <= want
