@@ -9,8 +9,9 @@ of the threshold or above it are checked on the full sets, made anew from the te
 Equal sets are one class from the start (by a 64-bit digest of the set). A bucket's members are first compared with one of them alone, and each
 class makes one pair, which joins a group of any size by a linear number of pairs. Only buckets that then
 still hold several components are looked at again: members of different components are paired if that makes at most PER_MEMBER pairs
-for each member, and larger buckets are split by SPLIT of the other bands and treated alike. So no bucket's pairs are all made,
-and no candidate between different components is left out.
+for each member, and members of larger buckets are dealt into blocks of about BLOCK, of which each pair is compared by registers inside a
+task: first each member's likeliest partner in another component leaves it, and, when those are checked, all pairs
+that are likely and still lie between components. So no large bucket's pairs are all made as rows, and no candidate between different components is left out.
 
 With 48 bands of 6 registers a pair at similarity 0.8 shares no band with probability 5e-7.
 
@@ -29,13 +30,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ferrule.llm.embedding_dup import _groups
 from ferrule.llm.graph import components
 from ferrule.llm.kernels import mix, shingles, slices, word_hashes
 from ferrule.llm.staging import stage
 
 BANDS, ROWS, MANTISSA = 48, 6, 10
 REGISTERS = BANDS * ROWS
-LEVELS, PER_MEMBER, SPLIT = 3, 10, 8
+PER_MEMBER, BLOCK = 10, 512
 #: Rows of ids that may be broadcast (under 20 MB); more are joined by a shuffle.
 MAX_BROADCAST = 200_000
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -121,6 +123,7 @@ class Search:
 
     def __init__(self, docs: DataFrame, sketched: DataFrame, width: int, percent: int, doc_id: str, text: str):
         self.width, self.percent = width, percent
+        self.least = percent / 100 - 4.5 * float(np.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS))
         self.texts = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), F.col(text).alias("text"))
         one = F.min_by(F.struct("doc_id", "row_key", F.col("n_shingles").cast("int").alias("n"), "registers", "bands"), F.struct("doc_id", "row_key"))
         self.classes = stage(sketched.where("size(bands) > 0").groupBy("cls").agg(one.alias("one")).select("cls", "one.*"), "classes")
@@ -130,7 +133,7 @@ class Search:
     def check(self, pairs: DataFrame, n: int) -> DataFrame:
         """Of n pairs (x, y) of classes, those that the full sets link, as edges (a, b)."""
         width, percent = self.width, self.percent
-        least = percent / 100 - 4.5 * float(np.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS))
+        least = self.least
         needed = bounded(pairs.select(F.explode(F.array("x", "y")).alias("cls")), 2 * n)
         classes = self.classes.join(needed, "cls", "left_semi")
         side = lambda c: classes.select(F.col("cls").alias(c), F.col("doc_id").alias(f"id_{c}"), F.col("row_key").alias(f"key_{c}"), F.col("registers").alias(f"registers_{c}"))
@@ -192,41 +195,73 @@ class Search:
             self.roots = components(found)
         return True
 
-    def open(self, rows: DataFrame, turn: int) -> DataFrame:
-        """Of rows (key, cls, n), those in buckets with several components: key, cls, n, label (root), hub (a class of the bucket, another each turn), hub_n, size."""
-        flip = F.lit(0 if turn == 0 else int(_SEEDS[turn] >> np.uint64(2)))
+    def open(self, rows: DataFrame) -> DataFrame:
+        """Of rows (key, cls, n), those in buckets with several components: key, cls, n, label (root), hub (a class of the bucket), hub_n, size."""
         labelled = self.root_of(rows, "cls", "label")
-        several = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.col("cls").bitwiseXOR(flip).alias("id"), "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("lo < hi")
-        return stage(labelled.join(several.select("key", F.col("hub.id").bitwiseXOR(flip).alias("hub"), F.col("hub.n").alias("hub_n"), "size"), "key"), "opened")
+        several = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.col("cls").alias("id"), "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("lo < hi")
+        return stage(labelled.join(several.select("key", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), "size"), "key"), "opened")
+
+    def likely(self, opened: DataFrame, best: bool) -> DataFrame:
+        """Likely pairs (x, y) between components of opened buckets, compared block by block; `best`: for each member of a pair of blocks the likeliest alone."""
+        percent, least = self.percent, self.least
+        blocks = F.ceil(F.col("size") / BLOCK)
+        members = opened.withColumn("block", F.pmod(F.xxhash64("cls"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        members = members.select("cls", "n", "label", "block", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("group"), (F.col("block") == F.col("other")).alias("own"))
+        full = members.join(self.classes.select("cls", "registers"), "cls")
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in _groups(batches):
+                g, cls, n, label, block = (t[c].to_numpy() for c in ("group", "cls", "n", "label", "block"))
+                own = t["own"].to_numpy(zero_copy_only=False)
+                registers = np.frombuffer(b"".join(t["registers"].to_pylist()), np.uint16).reshape(len(g), REGISTERS)
+                a, step, top, partner = np.arange(len(g)), 0, np.zeros(len(g)), np.full(len(g), -1)
+                while len(a):
+                    step += 1
+                    a = a[a < len(g) - step]
+                    a = a[g[a] == g[a + step]]
+                    b = a + step
+                    use = (own[a] | (block[a] != block[b])) & (label[a] != label[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+                    for k in range(0, int(use.sum()), 4096):
+                        p, q = a[use][k : k + 4096], b[use][k : k + 4096]
+                        share = estimate(registers[p], registers[q])
+                        near = share >= least
+                        p, q, share = p[near], q[near], share[near]
+                        if not best and len(p):
+                            yield pa.RecordBatch.from_arrays([pa.array(cls[p]), pa.array(cls[q])], ["x", "y"])
+                        for i, j in ((p, q), (q, p)):
+                            more = share > top[i]
+                            top[i[more]], partner[i[more]] = share[more], j[more]
+                if best and (partner >= 0).any():
+                    has = np.flatnonzero(partner >= 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(cls[has]), pa.array(cls[partner[has]])], ["x", "y"])
+
+        return full.repartition("group").sortWithinPartitions("group", "cls").mapInArrow(compare, "x long, y long")
 
     def run(self) -> DataFrame | None:
         """node and root for every class that has a link; None if none has."""
         alike = lambda a, b: 100 * F.least(a, b) >= self.percent * F.greatest(a, b)  # noqa: E731  sets of other sizes can't be similar enough
-        rows = self.classes.select("cls", "n", F.explode("bands").alias("key"))
-        for level in range(LEVELS + 1):
-            opened = self.open(rows, level)
+        opened = self.open(self.classes.select("cls", "n", F.explode("bands").alias("key")))
+        if opened.isEmpty():
+            return self.roots
+        stars = opened.where((F.col("cls") != F.col("hub")) & alike("n", "hub_n")).select("hub", F.col("cls").alias("y"), "label").distinct()
+        more = self.link(self.root_of(stars, "hub", "other").where("label <> other").select(F.col("hub").alias("x"), "y"), one=True)
+        left = self.open(opened.select("key", "cls", "n")) if more else opened
+        parts = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
+        bounds = parts.groupBy("key").agg(F.max("n").alias("most"), F.first("size").alias("size"), F.sum(F.col("n") * F.col("n")).alias("inside"))
+        # pairs across components, for each member at most PER_MEMBER
+        few = (F.col("size") * F.col("size") - F.col("inside")) / 2 <= PER_MEMBER * F.col("size")
+        judged = stage(bounds.select("key", "most", few.alias("few")), "judged")
+        main = parts.join(judged.where("few"), "key").where("n = most").groupBy("key").agg(F.max("label").alias("main"))
+        ready = left.select("key", "cls", "n", "label").join(main, "key")
+        outer = ready.where("label <> main").select("key", F.col("cls").alias("x"), F.col("n").alias("of"), F.col("label").alias("other"))
+        across = outer.join(ready, "key").where(F.expr("label <> other and (label = main or label < other)") & alike("n", "of"))
+        self.link(across.select("x", F.col("cls").alias("y")))
+        large = left.join(judged.where("not few"), "key", "left_semi").select("key", "cls", "n")
+        for best in (True, False):
+            opened = self.open(large)
             if opened.isEmpty():
-                return self.roots
-            stars = opened.where((F.col("cls") != F.col("hub")) & alike("n", "hub_n")).select("hub", F.col("cls").alias("y"), "label").distinct()
-            more = self.link(self.root_of(stars, "hub", "other").where("label <> other").select(F.col("hub").alias("x"), "y"), one=True)
-            left = self.open(opened.select("key", "cls", "n"), 0) if more else opened
-            parts = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
-            bounds = parts.groupBy("key").agg(F.max("n").alias("most"), F.first("size").alias("size"), F.sum(F.col("n") * F.col("n")).alias("inside"))
-            # pairs across components, for each member at most PER_MEMBER
-            few = ((F.col("size") * F.col("size") - F.col("inside")) / 2 <= PER_MEMBER * F.col("size")) | F.lit(level == LEVELS)
-            judged = stage(bounds.select("key", "most", few.alias("few")), "judged")
-            main = parts.join(judged.where("few"), "key").where("n = most").groupBy("key").agg(F.max("label").alias("main"))
-            ready = left.select("key", "cls", "n", "label").join(main, "key")
-            outer = ready.where("label <> main").select("key", F.col("cls").alias("x"), F.col("n").alias("of"), F.col("label").alias("other"))
-            across = outer.join(ready, "key").where(F.expr("label <> other and (label = main or label < other)") & alike("n", "of"))
-            self.link(across.select("x", F.col("cls").alias("y")))
-            large = left.join(judged.where("not few"), "key", "left_semi").select("key", "cls", "n")
-            if level == LEVELS or large.isEmpty():
                 break
-            # A large bucket's members share it again in some of SPLIT other bands, the same ones for all of them.
-            bands = F.transform(F.sequence(F.lit(0), F.lit(SPLIT - 1)), lambda j: F.get("bands", F.pmod(F.xxhash64("key", j), F.lit(BANDS)).cast("int")))
-            split = large.join(self.classes.select("cls", "bands"), "cls").select("cls", "n", "key", F.explode(F.array_distinct(bands)).alias("band"))
-            rows = split.where("key <> band").select("cls", "n", F.xxhash64("key", "band").alias("key"))
+            self.link(self.likely(opened, best))
         return self.roots
 
 

@@ -135,6 +135,25 @@ def test_near_of_odd_rows(spark):
     assert near_dup.decide(documents(spark, [])).count() == 0 and near_dup.keep_one(documents(spark, [])).count() == 0
 
 
+def test_near_compares_all_of_a_large_bucket(spark, monkeypatch):
+    """Families that share one passage, so that a pair has a single bucket, a large one, in common: no pair of blocks is left out."""
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    rng = random.Random(21)
+    made = []
+    for g in range(30):
+        base = [f"g{g}x{rng.randrange(10**6)}" for _ in range(120)]
+        made += [" ".join(base[:k] + [f"new{g}y{k}"] + base[k + 1 :]) for k in (10, 60)]
+    rows = [(i, t, "s") for i, t in enumerate(made)]
+    own = F.concat(F.array(F.lit(5)), F.transform(F.sequence(F.lit(1), F.lit(47)), lambda j: F.xxhash64("doc_id", j)))
+    sketched = near_dup.stage(near_dup.sketch_documents(documents(spark, rows), 2).withColumn("bands", own.cast("array<long>")), "sketches")
+    found = near_dup.Search(documents(spark, rows), sketched, 2, 80, "doc_id", "text").run()
+    cls = {r.cls: r.doc_id for r in sketched.collect()}
+    got = defaultdict(set)
+    for r in found.collect():
+        got[r.root].add(cls[r.node])
+    assert sorted(map(sorted, got.values())) == [[2 * g, 2 * g + 1] for g in range(30)]
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 2**63, 3000, dtype=np.uint64)
