@@ -265,20 +265,25 @@ class Search:
         return self.roots
 
 
-def decide(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """For every row: doc_id, row_key, n_shingles, component_id, kept."""
+def judge(docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """For every row: doc_id, row_key, n_shingles, root (a class; null if the set is empty), component_id, kept."""
     sketched = stage(sketch_documents(docs, width, doc_id, text), "sketches")
     roots = Search(docs, sketched, width, percent, doc_id, text).run()
     rows = sketched.select("doc_id", "row_key", "n_shingles", "cls")
     rows = rows.withColumn("root", F.col("cls")) if roots is None else rows.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     found = rows.join(least, "root", "left").withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")))
-    return found.select("doc_id", "row_key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return found.select("doc_id", "row_key", "n_shingles", "root", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def decide(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """For every row: doc_id, row_key, n_shingles, component_id, kept."""
+    return judge(docs, width, percent, doc_id, text).drop("root")
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of every component, with docs' columns: of rows that share the least doc_id, that with the least hash."""
-    kept = decide(docs, width, percent, doc_id, text).where("kept").select(F.col("doc_id").alias("_i"), F.col("row_key").alias("_k"), F.col("component_id").alias("_c"), F.col("n_shingles").alias("_n")).distinct()
+    kept = judge(docs, width, percent, doc_id, text).where("kept").select(F.col("doc_id").alias("_i"), F.col("row_key").alias("_k"), F.col("root").alias("_c"), F.col("n_shingles").alias("_n")).distinct()
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole"), F.col(doc_id).alias("_own"), row_key(doc_id, text).alias("_key"))
     both = d.join(kept, F.col("_own").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")))
     alone = both.where("_n = 0").select("_whole.*")

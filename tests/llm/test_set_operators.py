@@ -154,6 +154,13 @@ def test_near_compares_all_of_a_large_bucket(spark, monkeypatch):
     assert sorted(map(sorted, got.values())) == [[2 * g, 2 * g + 1] for g in range(30)]
 
 
+def test_near_keeps_one_of_every_component_with_null_or_repeated_ids(spark):
+    long = lambda x: " ".join(f"{x}{i}" for i in range(50))
+    rows = [(None, long("a"), "s"), (None, long("b"), "s"), (None, long("b").upper(), "s"), (4, long("c"), "s"), (4, long("d"), "s"), (4, long("d"), "s"), (7, long("d"), "s"), (None, long("e"), "s"), (9, long("e"), "s")]
+    kept = Counter((r.doc_id, lower(r.text)[:1]) for r in near_dup.keep_one(documents(spark, rows)).collect())
+    assert kept == Counter([(None, "a"), (None, "b"), (4, "c"), (4, "d"), (9, "e")])
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 2**63, 3000, dtype=np.uint64)
