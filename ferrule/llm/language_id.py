@@ -27,7 +27,7 @@ from ferrule.llm.kernels import slices
 
 DIM = 4096
 UNKNOWN = "und"
-_LETTERS = np.fromiter((chr(i).isalpha() and not 0xD800 <= i < 0xE000 for i in range(0x10000)), bool, 0x10000)
+_LETTERS = np.fromiter((chr(i).isalpha() and not 0xD800 <= i < 0xE000 for i in range(0x110000)), bool, 0x110000)
 _FACTORS = [np.uint32(x) for x in (2654435761, 2246822519, 3266489917)]
 
 
@@ -37,7 +37,7 @@ def presence(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, lowered), np.int64, len(lowered))
     points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
     row = np.repeat(np.arange(len(lowered)), sizes)
-    letter = _LETTERS[np.minimum(points, 0xFFFF)] | (points > 0xFFFF)
+    letter = _LETTERS[points]
     out = np.zeros((len(lowered), DIM), bool)
     lettered = np.bincount(row[letter], minlength=len(lowered)) > 0
     unit = np.where(letter, points, 32).astype(np.uint32)

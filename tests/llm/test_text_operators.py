@@ -86,6 +86,14 @@ def test_language_of_odd_texts(spark):
     assert language_id.predict(documents(spark, []), fit).count() == 0
 
 
+def test_language_of_signs_beyond_the_first_plane(spark):
+    fit = language_id.fit(spark.createDataFrame([(1, "the cat sat", "en"), (2, "der hund und", "de")] * 5, "doc_id long, text string, lang string"))
+    docs = documents(spark, ["🙂🙂 🎉", "𝄞", "𠀀𠀁", "🙂 cat"])
+    got = {r.doc_id: (r.lang_pred == "und", r.score == 0) for r in language_id.predict(docs, fit).collect()}
+    assert got == {0: (True, True), 1: (True, True), 2: (False, False), 3: (False, False)}
+    assert sorted(r.doc_id for r in language_id.keep_known(docs, fit).collect()) == [2, 3]
+
+
 def test_toxicity_on_held_out_rows(tables):
     docs, labels = tables("documents"), tables("labels")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
