@@ -39,7 +39,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each piece of a document in a sequence; ids are little-endian unsigned 32-bit."""
-    return pack(docs, tokenizer_file())
+    return pack(docs, tokenizer_file(), added=True)
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("minhash", near), ("mixing", mixture), ("packing", packed)]

@@ -6,7 +6,8 @@ record for each window it lies in. Only the last window can be short, so at most
 
 Tokens come from a `tokenizers` file. Texts are split where that vocabulary's splitting pattern always splits
 (before a blank that is followed by a sign, between letters and punctuation, around single line ends), and the
-ids of each different piece are kept by the task, so that a piece is encoded once.
+ids of each different piece are kept by the task, so that a piece is encoded once. With `added`, literals of the file's added
+tokens (such as <|endoftext|>) get their own ids, as the library gives by default; without it they are ordinary text.
 
 Cases: a null or empty text gives only the end token; very long texts give many records; rows that repeat are packed
 again; an empty table gives no records; other columns aren't used.
@@ -14,6 +15,8 @@ again; an empty table gives no records; other columns aren't used.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,11 +44,15 @@ _INK[0xC3:0xE1] = _INK[0xE4:0xF0] = True  # lead bytes under which no character
 class PieceEncoder:
     """Ids of texts by a byte-level BPE of the `tokenizers` library, encoding each different piece once."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        tokens = json.loads(self.tokenizer.to_str())["added_tokens"]
+        tokens = [x for x in tokens if added or not x["special"]]  # the switch only concerns special ones
+        self.alone = all(not (x["single_word"] or x["lstrip"] or x["rstrip"]) for x in tokens)
+        self.literal = re.compile(b"|".join(re.escape(x["content"].encode()) for x in sorted(tokens, key=lambda x: -len(x["content"])))) if tokens else None
         self.forget()
 
     def forget(self) -> None:
@@ -71,6 +78,22 @@ class PieceEncoder:
         cut[len(data)] = False
         return np.flatnonzero(cut)
 
+    def pieces(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """bounds, with each added token's literal as a piece of its own; if tokens take their surroundings in, a text with one isn't cut."""
+        raw = data.tobytes() if self.literal else b""
+        if not self.literal or not self.literal.search(raw):
+            return self.bounds(data, offsets)
+        spans = []
+        for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            found = [m.span() for m in self.literal.finditer(raw, s, e)]
+            spans += found if self.alone or not found else [(s, e)]
+        if not spans:
+            return self.bounds(data, offsets)
+        at = np.array(spans, np.int64)
+        starts = self.bounds(data, np.sort(np.concatenate((offsets, at.ravel()))))
+        k = np.searchsorted(at[:, 0], starts, "left") - 1  # the last literal that opens before
+        return starts[(k < 0) | (starts >= at[k, 1])]
+
     def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         n = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -87,7 +110,7 @@ class PieceEncoder:
     def encode(self, column: pa.Array, end: int) -> list[np.ndarray]:
         """Every text's ids and then `end`, as arrays of uint32."""
         data, offsets = buffers(column)
-        starts = self.bounds(data, offsets)
+        starts = self.pieces(data, offsets)
         starts = starts[starts < len(data)]
         ends = np.append(starts[1:], len(data))[: len(starts)]
         hashes, first, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
@@ -109,17 +132,17 @@ class PieceEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, added: bool = False) -> PieceEncoder:
     """One for each Python worker: what it has learnt serves the worker's later tasks."""
-    return PieceEncoder(path)
+    return PieceEncoder(path, added)
 
 
-def tokenise(docs: DataFrame, tokenizer_path: str, end: int, doc_id: str, text: str) -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer_path: str, end: int, doc_id: str, text: str, added: bool = False) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit), doc_tokens, and the document's place: part, before (tokens ahead of it in its part)."""
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("ids", T.BinaryType()), T.StructField("doc_tokens", T.LongType()), T.StructField("part", T.LongType()), T.StructField("before", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, part, total = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        known, part, total = encoder(tokenizer_path, added), TaskContext.get().partitionId(), 0
         for whole in batches:
             for batch in slices(whole, "text"):
                 ids = known.encode(batch.column("text"), end)
@@ -130,9 +153,9 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end: int, doc_id: str, text:
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end: int = 1, doc_id: str = "doc_id", text: str = "text", added: bool = False) -> DataFrame:
     """One row for each piece of a document in a sequence: doc_id, start, length, ids, doc_tokens, sequence_id, offset."""
-    parts = stage(tokenise(docs, tokenizer_path, end, doc_id, text), "tokens")
+    parts = stage(tokenise(docs, tokenizer_path, end, doc_id, text, added), "tokens")
     totals = parts.groupBy("part").agg(F.sum("doc_tokens").alias("tokens"))
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     base = stage(totals.select("part", F.coalesce(F.sum("tokens").over(ahead), F.lit(0)).alias("base")), "bases")

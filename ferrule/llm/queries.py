@@ -21,7 +21,7 @@ def tokenizer_file() -> str:
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ferrule.llm.packing import pack
 
-    pieces = pack(_table(spark, sf_dir, "documents"), tokenizer_file())
+    pieces = pack(_table(spark, sf_dir, "documents"), tokenizer_file(), added=True)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -52,6 +52,21 @@ def test_packing_round_trip(spark, vocabulary):
         at += length
 
 
+def test_packing_query_gives_the_untouched_tokenizers_ids(spark, tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    untouched = tokenizers.Tokenizer.from_file(tokenizer_file())
+    e = "<|endoftext|>"
+    texts = [*ODD, f"a {e} b", f"a  {e}  b", e, e + e, f"x\n\n{e}\n\ny", f"it{e}'s é{e}é\n{e}\nz", "<|endof", "text|> tail", e[:-1]]
+    documents(spark, texts).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    want = {i: [*untouched.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    assert want[len(ODD)] == [64, 220, 50256, 275, 1]
+    got = {i: [] for i in want}
+    for r in packing.pack(spark.read.parquet(str(tmp_path / "documents.parquet")), tokenizer_file(), added=True).orderBy("doc_id", "start").collect():
+        got[r.doc_id] += np.frombuffer(bytes(r.ids), "<u4").tolist()
+    assert got == want
+    assert {r.doc_id: r.doc_tokens for r in QUERIES["op1_packing"](spark, str(tmp_path)).collect()} == {i: len(x) for i, x in want.items()}
+
+
 def test_packing_of_nothing(spark, vocabulary):
     assert packing.pack(documents(spark, []), tokenizer_file()).count() == 0
 
