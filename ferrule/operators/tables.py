@@ -63,3 +63,21 @@ def percentile_floor(df: DataFrame, by: str, value: str, p: int) -> DataFrame:
     w = Window.partitionBy(by)
     placed = df.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_k", F.row_number().over(w.orderBy(value)) - 1)
     return placed.where(F.col("_k") == F.least(F.floor(F.lit(p) / 100 * F.col("_n")), F.col("_n") - 1)).select(by, F.col(value).alias("value"))
+
+
+def similar_pairs(sets: DataFrame, key: str, items: str, percent: int = 80) -> DataFrame:
+    """x, y, shared, every: pairs x < y of rows whose arrays of distinct items have Jaccard similarity percent / 100 or more, with the numbers of shared and of all items.
+
+    An equi-join on rare items: of two sets so similar, each has an item of the other among its n - ceil(percent * n / 100) + 1 rarest. Rows with an empty set or null are in no pair; each row needs a key of its own.
+    """
+    each = sets.select(key, F.explode(items).alias("item"))
+    often = each.groupBy("item").agg(F.count(F.lit(1)).alias("often"))
+    ranked = each.join(often, "item").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("often", "item"))), lambda x: x["item"]).alias("all"))
+    sized = ranked.withColumn("n", F.size("all")).withColumn("rare", F.expr(f"slice(all, 1, n - cast(({percent} * n + 99) div 100 as int) + 1)"))
+    side = lambda k: sized.select(F.explode("rare").alias("item"), F.col(key).alias(k), F.col("n").alias(f"n_{k}"))
+    near = (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & (F.col("x") < F.col("y"))
+    pairs = side("x").join(side("y"), "item").where(near).select("x", "y").distinct()
+    whole = lambda k, a: sized.select(F.col(key).alias(k), F.col("all").alias(a))
+    shared = F.size(F.array_intersect("a", "b"))
+    both = pairs.join(whole("x", "a"), "x").join(whole("y", "b"), "y").select("x", "y", shared.alias("shared"), (F.size("a") + F.size("b") - shared).alias("every"))
+    return both.where(100 * F.col("shared") >= percent * F.col("every"))

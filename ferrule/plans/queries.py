@@ -453,6 +453,16 @@ def _(t):
     return a.join(F.broadcast(b), F.col("x") < F.col("y")).select("x", "y", r(text.jaccard(F.col("a"), F.col("b"))).alias("sim"))
 
 
+@query("cmp01_documents")
+def _(t):
+    found = tables.similar_pairs(t("documents").select("doc_id", text.tokens(F.col("text")).alias("s")), "doc_id", "s")
+    return found.select("x", "y", r(F.col("shared") / F.col("every")).alias("sim"))
+
+
+@query("joi11_document_pairs")
+def _(t): return tables.similar_pairs(t("documents").select("doc_id", text.tokens(F.col("text")).alias("s")), "doc_id", "s").select("x", "y", "shared")
+
+
 # -- event time
 
 

@@ -119,3 +119,24 @@ def test_streams_agree_with_batches(spark, tmp_path):
     got = drain(windows.admit(source(), 3, 120), "append", "admitted")
     assert got == sorted(map(tuple, windows.admit(batch, 3, 120).collect()))
     assert len(drain(windows.first_arrivals(source(), "user_id"), "append", "firsts")) == 3
+
+
+def test_similar_documents_by_brute_force(spark, tmp_path):
+    import random
+    import re
+
+    from ferrule.plans.queries import QUERIES
+
+    rng = random.Random(4)
+    rows = [(900, None), (901, ""), (902, "one"), (903, "ONE one")]
+    for g in range(30):
+        base = [f"w{rng.randrange(60)}" for _ in range(rng.choice([3, 10, 40]))]
+        rows += [(4 * g + c, " ".join([*base[: len(base) - c * len(base) // 20], *[f"n{g}{c}{i}" for i in range(c * len(base) // 20)]])) for c in range(4)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    sets = {i: set(re.findall("[a-z0-9]+", (t or "").lower())) for i, t in rows}
+    want = {(a, b): (len(sets[a] & sets[b]), len(sets[a] | sets[b])) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert len(want) > 30
+    got = QUERIES["cmp01_documents"](spark, str(tmp_path)).collect()
+    assert sorted((q.x, q.y, q.sim) for q in got) == sorted((a, b, round(s / n, 6)) for (a, b), (s, n) in want.items())
+    got = QUERIES["joi11_document_pairs"](spark, str(tmp_path)).collect()
+    assert sorted((q.x, q.y, q.shared) for q in got) == sorted((a, b, s) for (a, b), (s, _) in want.items())
