@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrule.llm.staging import stage
+from ferrule.llm.staging import keep_rows, stage
 
 MAX_HEAVY = 1000
 TRACKED = 10_000
@@ -46,9 +46,6 @@ def decide(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, with the columns of docs."""
-    kept = decide(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole"), F.col(doc_id).alias("_own"), digest(F.col(text)).alias("_own_sha"))
-    both = d.join(kept, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_sha") == F.col("_sha")), "left_semi")
-    first = Window.partitionBy("_own", "_own_sha").orderBy(F.xxhash64("_whole"))
-    return both.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select("_whole.*")
+    """The rows that stay, with the columns of docs; of the texts only those of dropped and repeated rows are moved, and none if these are few."""
+    judged = decide(docs, doc_id, text).select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("key"), F.col("kept").alias("keep"), F.lit(False).alias("always"))
+    return keep_rows(docs, F.col(doc_id), digest(F.col(text)), judged)

@@ -6,14 +6,14 @@ the least of the set under a hash of its own, so small sets fill theirs too. Equ
 register matches, corrected for chance collisions, estimate the Jaccard similarity, and pairs within 4.5 standard errors
 of the threshold or above it are checked on the full sets, made anew from the texts.
 
-Equal sets are one class from the start (by a 64-bit digest of the set). A bucket's members are first compared with one of them alone, and each
-class makes one pair, which joins a group of any size by a linear number of pairs. Only buckets that then
-still hold several components are looked at again: members of different components are paired if that makes at most PER_MEMBER pairs
-for each member, and members of larger buckets are dealt into blocks of about BLOCK, of which each pair is compared by registers inside a
-task: first each member's likeliest partner in another component leaves it, and, when those are checked, all pairs
-that are likely and still lie between components. So no large bucket's pairs are all made as rows, and no candidate between different components is left out.
+Rows with equal sets are one class from the start, told by a 128-bit cryptographic digest of the whole sorted set; all else compares classes.
+Two rounds find the links. In the first each class is compared with one member of each of its buckets, the one that shares buckets
+with the most others, so a group of any size round one text is joined by a linear number of pairs. In the second, buckets that still hold several components
+are compared in full but for pairs within a component: the largest component's members with all others, never with each other. Members go to
+tasks in blocks of BLOCK rows or SHINGLES shingles, a pair is looked at in the first of its bands alone, and tasks return a spanning
+forest of what the full sets link, never pairs. So no candidate is left out, and only members of large buckets that no link joins make work in the square of their number.
 
-With 48 bands of 6 registers a pair at similarity 0.8 shares no band with probability 5e-7.
+With 42 bands of 7 registers a pair at similarity 0.8 shares no band with probability 5e-5, one at 0.85 with 3e-7; the estimate drops a pair at 0.8 with probability 3e-6.
 
 Cases: a null text or one without words has an empty set and links with nothing; a text with fewer words than a shingle
 has the whole run as its one shingle; component_id is the least doc_id of a component, null ids left aside; rows
@@ -23,23 +23,21 @@ that repeat are equal sets; an empty table gives no rows; extra columns are kept
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrule.llm.embedding_dup import _groups
-from ferrule.llm.graph import components
+from ferrule.llm.graph import components, forest
 from ferrule.llm.kernels import mix, shingles, slices, word_hashes
-from ferrule.llm.staging import stage
+from ferrule.llm.staging import bounded, keep_rows, stage, unstage
 
-BANDS, ROWS, MANTISSA = 48, 6, 10
+BANDS, ROWS, MANTISSA = 42, 7, 10
 REGISTERS = BANDS * ROWS
-PER_MEMBER, BLOCK = 10, 512
-#: Rows of ids that may be broadcast (under 20 MB); more are joined by a shuffle.
-MAX_BROADCAST = 200_000
+BLOCK, SHINGLES = 1024, 1 << 19
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = np.random.default_rng(8).integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -77,9 +75,9 @@ def sketches(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def band_keys(registers: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band of every sketch."""
+    """A 64-bit key for each band of every sketch; its last 6 bits are the band's number."""
     r = registers.reshape(len(registers), BANDS, ROWS).astype(np.uint64)
-    return mix(mix((r + np.uint64(1)) * _ODD).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+    return (mix(mix((r + np.uint64(1)) * _ODD).sum(2, dtype=np.uint64)) & ~np.uint64(63)) | np.arange(BANDS, dtype=np.uint64)
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -88,204 +86,219 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((np.mean(a == b, axis=1) - chance) / (1 - chance), 0)
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """A df of a few numbers a row, to be broadcast if it has MAX_BROADCAST rows at most."""
-    return F.broadcast(df) if rows <= MAX_BROADCAST else df
-
-
 def row_key(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
-def sketch_documents(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each document: doc_id, row_key, n_shingles, cls (digest of the set; null if empty), registers, bands (null where no other set can be similar enough)."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("row_key", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("registers", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+def sketch_documents(docs: DataFrame, width: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each document: doc_id, row_key, n_shingles, d1 and d2 (digest of the set; null if empty), registers (null where no other set can be similar enough)."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), *[T.StructField(c, T.LongType()) for c in ("row_key", "n_shingles", "d1", "d2")], T.StructField("registers", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "_text", rows=4096):
+            for b in slices(whole, "_text", rows=2048):
                 hashes, row = word_hashes(b.column("_text"))
                 h, bounds = shingles(hashes, row, b.num_rows, width)
-                size = np.diff(bounds)
-                total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h), dtype=np.uint64)))
-                cls = mix(total[bounds[1:]] - total[bounds[:-1]] + size.astype(np.uint64)).view(np.int64)
-                registers = sketches(h, bounds)
-                keys = band_keys(registers).view(np.int64)
-                few = size < 4  # a set of up to 3 is similar enough only to itself
-                bands = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(few, 0, BANDS)))), pa.int32()), pa.array(keys[~few].ravel()))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), pa.array(size.astype(np.int64)), pa.array(cls, mask=size == 0), pa.array([x.tobytes() for x in registers], pa.binary()), bands], schema.names)
+                size, raw = np.diff(bounds), memoryview(h.view(np.uint8))
+                digests = np.frombuffer(b"".join(blake2b(raw[8 * i : 8 * j], digest_size=16).digest() for i, j in zip(bounds[:-1], bounds[1:], strict=True)), np.int64).reshape(-1, 2)
+                alone = size * (100 - percent) < percent  # a different set shares too little with one so small
+                registers = pa.array([None if few else x.tobytes() for few, x in zip(alone, sketches(h, bounds), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), pa.array(size.astype(np.int64)), *[pa.array(digests[:, k], mask=size == 0) for k in (0, 1)], registers], schema.names)
 
     return docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
-class Search:
-    """Finds links between classes; docs gives the texts for the check, sketched their staged sketches."""
-
-    def __init__(self, docs: DataFrame, sketched: DataFrame, width: int, percent: int, doc_id: str, text: str):
-        self.width, self.percent = width, percent
-        self.least = percent / 100 - 4.5 * float(np.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS))
-        self.texts = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), F.col(text).alias("text"))
-        one = F.min_by(F.struct("doc_id", "row_key", F.col("n_shingles").cast("int").alias("n"), "registers", "bands"), F.struct("doc_id", "row_key"))
-        self.classes = stage(sketched.where("size(bands) > 0").groupBy("cls").agg(one.alias("one")).select("cls", "one.*"), "classes")
-        self.roots: DataFrame | None = None
-        self.checked: DataFrame | None = None
-
-    def check(self, pairs: DataFrame, n: int) -> DataFrame:
-        """Of n pairs (x, y) of classes, those that the full sets link, as edges (a, b)."""
-        width, percent = self.width, self.percent
-        least = self.least
-        needed = bounded(pairs.select(F.explode(F.array("x", "y")).alias("cls")), 2 * n)
-        classes = self.classes.join(needed, "cls", "left_semi")
-        side = lambda c: classes.select(F.col("cls").alias(c), F.col("doc_id").alias(f"id_{c}"), F.col("row_key").alias(f"key_{c}"), F.col("registers").alias(f"registers_{c}"))
-        both = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "id_x", "key_x", "id_y", "key_y", "registers_x", "registers_y")
-        kept = [f for f in both.schema.fields if not f.name.startswith("registers")]
-
-        def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    a, c = (np.frombuffer(b"".join(b.column(x).to_pylist()), np.uint16).reshape(b.num_rows, REGISTERS) for x in ("registers_x", "registers_y"))
-                    yield b.select([f.name for f in kept]).filter(pa.array(estimate(a, c) >= least))
-
-        near = stage(both.mapInArrow(likely, T.StructType(kept)), "likely")
-        needed = near.select(F.col("id_x").alias("i"), F.col("key_x").alias("k")).unionByName(near.select(F.col("id_y").alias("i"), F.col("key_y").alias("k")))
-        texts = self.texts.join(bounded(needed, 2 * near.count()), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("row_key") == F.col("k")), "left_semi")
-        texts = stage(texts.groupBy("doc_id", "row_key").agg(F.first("text").alias("text")), "texts")
-        text = lambda c: texts.select(F.col("doc_id").alias(f"i_{c}"), F.col("row_key").alias(f"k_{c}"), F.col("text").alias(f"text_{c}"))
-        on = lambda c: F.col(f"id_{c}").eqNullSafe(F.col(f"i_{c}")) & (F.col(f"key_{c}") == F.col(f"k_{c}"))
-        full = near.join(text("x"), on("x")).join(text("y"), on("y")).select(F.col("x").alias("a"), F.col("y").alias("b"), "text_x", "text_y")
-
-        def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for b in slices(whole, "text_x", rows=1024):
-                    n = b.num_rows
-                    (ha, ba), (hb, bb) = (shingles(*word_hashes(b.column(c)), n, width) for c in ("text_x", "text_y"))
-                    na, nb = np.diff(ba), np.diff(bb)
-                    h, r = np.concatenate((ha, hb)), np.concatenate((np.repeat(np.arange(n), na), np.repeat(np.arange(n), nb)))
-                    order = np.lexsort((h, r))
-                    h, r = h[order], r[order]
-                    same = (h[1:] == h[:-1]) & (r[1:] == r[:-1])
-                    shared = np.bincount(r[1:][same], minlength=n)
-                    yield b.select(["a", "b"]).filter(pa.array(100 * shared >= percent * (na + nb - shared)))
-
-        return stage(full.mapInArrow(linked, "a long, b long"), "links")
-
-    def root_of(self, rows: DataFrame, cls: str, name: str) -> DataFrame:
-        """rows with the root, as `name`, of the component that the class in column cls belongs to so far."""
-        if self.roots is None:
-            return rows.withColumn(name, F.col(cls))
-        return rows.join(self.roots.select(F.col("node").alias(cls), F.col("root").alias("_root")), cls, "left").withColumn(name, F.coalesce("_root", cls)).drop("_root")
-
-    def link(self, pairs: DataFrame, one: bool = False) -> bool:
-        """Checks pairs (x, y) that weren't checked before; `one`: one pair for each y. Returns whether there were any."""
-        new = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.col("y").alias("of")).distinct()
-        if self.checked is not None:
-            new = new.join(self.checked, ["x", "y"], "left_anti")
-        if one:
-            new = new.groupBy("of").agg(F.min(F.when(F.col("x") == F.col("of"), F.col("y")).otherwise(F.col("x"))).alias("with"))
-            new = new.select(F.least("of", "with").alias("x"), F.greatest("of", "with").alias("y"))
-        new = stage(new.select("x", "y").distinct(), "pairs")
-        n = new.count()
-        if not n:
-            return False
-        self.checked = new if self.checked is None else self.checked.unionByName(new)
-        found = self.check(new, n)
-        if not found.isEmpty():
-            if self.roots is not None:  # what is joined already counts by its root alone
-                found = found.unionByName(self.roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-            self.roots = components(found)
-        return True
-
-    def open(self, rows: DataFrame) -> DataFrame:
-        """Of rows (key, cls, n), those in buckets with several components: key, cls, n, label (root), hub (a class of the bucket), hub_n, size."""
-        labelled = self.root_of(rows, "cls", "label")
-        several = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.col("cls").alias("id"), "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("lo < hi")
-        return stage(labelled.join(several.select("key", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), "size"), "key"), "opened")
-
-    def likely(self, opened: DataFrame, best: bool) -> DataFrame:
-        """Likely pairs (x, y) between components of opened buckets, compared block by block; `best`: for each member of a pair of blocks the likeliest alone."""
-        percent, least = self.percent, self.least
-        blocks = F.ceil(F.col("size") / BLOCK)
-        members = opened.withColumn("block", F.pmod(F.xxhash64("cls"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        members = members.select("cls", "n", "label", "block", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("group"), (F.col("block") == F.col("other")).alias("own"))
-        full = members.join(self.classes.select("cls", "registers"), "cls")
-
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t in _groups(batches):
-                g, cls, n, label, block = (t[c].to_numpy() for c in ("group", "cls", "n", "label", "block"))
-                own = t["own"].to_numpy(zero_copy_only=False)
-                registers = np.frombuffer(b"".join(t["registers"].to_pylist()), np.uint16).reshape(len(g), REGISTERS)
-                a, step, top, partner = np.arange(len(g)), 0, np.zeros(len(g)), np.full(len(g), -1)
-                while len(a):
-                    step += 1
-                    a = a[a < len(g) - step]
-                    a = a[g[a] == g[a + step]]
-                    b = a + step
-                    use = (own[a] | (block[a] != block[b])) & (label[a] != label[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
-                    for k in range(0, int(use.sum()), 4096):
-                        p, q = a[use][k : k + 4096], b[use][k : k + 4096]
-                        share = estimate(registers[p], registers[q])
-                        near = share >= least
-                        p, q, share = p[near], q[near], share[near]
-                        if not best and len(p):
-                            yield pa.RecordBatch.from_arrays([pa.array(cls[p]), pa.array(cls[q])], ["x", "y"])
-                        for i, j in ((p, q), (q, p)):
-                            more = share > top[i]
-                            top[i[more]], partner[i[more]] = share[more], j[more]
-                if best and (partner >= 0).any():
-                    has = np.flatnonzero(partner >= 0)
-                    yield pa.RecordBatch.from_arrays([pa.array(cls[has]), pa.array(cls[partner[has]])], ["x", "y"])
-
-        return full.repartition("group").sortWithinPartitions("group", "cls").mapInArrow(compare, "x long, y long")
-
-    def run(self) -> DataFrame | None:
-        """node and root for every class that has a link; None if none has."""
-        alike = lambda a, b: 100 * F.least(a, b) >= self.percent * F.greatest(a, b)  # noqa: E731  sets of other sizes can't be similar enough
-        opened = self.open(self.classes.select("cls", "n", F.explode("bands").alias("key")))
-        if opened.isEmpty():
-            return self.roots
-        stars = opened.where((F.col("cls") != F.col("hub")) & alike("n", "hub_n")).select("hub", F.col("cls").alias("y"), "label").distinct()
-        more = self.link(self.root_of(stars, "hub", "other").where("label <> other").select(F.col("hub").alias("x"), "y"), one=True)
-        left = self.open(opened.select("key", "cls", "n")) if more else opened
-        parts = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
-        bounds = parts.groupBy("key").agg(F.max("n").alias("most"), F.first("size").alias("size"), F.sum(F.col("n") * F.col("n")).alias("inside"))
-        # pairs across components, for each member at most PER_MEMBER
-        few = (F.col("size") * F.col("size") - F.col("inside")) / 2 <= PER_MEMBER * F.col("size")
-        judged = stage(bounds.select("key", "most", few.alias("few")), "judged")
-        main = parts.join(judged.where("few"), "key").where("n = most").groupBy("key").agg(F.max("label").alias("main"))
-        ready = left.select("key", "cls", "n", "label").join(main, "key")
-        outer = ready.where("label <> main").select("key", F.col("cls").alias("x"), F.col("n").alias("of"), F.col("label").alias("other"))
-        across = outer.join(ready, "key").where(F.expr("label <> other and (label = main or label < other)") & alike("n", "of"))
-        self.link(across.select("x", F.col("cls").alias("y")))
-        large = left.join(judged.where("not few"), "key", "left_semi").select("key", "cls", "n")
-        for best in (True, False):
-            opened = self.open(large)
-            if opened.isEmpty():
-                break
-            self.link(self.likely(opened, best))
-        return self.roots
+def _registers(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), REGISTERS)
+
+
+def bands_of(classes: DataFrame) -> DataFrame:
+    """key and cls for every band of every class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                b = whole.slice(at, 2048)
+                keys = band_keys(_registers(b.column("registers")))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(b.column("cls").to_numpy(), BANDS))], ["key", "cls"])
+
+    return classes.where("registers is not null").select("cls", "registers").mapInArrow(run, "key long, cls long")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Rows sorted by group, cut where a group ends, with about `most` shingles (column n) unless one group has more."""
+    held: list[pa.RecordBatch] = []
+    weight, last = 0, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        g, n = b.column("group").to_numpy(), np.cumsum(b.column("n").to_numpy())
+        starts = np.flatnonzero(np.concatenate(([last is None or g[0] != last], g[1:] != g[:-1])))
+        done = base = 0
+        for s in starts:
+            before = int(n[s - 1]) if s else 0
+            if weight + before - base >= most:
+                part = [*held, b.slice(done, s - done)]
+                yield pa.Table.from_batches(part)
+                held, weight, done, base = [], 0, s, before
+        held.append(b.slice(done))
+        weight, last = weight + int(n[-1]) - base, g[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def compare(rows: DataFrame, members: DataFrame, width: int, percent: int, banded: bool) -> DataFrame:
+    """Links between labels, as edges (a, b), that the full sets show within groups of rows (group, cls, label, low, own).
+
+    Pairs of a group are compared if one is of its low block and one isn't, or if the group is its own block's; with `banded`, where `group_key` is
+    the key of the first band that the two share. Each task's edges are a spanning forest of its links.
+    """
+    least = percent / 100 - 4.5 * float(np.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS))
+    full = rows.join(members.select("cls", "n", "registers", "text"), "cls").repartition("group").sortWithinPartitions("group", "cls")
+
+    def likely(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs to check."""
+        g, label, n, own = (t[c].to_numpy() for c in ("group", "label", "n", "own"))
+        low, key, registers = t["low"].to_numpy(), t["group_key"].to_numpy(), _registers(t["registers"])
+        a, step, left, right = np.arange(len(g)), 0, [], []
+        while len(a):
+            step += 1
+            a = a[a < len(g) - step]
+            a = a[g[a] == g[a + step]]
+            b = a + step
+            use = (own[a] | (low[a] != low[b])) & (label[a] != label[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+            for k in range(0, int(use.sum()), 4096):
+                p, q = a[use][k : k + 4096], b[use][k : k + 4096]
+                same = registers[p] == registers[q]
+                near = estimate(registers[p], registers[q]) >= least
+                if banded:
+                    near &= same.reshape(len(p), BANDS, ROWS).all(2).argmax(1) == (key[p] & 63)
+                left.append(p[near])
+                right.append(q[near])
+        return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
+
+    def linked(t: pa.Table, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Which of the pairs (sorted by p) the full sets link."""
+        used, at = np.unique(np.concatenate((p, q)), return_inverse=True)
+        hashes, row = word_hashes(t["text"].combine_chunks().take(pa.array(used)))
+        h, bounds = shingles(hashes, row, len(used), width)
+        size, ids = np.diff(bounds), np.unique(h, return_inverse=True)[1]
+        x, y = at[: len(p)], at[len(p) :]
+        mark, out = np.zeros(len(ids) + 1, bool), np.zeros(len(p), bool)
+        runs = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1], [True])))
+        for s, e in zip(runs[:-1], runs[1:], strict=True):
+            i, others = x[s], y[s:e]
+            mine = ids[bounds[i] : bounds[i + 1]]
+            mark[mine] = True
+            cut = max(1, (1 << 20) // int(size[others].max()))
+            for k in range(0, len(others), cut):
+                some = others[k : k + cut]
+                starts = np.concatenate(([0], np.cumsum(size[some])[:-1]))
+                take = np.repeat(bounds[some] - starts, size[some]) + np.arange(int(size[some].sum()))
+                shared = np.add.reduceat(mark[ids[take]].astype(np.int64), starts)
+                out[s + k : s + k + len(some)] = 100 * shared >= percent * (size[i] + size[some] - shared)
+            mark[mine] = False
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, SHINGLES):
+            p, q = likely(t)
+            if len(p):
+                order = np.argsort(p, kind="stable")
+                p, q = p[order], q[order]
+                found = linked(t, p, q)
+                label = t["label"].to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest(label[p[found]], label[q[found]])], ["a", "b"])
+
+    return full.mapInArrow(run, "a long, b long")
+
+
+def blocks(rows: str, shingles: str) -> Column:
+    """So many blocks that each has about BLOCK rows and SHINGLES shingles at most."""
+    return F.greatest(F.lit(1), F.ceil(F.col(rows) / BLOCK), F.ceil(F.col(shingles) / SHINGLES)).cast("int")
+
+
+def find_roots(classes: DataFrame, texts: DataFrame, bands: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """node and root for every class that has a link; None if none has. classes: cls, n, doc_id, row_key, registers; texts: doc_id, row_key, text; bands: key, cls."""
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = stage(bands.join(shared, "key"), "shared")
+    degree = stage(shared.groupBy("cls").agg(F.sum("size").alias("degree")).join(classes.select("cls", "n", "doc_id", "row_key"), "cls"), "degree")
+    wanted = degree.count()
+    if not wanted:
+        return None
+    needed = bounded(degree.select("cls", F.col("doc_id").alias("_i"), F.col("row_key").alias("_k")), wanted)
+    found = texts.join(needed, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("row_key") == F.col("_k"))).groupBy("cls").agg(F.first("text").alias("text"))
+    members = stage(found.join(classes.select("cls", "n", "registers"), "cls"), "members")
+    light = degree.select("cls", "n", "degree")
+    at = stage(shared.join(bounded(light, wanted), "cls"), "at")
+    unstage(shared)
+
+    # first round: each class with the hub of each of its buckets
+    hubs = at.groupBy("key").agg(F.max(F.struct("degree", F.col("cls").alias("hub"), F.col("n").alias("hub_n"))).alias("h")).select("key", "h.hub", "h.hub_n")
+    alike = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
+    stars = stage(at.join(hubs, "key").where((F.col("cls") != F.col("hub")) & alike).select("hub", "cls", "n").distinct(), "stars")
+    sizes = stars.groupBy("hub").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles")).select("hub", blocks("rows", "shingles").alias("parts"))
+    sizes = stage(sizes, "star-sizes")
+    rays = stars.join(sizes, "hub").select(F.xxhash64("hub", F.pmod(F.xxhash64("cls"), "parts").cast("int")).alias("group"), "cls", F.lit(False).alias("low"))
+    centres = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(F.xxhash64("hub", "part").alias("group"), F.col("hub").alias("cls"), F.lit(True).alias("low"))
+    rows = rays.unionByName(centres).withColumns({"label": F.col("cls"), "own": F.lit(False), "group_key": F.lit(0).cast("long")})
+    links = stage(compare(rows, members, width, percent, banded=False), "links")
+    roots = components(links)
+
+    # second round: whatever lies between components
+    labelled = at.withColumn("label", F.col("cls")) if roots is None else at.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("root", "cls")).drop("root")
+    labelled = stage(labelled.select("key", "cls", "n", "label"), "labelled")
+    parts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
+    several = parts.groupBy("key").agg(F.max(F.struct("rows", "shingles", "label")).alias("main"), F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    several = several.select("key", F.col("main.label").alias("main"), "rows", "shingles", F.col("main.rows").alias("main_rows"), F.col("main.shingles").alias("main_shingles"), (F.col("rows") - F.col("main.rows")).alias("other_rows"), (F.col("shingles") - F.col("main.shingles")).alias("other_shingles"))
+    single, minor, major = blocks("rows", "shingles"), blocks("other_rows", "other_shingles"), blocks("main_rows", "main_shingles")
+    several = stage(several.select("key", "main", (single == 1).alias("single"), minor.alias("minor"), major.alias("major")), "several")
+    opened = labelled.join(several, "key")
+    # blocks 0 .. minor - 1 hold the others, the rest the largest component, which meets the others alone
+    other = F.col("label") != F.col("main")
+    place = F.pmod(F.xxhash64("cls"), F.when(other, F.col("minor")).otherwise(F.col("major")))
+    opened = opened.withColumn("block", F.when(F.col("single"), 0).when(other, place).otherwise(F.col("minor") + place).cast("int"))
+    last = F.when(F.col("single"), 0).when(other, F.col("minor") + F.col("major") - 1).otherwise(F.col("minor") - 1)
+    opened = opened.withColumn("with", F.explode(F.sequence(F.lit(0), last.cast("int"))))
+    rows = opened.select(F.xxhash64("key", F.least("block", "with"), F.greatest("block", "with")).alias("group"), "cls", "label", (F.col("block") < F.col("with")).alias("low"), (F.col("block") == F.col("with")).alias("own"), F.col("key").alias("group_key"))
+    more = stage(compare(rows, members, width, percent, banded=True), "more-links")
+    joined = components(more)
+    for done in (at, degree, members, stars, sizes, links, labelled, several, more):
+        unstage(done)
+    if roots is None or joined is None:
+        return joined if roots is None else roots
+    onto = joined.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    alone = joined.join(roots.select("node"), "node", "left_anti")  # classes that only the second round links
+    return stage(roots.join(onto, "root", "left").select("node", F.coalesce("to", "root").alias("root")).unionByName(alone), "roots")
 
 
 def judge(docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """For every row: doc_id, row_key, n_shingles, root (a class; null if the set is empty), component_id, kept."""
-    sketched = stage(sketch_documents(docs, width, doc_id, text), "sketches")
-    roots = Search(docs, sketched, width, percent, doc_id, text).run()
-    rows = sketched.select("doc_id", "row_key", "n_shingles", "cls")
-    rows = rows.withColumn("root", F.col("cls")) if roots is None else rows.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    found = rows.join(least, "root", "left").withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")))
-    return found.select("doc_id", "row_key", "n_shingles", "root", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    """For every row: doc_id, row_key, n_shingles, component_id, kept, first (whether it has the doc_id and row_key of its component's first)."""
+    sketched = stage(sketch_documents(docs, width, percent, doc_id, text), "sketches")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))  # ids that are null come last
+    classes = sketched.where("d1 is not null").groupBy("d1", "d2").agg(best.alias("best"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
+    classes = stage(classes.select(F.monotonically_increasing_id().alias("cls"), "d1", "d2", "n", "registers", "best.doc_id", "best.row_key"), "classes")
+    texts = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), F.col(text).alias("text"))
+    roots = find_roots(classes, texts, bands_of(classes), width, percent)
+    rooted = classes.select("cls", "d1", "d2", "doc_id", "row_key")
+    if roots is not None:
+        whole = rooted.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+        joined = whole.where("root is not null")
+        firsts = joined.groupBy("root").agg(best.alias("best"))
+        rooted = stage(joined.select("d1", "d2", "root").join(firsts, "root").select("d1", "d2", "best.doc_id", "best.row_key").unionByName(whole.where("root is null").select("d1", "d2", "doc_id", "row_key")), "rooted")
+    of_set = rooted.select("d1", "d2", F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"))
+    rows = sketched.where("d1 is not null").select("doc_id", "row_key", "n_shingles", "d1", "d2").join(of_set, ["d1", "d2"])
+    rows = rows.select("doc_id", "row_key", "n_shingles", F.col("_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key"))).alias("first"))
+    empty = sketched.where("d1 is null").select("doc_id", "row_key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("boolean").alias("first"))
+    return rows.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def decide(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """For every row: doc_id, row_key, n_shingles, component_id, kept."""
-    return judge(docs, width, percent, doc_id, text).drop("root")
+    return judge(docs, width, percent, doc_id, text).drop("first")
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of every component, with docs' columns: of rows that share the least doc_id, that with the least hash."""
-    kept = judge(docs, width, percent, doc_id, text).where("kept").select(F.col("doc_id").alias("_i"), F.col("row_key").alias("_k"), F.col("root").alias("_c"), F.col("n_shingles").alias("_n")).distinct()
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole"), F.col(doc_id).alias("_own"), row_key(doc_id, text).alias("_key"))
-    both = d.join(kept, F.col("_own").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")))
-    alone = both.where("_n = 0").select("_whole.*")
-    first = Window.partitionBy("_c").orderBy(F.xxhash64("_whole"))
-    return both.where("_n > 0").withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select("_whole.*").unionByName(alone)
+    """One row of every component, with docs' columns, and every row without words: of rows that share the least doc_id, that with the least hash."""
+    judged = judge(docs, width, percent, doc_id, text)
+    return keep_rows(docs, F.col(doc_id), row_key(doc_id, text), judged.select(F.col("doc_id").alias("id"), F.col("row_key").alias("key"), F.coalesce("first", F.lit(True)).alias("keep"), F.col("first").isNull().alias("always")))

@@ -113,12 +113,23 @@ def test_near_by_brute_force(spark, width):
 
 
 def test_near_when_all_buckets_are_split(spark, monkeypatch):
-    """Whatever the bound on a bucket's pairs, no link between components is lost."""
-    monkeypatch.setattr(near_dup, "PER_MEMBER", 0)
+    """However small the blocks, no link between components is lost."""
+    monkeypatch.setattr(near_dup, "BLOCK", 3)
     rows = corpus(5)
     assert {r.doc_id: r.component_id for r in near_dup.decide(documents(spark, rows), width=2).collect()} == near_brute(rows, 2)[1]
 
 
+@pytest.mark.parametrize("percent", [60, 75, 95, 100])
+def test_near_at_other_thresholds(spark, percent):
+    rows = corpus(6) + [(1000 + i, t, "s") for i, t in enumerate(["a b c d", "a b c d e", "a b c", "a b c d f", "b c d", "x y z", "x y z w"])]
+    got = {r.doc_id: r.component_id for r in near_dup.decide(documents(spark, rows), width=1, percent=percent).collect()}
+    want = near_brute(rows, 1, percent)[1]
+    if percent >= 75:
+        assert got == want
+    else:  # bands are made for 0.8 and above: pairs at lower similarity may be missed, none is made up
+        assert all(want[i] <= got[i] for i in got)
+
+
 def test_near_keeps_one_and_its_columns(spark):
     rows = corpus(9)
     kept = near_dup.keep_one(documents(spark, rows))
@@ -144,10 +155,12 @@ def test_near_compares_all_of_a_large_bucket(spark, monkeypatch):
         base = [f"g{g}x{rng.randrange(10**6)}" for _ in range(120)]
         made += [" ".join(base[:k] + [f"new{g}y{k}"] + base[k + 1 :]) for k in (10, 60)]
     rows = [(i, t, "s") for i, t in enumerate(made)]
-    own = F.concat(F.array(F.lit(5)), F.transform(F.sequence(F.lit(1), F.lit(47)), lambda j: F.xxhash64("doc_id", j)))
-    sketched = near_dup.stage(near_dup.sketch_documents(documents(spark, rows), 2).withColumn("bands", own.cast("array<long>")), "sketches")
-    found = near_dup.Search(documents(spark, rows), sketched, 2, 80, "doc_id", "text").run()
-    cls = {r.cls: r.doc_id for r in sketched.collect()}
+    docs = documents(spark, rows)
+    same = F.concat(F.unhex(F.lit("01" * 2 * near_dup.ROWS)), F.expr(f"substring(registers, {2 * near_dup.ROWS + 1})"))  # all agree in the first band
+    classes = near_dup.stage(near_dup.sketch_documents(docs, 2, 80).select("doc_id", "row_key", F.col("doc_id").alias("cls"), F.col("n_shingles").alias("n"), same.alias("registers")), "classes")
+    texts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    found = near_dup.find_roots(classes, texts, near_dup.bands_of(classes), 2, 80)
+    cls = {r.cls: r.doc_id for r in classes.collect()}
     got = defaultdict(set)
     for r in found.collect():
         got[r.root].add(cls[r.node])
@@ -175,6 +188,8 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (300, 200), (7, 7)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 200: 100, 300: 100}
+    assert graph.components(spark.createDataFrame([(7, 7)], "a long, b long")) is None
+    assert {*zip(*(x.tolist() for x in graph.forest(np.array([5, 9, 2, 8]), np.array([3, 5, 8, 8]))), strict=True)} == {(5, 3), (9, 3), (8, 2)}
 
 
 # -- mixing
