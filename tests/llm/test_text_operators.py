@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -130,27 +131,37 @@ def test_toxicity_of_odd_texts(spark):
     assert toxicity.score(documents(spark, []), toxicity.fit(docs, labels)).count() == 0
 
 
-def backoff(texts, least=2, alpha=0.4):
-    words = [[w for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").replace("\t", " ").replace("\n", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ") if w] for t in texts]
-    one, two = Counter(w for ws in words for w in ws), Counter(p for ws in words for p in zip(ws, ws[1:]))
-    total = sum(one.values())
+def backoff(texts, order=2, alpha=0.4):
+    """Tokens and the summed logarithm of each text, by the counts of all other texts."""
+    docs = [re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) for t in texts]
+    grams = lambda d: Counter(tuple(d[i : i + n]) for n in range(1, order + 1) for i in range(len(d) - n + 1))
+    own = [grams(d) for d in docs]
+    total = Counter()
+    for g in own:
+        total.update(g)
+    words = sum(map(len, docs))
 
-    def each(ws):
-        for i, w in enumerate(ws):
-            c = two[(ws[i - 1], w)] if i else 0
-            yield math.log(c / one[ws[i - 1]]) if i and c >= least else math.log((alpha if i else 1) * one[w] / total)
+    def value(run, mine, rest):
+        c = total[run] - mine[run]
+        if len(run) == 1:
+            return math.log(max(c, 1) / max(rest, 1))
+        return math.log(c / (total[run[:-1]] - mine[run[:-1]])) if c else math.log(alpha) + value(run[1:], mine, rest)
 
-    return [(len(ws), sum(each(ws)) if ws else None) for ws in words]
+    return [(len(d), math.fsum(value(tuple(d[max(0, i - order + 1) : i + 1]), g, words - len(d)) for i in range(len(d))) if d else None) for d, g in zip(docs, own, strict=True)]
 
 
-def test_scores_by_brute_force(spark):
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_scores_by_brute_force(spark, monkeypatch, order):
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", 3000)
     rng = random.Random(3)
-    texts = [*[t for t in ODD if not t or len(t) < 1000], *[" ".join(rng.choice("the Of and tree sky sea run".split()) for _ in range(rng.randrange(1, 60))) for _ in range(80)], "the " * 5000]
-    got = {r.doc_id: r for r in lm_score.score(documents(spark, texts)).collect()}
-    for i, (n, s) in enumerate(backoff(texts)):
+    texts = [*[t for t in ODD if not t or len(t) < 1000], *[" ".join(rng.choice("the Of and tree sky sea run".split()) for _ in range(rng.randrange(1, 60))) for _ in range(80)], "the " * 5000, "only here", "Only HERE"]
+    got = {r.doc_id: r for r in lm_score.score(documents(spark, texts).repartition(3), order).collect()}
+    assert len(got) == len(texts)
+    for i, (n, s) in enumerate(backoff(texts, order)):
         assert got[i].n_tokens == n
         assert (s is None and got[i].log_score is None) or got[i].log_score == pytest.approx(s, rel=1e-9)
     assert lm_score.score(documents(spark, [])).count() == 0
+    assert [r.log_score for r in lm_score.score(documents(spark, ["alone"])).collect()] == [0.0]
 
 
 def test_scores_over_the_whole_table(spark, tables):
