@@ -1,17 +1,18 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree (DataFrame functions only).
 
-Every source is a stream of words: its documents in the order of a seeded hash, cut into equal blocks. A source's target in
-words gives its exact quota of block draws: so many passes over the whole stream and, for what remains, a prefix of it.
+Every source is a stream of words: its documents in the order of a seeded hash, cut into equal blocks (of BLOCK_WORDS, or fewer if the source
+is small). A source's target in words gives its exact quota of block draws; draws take its blocks in the order of a permutation, pass after pass, and the last is cut to the word.
 The tree deals all draws out among the output shards: a node's quotas, one for each source, are split between two
-halves by conditional hypergeometric draws (inverse cumulative distribution, seeded), down to the leaves. A source's
-draws, permuted by an affine map, go to the shards in disjoint runs of those sizes, and each shard orders its own by a hash.
+halves by conditional hypergeometric draws (inverse cumulative distribution, seeded), down to the leaves. A leaf's quotas are disjoint runs of
+its sources' permuted draws; what a document gives to the mix is what of it lies in blocks of those runs, and each shard orders its own by a hash.
+There are 16 shards, or more so that each has about SHARD_WORDS words.
 
 Targets: each source's weight, as a share of all words, times the words of all sources; a target above `most` times its source's size
 stops there and the excess is dealt out again by weight until none is above.
 
 Cases: sizes count runs of bytes other than [\\x20\\x09-\\x0D] (null: 0); a null source is one of the sources, last in code-point
-order; documents without words are never drawn (taken = 0); rows that repeat are each mixed, in one bucket of the order;
-equal hashes are ordered by size; an empty table gives an empty mix; extra columns are kept by `mix`.
+order; documents without words are never drawn (taken = 0); rows that repeat are each mixed, one after the other in the order;
+equal hashes are ordered by size; an empty table gives an empty mix; extra columns are kept by `mix`. A row for each source is gathered in one task: sources are taken to be far fewer than documents.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 from ferrule.llm.staging import stage
 
 BUCKET_WORDS = 200_000
-BLOCK_WORDS = 4096
-PRIME = 2_147_483_647
+BLOCK_WORDS, LEAST_BLOCKS = 4096, 1024
+SHARD_WORDS = 50_000_000
+PRIME, OFFSET = 2_147_483_647, 1_000_003
 
 
 def word_count(text: Column) -> Column:
@@ -130,14 +132,26 @@ def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
 
 
 def aims(measured: DataFrame, source: str, weights: tuple[int, ...], most: int) -> DataFrame:
-    """A row for each source: _s, _source_size, _target, and its exact quota: _passes over all its words, then _prefix words of them, in _quota block draws of its _blocks blocks."""
+    """A row for each source: _s, _source_size, _target, and its exact quota: its words in _blocks blocks of _width, which are drawn _quota times in all,
+    _blocks draws a pass in the order of a permutation (see `position`), with the last _cut words of the last draw's block left out."""
     per_source = measured.groupBy("_s").agg(F.first(source).alias("source"), F.sum("_size").alias("source_size"))
     aimed = targets(per_source.select("source", "source_size"), weights, most)
     tagged = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
-    passes = F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))
-    prefix = F.round(F.col("target") - passes * F.col("source_size")).cast("long")
-    rows = aimed.select(tagged.alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), passes.alias("_passes"), prefix.alias("_prefix"), F.ceil(F.col("source_size") / BLOCK_WORDS).alias("_blocks"))
-    return stage(rows.withColumn("_quota", F.col("_passes") * F.col("_blocks") + F.ceil(F.col("_prefix") / BLOCK_WORDS)), "aims")
+    rows = aimed.select(tagged.alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
+    size = F.greatest("_source_size", F.lit(1).cast("long"))
+    rows = rows.withColumn("_width", F.least(F.lit(BLOCK_WORDS).cast("long"), F.ceil(size / LEAST_BLOCKS))).withColumn("_blocks", F.ceil(size / F.col("_width")))
+    rows = rows.withColumn("_passes", F.floor(F.col("_target") / size)).withColumn("_rest", F.round(F.col("_target") - F.col("_passes") * size).cast("long"))
+    # of the pass that isn't whole: the last of the blocks is `_short` words short, and has its place among the others
+    rows = rows.withColumn("_short", F.col("_width") * F.col("_blocks") - size).withColumn("_at_short", position(F.col("_blocks") - 1, F.col("_blocks")))
+    part = F.when(F.col("_rest") <= F.col("_at_short") * F.col("_width"), F.ceil(F.col("_rest") / F.col("_width"))).otherwise(F.greatest(F.col("_at_short") + 1, F.ceil((F.col("_rest") + F.col("_short")) / F.col("_width"))))
+    rows = rows.withColumn("_part", part).withColumn("_cut", F.col("_part") * F.col("_width") - F.when(F.col("_part") > F.col("_at_short"), F.col("_short")).otherwise(0) - F.col("_rest"))
+    rows = rows.withColumn("_quota", F.when(F.col("_source_size") > 0, F.col("_passes") * F.col("_blocks") + F.col("_part")).otherwise(0))
+    return stage(rows.select("_s", "_source_size", "_target", "_width", "_blocks", "_quota", "_cut"), "aims")
+
+
+def position(block: Column, blocks: Column) -> Column:
+    """The place of a block in the order of drawing: an affine permutation, as PRIME and the number of blocks share no factor."""
+    return F.pmod(block * F.lit(PRIME) + F.lit(OFFSET), blocks)
 
 
 def place(measured: DataFrame, aimed: DataFrame) -> DataFrame:
@@ -154,37 +168,35 @@ def place(measured: DataFrame, aimed: DataFrame) -> DataFrame:
     return based.withColumn("_at", F.col("_base") + F.coalesce(F.sum("_size").over(inside), F.lit(0))).drop("_base", "_bucket")
 
 
-def draws(measured: DataFrame, source: str = "source", seed: int = 1, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, whole: bool = False, levels: int = 4) -> DataFrame:
-    """A row for each drawn block of each document: measured's columns, its source's aims, _pass (from 1), _block, _words (of the document, drawn with it) and _shard.
+def draws(measured: DataFrame, source: str = "source", seed: int = 1, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, whole: bool = False, levels: int | None = None) -> DataFrame:
+    """A row for each drawn block of each document: measured's columns, its source's aims, _draw (its number among the source's draws), _block, _words (of the document, drawn with it) and _shard.
 
-    A document that isn't drawn has one row with _words = 0. With `whole` documents aren't cut: a row stands for a copy.
+    What is drawn are the runs that the tree's leaves hold. A document that isn't drawn has one row with _words = 0. With `whole` documents aren't cut: each
+    is in the block that holds its middle, and a row stands for a copy.
     """
     aimed = aims(measured, source, weights, most)
+    if levels is None:
+        words = aimed.agg(F.sum("_target")).first()[0] or 0
+        levels = max(4, int(words / SHARD_WORDS).bit_length())
+    tree = split_tree(aimed.select(F.col("_s").alias("source"), F.col("_quota").alias("draws")), levels, seed)
+    # a run is found by the cells of equal length, about as many as shards, over which it lies
+    runs = tree.where("n > 0").join(aimed.select(F.col("_s").alias("source"), "_quota"), "source").withColumn("_cells", F.greatest(F.lit(1).cast("long"), F.expr(f"_quota div {2**levels}")))
+    runs = stage(runs.select(F.col("source").alias("_s"), "shard", F.col("from").alias("_from"), (F.col("from") + F.col("n")).alias("_to"), F.explode(F.expr("sequence(from div _cells, (from + n - 1) div _cells)")).alias("_cell")), "runs")
     laid = place(measured, aimed)
-    size, at, prefix = F.col("_size"), F.col("_at"), F.col("_prefix")
-    if whole:
-        extra = F.when(at + size / 2 < prefix, size).otherwise(F.lit(0))
-    else:
-        extra = F.greatest(F.least(size, prefix - at), F.lit(0))
-    laid = laid.withColumn("_extra", extra.cast("long"))
-    copies = (F.col("_passes") + F.when(F.col("_extra") > 0, 1).otherwise(0)).cast("int")
-    laid = laid.withColumn("_pass", F.explode(F.when((copies > 0) & (size > 0), F.sequence(F.lit(1), copies)).otherwise(F.array(F.lit(0)))))
-    here = F.when(F.col("_pass") == 0, 0).when(F.col("_pass") <= F.col("_passes"), size).otherwise(F.col("_extra"))
-    laid = laid.withColumn("_words", here.cast("long"))
+    at, size = F.col("_at"), F.col("_size")
     if whole:
-        laid = laid.withColumn("_block", F.expr(f"_at div {BLOCK_WORDS}"))
+        laid = laid.withColumn("_block", F.expr("(_at + _size div 2) div _width"))
     else:
-        last = f"(_at + greatest(_words, 1) - 1) div {BLOCK_WORDS}"
-        laid = laid.withColumn("_block", F.explode(F.expr(f"sequence(_at div {BLOCK_WORDS}, {last})")))
-        part = F.least(at + F.col("_words"), (F.col("_block") + 1) * BLOCK_WORDS) - F.greatest(at, F.col("_block") * BLOCK_WORDS)
-        laid = laid.withColumn("_words", F.greatest(part, F.lit(0)))
-    tree = stage(split_tree(aimed.select(F.col("_s").alias("source"), F.col("_quota").alias("draws")), levels, seed), "tree")  # sources times 2**levels rows
-    runs = tree.groupBy(F.col("source").alias("_s")).agg(F.array_sort(F.collect_list(F.struct("from", "n", "shard"))).alias("_runs"))
-    dealt = laid.join(small(runs), "_s")
-    slot = F.greatest((F.col("_pass") - 1) * F.col("_blocks") + F.col("_block"), F.lit(0))
-    permuted = F.pmod(slot.cast("long") * F.lit(PRIME) + F.lit(seed), F.greatest("_quota", F.lit(1)))
-    shard = F.aggregate("_runs", F.lit(0).cast("long"), lambda a, r: F.when(permuted >= r["from"], F.when(r["n"] > 0, r["shard"]).otherwise(a)).otherwise(a))
-    return dealt.withColumn("_shard", shard).drop("_runs", "_extra")
+        laid = laid.withColumn("_block", F.explode(F.expr("sequence(_at div _width, (_at + greatest(_size, 1) - 1) div _width)")))
+    place_of = position(F.col("_block"), F.col("_blocks"))
+    times = F.when((size > 0) & (place_of < F.col("_quota")), F.transform(F.sequence(F.lit(0).cast("long"), F.expr("(_quota - 1) div _blocks")), lambda k: k * F.col("_blocks") + place_of))
+    laid = laid.withColumn("_draw", F.explode_outer(F.filter(times, lambda d: d < F.col("_quota")))).withColumn("_cell", F.expr(f"_draw div greatest(1, _quota div {2**levels})"))
+    runs = runs.select(F.col("_s").alias("_rs"), F.col("_cell").alias("_rcell"), "_from", "_to", F.col("shard").alias("_shard"))
+    dealt = laid.join(small(runs), (F.col("_s") == F.col("_rs")) & (F.col("_cell") == F.col("_rcell")) & (F.col("_draw") >= F.col("_from")) & (F.col("_draw") < F.col("_to")), "left")
+    start = F.col("_block") * F.col("_width")
+    end = F.least(start + F.col("_width"), F.col("_source_size")) - F.when(F.col("_draw") == F.col("_quota") - 1, F.col("_cut")).otherwise(0)
+    part = F.when(at + F.expr("_size div 2") < end, size).otherwise(0) if whole else F.greatest(F.least(at + size, end) - F.greatest(at, start), F.lit(0))
+    return dealt.withColumn("_words", F.when(F.col("_shard").isNull(), 0).otherwise(part).cast("long")).drop("_rs", "_rcell", "_from", "_to", "_cell", "_cut")
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 1, **options) -> DataFrame:
@@ -192,5 +204,5 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole"), F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.col(source).alias("_source"))
     measured = measure(named, "_id", "_text", "_source", seed).drop("_text")
     made = draws(measured, "_source", seed, whole=True, **options).where("_words > 0")
-    order = F.xxhash64(F.lit(seed), F.col("_shard"), F.col("_key"), F.col("_pass"))
+    order = F.xxhash64(F.lit(seed), F.col("_shard"), F.col("_key"), F.col("_draw"))
     return made.withColumn("_order", order).repartition("_shard", F.pmod("_order", F.lit(16))).sortWithinPartitions("_shard", "_order").select("_whole.*")

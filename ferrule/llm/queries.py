@@ -36,9 +36,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ferrule.llm.mixing import draws, measure
     from ferrule.llm.staging import stage
 
-    measured = stage(measure(_table(spark, sf_dir, "documents")).select("doc_id", "source", "_size", "_key", "_s"), "measured")
-    drawn = draws(measured)
-    return drawn.groupBy("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), "_s", "_at").agg(F.sum("_words").alias("taken")).drop("_s", "_at")
+    measured = measure(_table(spark, sf_dir, "documents")).select("doc_id", "source", "_size", "_key", "_s", F.monotonically_increasing_id().alias("_row"))
+    drawn = draws(stage(measured, "measured"))
+    one = [F.first(c).alias(n) for c, n in (("doc_id", "doc_id"), ("_size", "size"), ("_source_size", "source_size"), ("_target", "target"))]
+    return drawn.groupBy("_row").agg(*one, F.sum("_words").alias("taken"), F.collect_set("_shard").alias("shards")).select("doc_id", "size", "source_size", "target", "taken", F.array_sort("shards").alias("shards"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -239,7 +239,25 @@ def test_mix_meets_its_targets(spark, mixed, tmp_path):
     for s in sizes:
         assert abs(taken[s] - want[s]) <= 1
     again = QUERIES["op3_mixing"](spark, str(tmp_path)).collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+    assert all((r.taken > 0) <= (len(r.shards) > 0) for r in got) and {x for r in got for x in r.shards} == set(range(16))
+
+
+def test_mix_keeps_repeated_rows_apart(spark, tmp_path):
+    spark.createDataFrame([(1, "a b c", "s"), (2, None, "s"), (2, None, "s"), (3, "d e", "s"), (3, "d e", "s")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.doc_id, r.size, r.taken) for r in QUERIES["op3_mixing"](spark, str(tmp_path)).collect())
+    assert got == [(1, 3, 3), (2, 0, 0), (2, 0, 0), (3, 2, 2), (3, 2, 2)]
+
+
+def test_mix_takes_what_the_tree_deals_out(spark, mixed, monkeypatch):
+    """With half of the leaves taken away, their draws are missing from what is taken."""
+    measured = mixing.stage(mixing.measure(mixed[1]), "measured")
+    every = mixing.draws(measured).groupBy("_shard").agg(F.sum("_words").alias("n"), F.count("_draw").alias("draws"))
+    by_shard = {r["_shard"]: r.n for r in every.where("_shard is not null").collect()}
+    assert len(by_shard) == 16 and max(by_shard.values()) < 1.2 * min(by_shard.values())
+    tree = mixing.split_tree
+    monkeypatch.setattr(mixing, "split_tree", lambda *a: tree(*a).where("shard < 8"))
+    assert mixing.draws(measured).agg(F.sum("_words")).first()[0] == sum(n for k, n in by_shard.items() if k < 8)
 
 
 def test_mix_of_whole_documents(spark, mixed):
