@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from ferrule.llm.kernels import slices
 
 DIM = 4096
+PARTS = 64
 UNKNOWN = "und"
 _LETTERS = np.fromiter((chr(i).isalpha() and not 0xD800 <= i < 0xE000 for i in range(0x110000)), bool, 0x110000)
 _FACTORS = [np.uint32(x) for x in (2654435761, 2246822519, 3266489917)]
@@ -96,8 +97,10 @@ def fit(labelled: DataFrame, per_language: int = 500, key: str = "doc_id", text:
     """Learns from labelled rows with text and language; None if there are none."""
     order = F.xxhash64(F.lit(seed), F.col(key), F.col(text))
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    ranked = rows.select(F.col(lang).alias("lang"), order.alias("o")).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("o")))
-    chosen = ranked.where(F.col("n") <= per_language).select("lang", "o").distinct()  # per_language rows of each language at most
+    ranked = rows.select(F.col(lang).alias("lang"), order.alias("o"))
+    # a hash of the order deals each language out to PARTS tasks, of which each passes on per_language rows at most
+    some = ranked.withColumn("part", F.pmod("o", F.lit(PARTS))).withColumn("n", F.row_number().over(Window.partitionBy("lang", "part").orderBy("o"))).where(F.col("n") <= per_language)
+    chosen = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("o"))).where(F.col("n") <= per_language).select("lang", "o").distinct()  # per_language rows of each language at most
     picked = rows.select(F.col(lang).alias("lang"), order.alias("o"), F.col(text).alias("text")).join(F.broadcast(chosen), ["lang", "o"], "left_semi").dropDuplicates(["lang", "o"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,6 +119,7 @@ def fit(labelled: DataFrame, per_language: int = 500, key: str = "doc_id", text:
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """docs with lang_pred and score in place of the text's column, from the text alone."""
     kept = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
+    renamed = [f"_{i}" for i in range(len(kept))]  # whatever the columns are called, none has the name of the text's
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,9 +131,9 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
                     scores = model.scores(bits[lettered])
                     for i, k, v in zip(np.flatnonzero(lettered), scores.argmax(1), scores.max(1), strict=True):
                         names[i], best[i] = model.languages[k], v
-                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(names, pa.string()), pa.array(best)], schema.names)
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in renamed], pa.array(names, pa.string()), pa.array(best)], schema.names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, renamed, strict=True)], F.col(f"`{text}`").alias("_text")).mapInArrow(run, schema)
 
 
 def held_out(key: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -345,6 +346,34 @@ def test_vectors_by_brute_force(spark):
     assert embedding_dup.find_links(df.limit(0)).count() == 0
 
 
+def test_vectors_of_several_lengths_and_at_the_threshold(spark):
+    edge = [0.9, math.sqrt(1 - 0.81)]
+    under = [0.8999999999995, math.sqrt(1 - 0.8999999999995**2)]
+    rows = [(1, [1.0, 0.0]), (2, under), (3, [-1.0, 0.0]), (4, [-2.0, 0.0]), (5, [0.0, 1e300]), (6, [0.0, 1e-300]), (7, [1.0, 1.0, 0.0]), (8, [1.0, 1.0, 0.0]), (9, [2.0, 2.0, 0.1]), (10, [1.0] * 5), (11, None), (12, [])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dup.find_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (0, 1), 2: (0, 2), 3: (1, 3), 4: (1, 3), 5: (1, 5), 6: (1, 5), 7: (2, 7), 8: (2, 7), 9: (2, 7), 10: (0, 10), 11: (0, 11), 12: (0, 12)}
+    assert embedding_dup.at_least(np.array([[1.0, 0.0], [1.0, 0.0]]), np.array([edge, under]), 0.9).tolist() == [True, False]
+
+
+@pytest.mark.parametrize("block, dense", [(4, 1), (4, 64), (4096, 1)])
+def test_vectors_whatever_the_blocks(spark, monkeypatch, block, dense):
+    monkeypatch.setattr(embedding_dup, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((4, 8))
+    m = np.concatenate([base[i % 4] + rng.standard_normal(8) * 0.25 for i in range(120)]).reshape(-1, 8)
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    pairs = set()
+    g = np.zeros(120, np.int64)
+    monkeypatch.setattr(embedding_dup, "DENSE", dense)
+    for p, q in embedding_dup.close(g, np.arange(120) % 2, np.full(120, True), u, 0.9):
+        pairs |= set(zip(p.tolist(), q.tolist(), strict=True))
+    assert {(min(x), max(x)) for x in pairs} == {(i, j) for i, j in zip(*np.nonzero(near), strict=True) if i < j}
+    got = embedding_dup.find_links(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, embedding array<double>")).collect()
+    assert sum(r.n_links for r in got) >= 0.95 * near.sum() and all(r.n_links <= near[r.vec_id].sum() for r in got)
+
+
 def test_vectors_recall_over_the_whole_table(spark):
     rows = [r for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect() if r.embedding]
     m = np.array([r.embedding for r in rows], float)
