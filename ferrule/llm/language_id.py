@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferrule.llm.kernels import slices
+from ferrule.llm.staging import text_batches
 
 DIM = 4096
 PARTS = 64
@@ -118,6 +119,7 @@ def fit(labelled: DataFrame, per_language: int = 500, key: str = "doc_id", text:
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """docs with lang_pred and score in place of the text's column, from the text alone."""
+    text_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
     renamed = [f"_{i}" for i in range(len(kept))]  # whatever the columns are called, none has the name of the text's
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

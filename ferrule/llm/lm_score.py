@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferrule.llm.kernels import LOWER, buffers, mix, slices, span_hashes, words
+from ferrule.llm.staging import text_batches
 
 CHUNK_BYTES = 1 << 25
 _WORDS, _SUM = 0, 1  # keys under which a chunk counts its words and a sum of their hashes
@@ -77,7 +78,11 @@ def counted(named: DataFrame, order: int) -> DataFrame:
                 h, row = _hashes(*buffers(b.column("text")))
                 keys += [key[inside] for key, inside in _grams(h, row, order)]
                 total, check = total + len(h), check + mix(h).sum(dtype=np.uint64)
-            key, c = np.unique(np.concatenate(keys), return_counts=True)
+            key = np.concatenate(keys)
+            keys.clear()
+            key.sort()
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])) if len(key) else [])
+            key, c = key[first], np.diff(np.append(first, len(key)))
             key = np.concatenate((np.array([_WORDS, _SUM], np.uint64), key)).view(np.int64)
             c = np.concatenate(([total, int(check) & 0x7FFFFFFF], c)).astype(np.int64)
             for at in range(0, len(key), 1 << 16):
@@ -110,6 +115,7 @@ def _own(key: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 def score(docs: DataFrame, order: int = 2, alpha: float = 0.4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, log_score (sum of natural logarithms), and mean_log_score."""
+    text_batches(docs.sparkSession)
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.spark_partition_id().cast("long").alias("part"))
     totals = F.sum("c").over(Window.partitionBy("key"))
     seen = counted(named, order).withColumn("total", totals).where(f"total > 1 or key in ({_WORDS}, {_SUM})").select("chunk", "key", "c", "total")

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from ferrule.llm.graph import components, forest
 from ferrule.llm.kernels import mix, shingles, slices, word_hashes
-from ferrule.llm.staging import bounded, keep_rows, stage, unstage
+from ferrule.llm.staging import bounded, keep_rows, stage, text_batches, unstage
 
 BANDS, ROWS, MANTISSA = 42, 7, 10
 REGISTERS = BANDS * ROWS
@@ -274,6 +274,7 @@ def find_roots(classes: DataFrame, texts: DataFrame, bands: DataFrame, width: in
 
 def judge(docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """For every row: doc_id, row_key, n_shingles, component_id, kept, first (whether it has the doc_id and row_key of its component's first)."""
+    text_batches(docs.sparkSession)
     sketched = stage(sketch_documents(docs, width, percent, doc_id, text), "sketches")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))  # ids that are null come last
     classes = sketched.where("d1 is not null").groupBy("d1", "d2").agg(best.alias("best"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferrule.llm.kernels import buffers, slices, span_hashes
-from ferrule.llm.staging import stage
+from ferrule.llm.staging import stage, text_batches
 
 MAX_BROADCAST_PARTITIONS = 1_000_000
 MAX_PIECES = 1_500_000
@@ -58,6 +58,7 @@ class PieceEncoder:
     def forget(self) -> None:
         self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.raw, self.raw_at, self.raw_n = bytearray(), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     @staticmethod
     def bounds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -94,7 +95,8 @@ class PieceEncoder:
         k = np.searchsorted(at[:, 0], starts, "left") - 1  # the last literal that opens before
         return starts[(k < 0) | (starts >= at[k, 1])]
 
-    def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+    def learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+        texts = [x.decode() for x in pieces]
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         n = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((x for e in ids for x in e), np.uint32, int(n.sum()))
@@ -103,9 +105,24 @@ class PieceEncoder:
         self.pool[self.used : self.used + len(flat)] = flat
         at = self.used + np.cumsum(n) - n
         self.used += len(flat)
+        raw_n = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        raw_at = len(self.raw) + np.cumsum(raw_n) - raw_n
+        self.raw += b"".join(pieces)
         keys = np.concatenate((self.keys, hashes))
         order = np.argsort(keys, kind="stable")
         self.keys, self.at, self.n = keys[order], np.concatenate((self.at, at))[order], np.concatenate((self.n, n))[order]
+        self.raw_at, self.raw_n = np.concatenate((self.raw_at, raw_at))[order], np.concatenate((self.raw_n, raw_n))[order]
+
+    def same(self, place: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bool:
+        """Whether the known pieces have the very bytes of data's, which lie one behind the other."""
+        if not len(starts):
+            return True
+        if (self.raw_n[place] != ends - starts).any():
+            return False
+        raw, at = np.frombuffer(self.raw, np.uint8), np.arange(starts[0], len(data))
+        equal = bool((raw[np.repeat(self.raw_at[place] - starts, ends - starts) + at] == data[starts[0] :]).all())
+        del raw  # else the pool couldn't grow
+        return equal
 
     def encode(self, column: pa.Array, end: int) -> list[np.ndarray]:
         """Every text's ids and then `end`, as arrays of uint32."""
@@ -121,8 +138,11 @@ class PieceEncoder:
         known[known] = self.keys[place[known]] == hashes[known]
         if len(new := np.flatnonzero(~known)):
             raw = data.tobytes()
-            self.learn(hashes[new], [raw[s:e].decode() for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            self.learn(hashes[new], [raw[s:e] for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
             place = np.searchsorted(self.keys, hashes)
+        if not self.same(place[which], data, starts, ends):  # two pieces share a hash: these texts are encoded whole
+            whole = self.tokenizer.encode_batch_fast([x or "" for x in column.to_pylist()], add_special_tokens=False)
+            return [np.array([*e.ids, end], np.uint32) for e in whole]
         at, n = self.at[place][which], self.n[place][which]
         to = np.cumsum(n)
         flat = self.pool[np.repeat(at - (to - n), n) + np.arange(int(to[-1]) if len(to) else 0)]
@@ -155,6 +175,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end: int, doc_id: str, text:
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end: int = 1, doc_id: str = "doc_id", text: str = "text", added: bool = False) -> DataFrame:
     """One row for each piece of a document in a sequence: doc_id, start, length, ids, doc_tokens, sequence_id, offset."""
+    text_batches(docs.sparkSession)
     parts = stage(tokenise(docs, tokenizer_path, end, doc_id, text, added), "tokens")
     totals = parts.groupBy("part").agg(F.sum("doc_tokens").alias("tokens"))
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition

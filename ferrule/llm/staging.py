@@ -26,6 +26,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to 1000 rows: of whole texts, 10,000 rows can be hundreds of MB in the JVM and again in Python."""
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df once and read it back."""
     path = f"{shared_dir(df.sparkSession)}/ferrule/{name}-{uuid.uuid4().hex}"

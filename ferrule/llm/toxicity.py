@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferrule.llm.kernels import LOWER, buffers, slices, span_hashes, words
+from ferrule.llm.staging import text_batches
 
 BITS = 22
 SCREEN = 8000
@@ -110,8 +111,10 @@ def fit_rows(found: list[np.ndarray], toxic: np.ndarray, sizes: np.ndarray, l1:
     n = len(found)
     if not n or toxic.all() or not toxic.any():
         return Model(np.zeros(0, np.int64), np.zeros(0), np.full(2, 60.0))
-    rows, cols = np.repeat(np.arange(n), [len(x) for x in found]), np.concatenate(found)
-    names, cols = np.unique(cols, return_inverse=True)
+    rows, cols = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in found]), np.concatenate(found).astype(np.int32)
+    names = np.unique(cols)
+    cols = np.searchsorted(names, cols).astype(np.int32)
+    names = names.astype(np.int64)
     with_, yes = np.bincount(cols), np.bincount(cols, weights=toxic[rows].astype(float))
     share, base = (yes + 0.5 * toxic.mean()) / (with_ + 0.5), toxic.mean()
     gain = np.abs(share - base) * np.sqrt(with_)
@@ -132,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, key: str = "doc_
     """Learns from at most `most` labelled rows."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg((F.max(label) > 0).alias("_toxic"))
     chosen = known.orderBy(F.xxhash64(F.lit(seed), "_key"), "_key").limit(most)
-    picked = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(chosen), "_key").dropDuplicates(["_key"])
+    picked = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(chosen), "_key").groupBy("_key", "_toxic").agg(F.min("text").alias("text"))  # of a repeated id the least text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -143,11 +146,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, key: str = "doc_
 
     schema = T.StructType([picked.schema["_key"], picked.schema["_toxic"], T.StructField("found", T.BinaryType()), T.StructField("n", T.LongType())])
     got = picked.mapInArrow(run, schema).orderBy("_key").collect()  # `most` rows at most
-    return fit_rows([np.frombuffer(r.found, np.int32).astype(np.int64) for r in got], np.array([r._toxic for r in got], bool), np.array([r.n for r in got]))
+    return fit_rows([np.frombuffer(r.found, np.int32) for r in got], np.array([r._toxic for r in got], bool), np.array([r.n for r in got]))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, severity (expected grade, 0 to 2), grade (the likeliest), toxic (whether a grade above 0 is likelier than not)."""
+    text_batches(docs.sparkSession)
     schema = T.StructType([docs.schema[key], T.StructField("severity", T.DoubleType()), T.StructField("grade", T.LongType()), T.StructField("toxic", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

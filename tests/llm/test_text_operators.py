@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,6 +33,15 @@ def vocabulary():
     return tokenizers.Tokenizer.from_file(tokenizer_file())
 
 
+def test_pieces_that_share_a_hash_get_their_own_ids(vocabulary):
+    column = pa.array(["One line, and more. ", None, "another"])
+    known = packing.PieceEncoder(tokenizer_file(), added=True)
+    first = known.encode(column, 1)
+    known.raw[:3] = b"xyz"  # as if what is known under these hashes were another text's
+    assert [x.tolist() for x in known.encode(column, 1)] == [x.tolist() for x in first]
+    assert first[1].tolist() == [1] and known.tokenizer.decode(first[0].tolist()[:-1]) == "One line, and more. "
+
+
 def test_packing_round_trip(spark, vocabulary):
     sentences = [f"Plain sentence number {i}, with signs; and a line\nend. " * (i % 9) for i in range(60)]
     texts = [*ODD, *sentences, *sentences[:5]]
