@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,8 +69,8 @@ def _grams(h: np.ndarray, row: np.ndarray, order: int) -> list[tuple[np.ndarray,
     return out
 
 
-def counted(named: DataFrame, order: int) -> DataFrame:
-    """key, chunk and c, for every distinct n-gram of every chunk."""
+def counted(named: DataFrame, order: int, bits: int) -> DataFrame:
+    """bucket, chunk, keys and cs: every distinct n-gram of every chunk with its count, in arrays by the first `bits` bits of the key, its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, parts in _chunks(batches):
@@ -82,14 +83,18 @@ def counted(named: DataFrame, order: int) -> DataFrame:
             keys.clear()
             key.sort()
             first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])) if len(key) else [])
-            key, c = key[first], np.diff(np.append(first, len(key)))
-            key = np.concatenate((np.array([_WORDS, _SUM], np.uint64), key)).view(np.int64)
-            c = np.concatenate(([total, int(check) & 0x7FFFFFFF], c)).astype(np.int64)
-            for at in range(0, len(key), 1 << 16):
-                k = key[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(len(k), chunk, np.int64)), pa.array(c[at : at + (1 << 16)])], ["key", "chunk", "c"])
+            c = np.concatenate(([total, int(check) & 0x7FFFFFFF], np.diff(np.append(first, len(key))))).astype(np.int32)
+            key = np.concatenate((np.array([_WORDS, _SUM], np.uint64), key[first]))
+            bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
+            cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            for at in range(0, len(cuts), 256):
+                some = cuts[at : at + 256]
+                end = cuts[at + 256] if at + 256 < len(cuts) else len(key)
+                offsets = pa.array(np.append(some, end) - some[0], pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x[some[0] : end])) for x in (key.view(np.int64), c)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[some]), pa.array(np.full(len(some), chunk, np.int64)), *lists], ["bucket", "chunk", "keys", "cs"])
 
-    return named.mapInArrow(run, "key long, chunk long, c long")
+    return named.mapInArrow(run, "bucket long, chunk long, keys array<long>, cs array<int>")
 
 
 def packed(named: DataFrame) -> DataFrame:
@@ -117,15 +122,20 @@ def score(docs: DataFrame, order: int = 2, alpha: float = 0.4, doc_id: str = "do
     """doc_id, n_tokens, log_score (sum of natural logarithms), and mean_log_score."""
     text_batches(docs.sparkSession)
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.spark_partition_id().cast("long").alias("part"))
-    totals = F.sum("c").over(Window.partitionBy("key"))
-    seen = counted(named, order).withColumn("total", totals).where(f"total > 1 or key in ({_WORDS}, {_SUM})").select("chunk", "key", "c", "total")
+    bits = max(10, (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length())
+    each = counted(named, order, bits).repartition("bucket").select("bucket", "chunk", F.inline(F.arrays_zip("keys", "cs"))).toDF("bucket", "chunk", "key", "c")
+    summed = each.withColumn("total", F.sum("c").over(Window.partitionBy("bucket", "key"))).where(f"total > 1 or key in ({_WORDS}, {_SUM})")
+    own = [F.max(F.when(F.col("key") == k, F.col("c"))).alias(n) for k, n in ((_WORDS, "words"), (_SUM, "sum"))]
+    # all of a bucket lies in one partition, so nothing moves before the arrays go back to their chunks
+    seen = summed.groupBy("bucket", "chunk").agg(F.collect_list("key").alias("keys"), F.collect_list("total").alias("totals"), *own).drop("bucket")
     schema = T.StructType([named.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("log_score", T.DoubleType())])
 
     def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        keys = counts["key"].to_numpy().view(np.uint64)
-        sort = np.argsort(keys)
-        keys, total, c = keys[sort], counts["total"].to_numpy()[sort], counts["c"].to_numpy()[sort]
-        every, told, n_words, check, out = int(total[0]), c[:2].tolist(), 0, np.uint64(0), []
+        keys, total = (counts[c].combine_chunks().flatten().to_numpy() for c in ("keys", "totals"))
+        sort = np.argsort(keys.view(np.uint64))
+        keys, total = keys.view(np.uint64)[sort], total[sort]
+        told = [pc.max(counts[c]).as_py() for c in ("words", "sum")]
+        every, n_words, check, out = int(total[0]), 0, np.uint64(0), []
         for r in range(texts.num_rows):
             sizes = texts["sizes"][r].values.to_numpy()
             offsets = np.concatenate(([0], np.cumsum(sizes)))
