@@ -26,10 +26,10 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
-def nearest(vectors: DataFrame, query: list[float], k: int, key: str, vector: str = "embedding") -> DataFrame:
-    """Exact top k by cosine; ties by key. Spark keeps k rows a task and never sorts the whole."""
-    sim = cosine(F.col(vector), F.array(*[F.lit(float(x)) for x in query]))
-    return vectors.withColumn("sim", sim).orderBy(F.desc_nulls_last("sim"), key).limit(k)
+def nearest(vectors: DataFrame, query: list[float], k: int | None, key: str, vector: str = "embedding") -> DataFrame:
+    """Exact top k by cosine (None: all rows with their similarity); ties by key. Spark keeps k rows a task and never sorts the whole."""
+    scored = vectors.withColumn("sim", cosine(F.col(vector), F.array(*[F.lit(float(x)) for x in query])))
+    return scored if k is None else scored.orderBy(F.desc_nulls_last("sim"), key).limit(k)
 
 
 def nearest_each(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -82,3 +82,29 @@ def diversify(scored: DataFrame, group: str, score: str, key: str, weight: float
     """Maximal marginal relevance where rows of one group are alike: closed form, all but a group's best row pay the penalty."""
     nth = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), key))
     return scored.withColumn("mmr", weight * F.col(score) - (1 - weight) * F.when(nth > 1, 1.0).otherwise(0.0))
+
+
+def candidates(scored: DataFrame, key: str, vec: str, kw: str, k: int, constant: int = 60, missing: int = 1_000_000) -> DataFrame:
+    """The k best rows by each of two scores, joined: the rows' other columns, vec_norm and kw_norm (score over the leg's greatest; 0 if not in it) and rrf (reciprocal rank fusion)."""
+    others = [c for c in scored.columns if c not in (key, vec, kw)]
+    leg = lambda c, n: ranked(scored.orderBy(F.desc(c), key).limit(k), c, key, f"_r{n}")
+    a = leg(vec, 1).select(key, *[F.col(c).alias(f"_a_{c}") for c in others], F.col(vec).alias("_va"), "_r1", F.max(vec).over(Window.partitionBy()).alias("_ma"))
+    b = leg(kw, 2).select(key, *[F.col(c).alias(f"_b_{c}") for c in others], F.col(kw).alias("_vb"), "_r2", F.max(kw).over(Window.partitionBy()).alias("_mb"))
+    both = a.join(b, key, "full_outer")
+    part = lambda c: 1.0 / (constant + F.coalesce(F.col(c), F.lit(missing)))
+    return both.select(key, *[F.coalesce(f"_a_{c}", f"_b_{c}").alias(c) for c in others], F.coalesce(F.try_divide("_va", "_ma"), F.lit(0.0)).alias("vec_norm"), F.coalesce(F.try_divide("_vb", "_mb"), F.lit(0.0)).alias("kw_norm"), (part("_r1") + part("_r2")).alias("rrf"))
+
+
+def diverse_top(scored: DataFrame, group: str, score: str, key: str, exempt: str, k: int, weight: float = 0.7) -> DataFrame:
+    """Greedy maximal marginal relevance, the k first: rows of a group are alike, `exempt` rows like none. In closed form all but a group's best row pay the penalty."""
+    nth = F.row_number().over(Window.partitionBy(group, exempt).orderBy(F.desc(score), key))
+    mmr = weight * F.col(score) - F.when(~F.col(exempt) & (nth > 1), 1 - weight).otherwise(0.0)
+    return scored.withColumn("mmr", F.round(mmr, 9)).orderBy(F.desc("mmr"), F.desc(score), key).limit(k)
+
+
+def evaluation(judged: DataFrame, rank: str, ms: str) -> DataFrame:
+    """Hit rates, recall and times of a retrieval run: a row for each question with the rank of what it should find (null: not found)."""
+    n = F.count(F.lit(1))
+    hits = [F.round(F.count_if(F.col(rank) <= k) / n, 6).alias(f"hit{k}") for k in (3, 5, 8)]
+    times = [F.round(F.percentile(ms, p), 4).alias(f"{name}_ms") for name, p in (("p50", 0.5), ("p95", 0.95))]
+    return judged.agg(n.alias("queries"), *hits, F.round(F.count(rank) / n, 6).alias("recall"), F.round(F.avg(ms), 4).alias("mean_ms"), *times, F.count_if(F.col(rank).isNull()).alias("failures"))

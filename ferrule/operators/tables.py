@@ -81,3 +81,19 @@ def similar_pairs(sets: DataFrame, key: str, items: str, percent: int = 80) -> D
     shared = F.size(F.array_intersect("a", "b"))
     both = pairs.join(whole("x", "a"), "x").join(whole("y", "b"), "y").select("x", "y", shared.alias("shared"), (F.size("a") + F.size("b") - shared).alias("every"))
     return both.where(100 * F.col("shared") >= percent * F.col("every"))
+
+
+def where_given(df: DataFrame, wanted: dict[str, object]) -> DataFrame:
+    """Rows equal to every value that is given; None asks for nothing."""
+    for column, value in wanted.items():
+        if value is not None:
+            df = df.where(F.col(column) == F.lit(value))
+    return df
+
+
+def values_at(df: DataFrame, by: str, value: str, places: dict[str, str]) -> DataFrame:
+    """Each group's sorted values at places from 0, given as SQL of the group's size n. Values are counted first, so that what a window sees is a group's different values, not its rows."""
+    counts = df.groupBy(by, value).agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(by).orderBy(value))
+    placed = counts.withColumns({"upto": upto, "n": F.sum("c").over(Window.partitionBy(by))})
+    return placed.groupBy(by).agg(*[F.min(F.when(F.col("upto") > F.expr(place), F.col(value))).alias(name) for name, place in places.items()])
