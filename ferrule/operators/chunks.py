@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrule.functions.text import sentences, token_estimate
+from ferrule.functions.text import token_estimate
 
 
 def word_windows(docs: DataFrame, key: str, text: str, size: int = 500, step: int = 450, least: int = 50) -> DataFrame:
-    """Overlapping windows of words; those of `least` characters or fewer go."""
+    """Overlapping windows of words; those of `least` characters or fewer go. A row carries its own window alone."""
     words = docs.select(key, F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ").alias("w"))
-    at = words.select(key, "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1, F.lit(step))).alias("at"))
-    made = at.select(key, F.expr(f"at div {step}").cast("int").alias("chunk"), F.array_join(F.slice("w", F.col("at") + 1, size), " ").alias("text"))
-    return made.where(F.length("text") > least)
+    windows = F.transform(F.sequence(F.lit(0), F.size("w") - 1, F.lit(step)), lambda at: F.array_join(F.slice("w", at + 1, size), " "))
+    return words.select(key, F.posexplode(windows).alias("chunk", "text")).where(F.length("text") > least)
 
 
 def token_gate(chunks: DataFrame, text: str, low: int = 80, high: int = 800) -> DataFrame:
@@ -26,18 +25,31 @@ def token_gate(chunks: DataFrame, text: str, low: int = 80, high: int = 800) ->
 
 
 def line_segments(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Every line with its number and the place at which it starts."""
-    split = docs.select(key, F.split(text, "\n").alias("l"))
-    rows = split.select(key, "l", F.posexplode("l").alias("line", "content"))
-    start = F.aggregate(F.slice("l", 1, F.col("line")), F.lit(0), lambda a, x: a + F.length(x) + 1)
-    return rows.select(key, "line", start.alias("start"), "content")
+    """Every line with its number and the place at which it starts: a running sum over a document's lines. Each row needs a key of its own."""
+    rows = docs.select(key, F.posexplode(F.split(text, "\n")).alias("line", "content"))
+    before = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select(key, "line", F.coalesce(F.sum(F.length("content") + 1).over(before), F.lit(0)).cast("int").alias("start"), "content")
+
+
+def _pack(pieces: Column, start: Column, most: int, alone: Callable[[Column, Column], Column]) -> Column:
+    """Folds pieces into (done, cur): cur takes pieces until it would have more than `most` characters, joining blanks not counted; `alone` says what a piece does that finds cur empty and has more."""
+
+    def step(a: Column, s: Column) -> Column:
+        closed = F.struct(F.concat(a["done"], F.array(F.trim(a["cur"]))).alias("done"), s.alias("cur"))
+        grown = F.struct(a["done"].alias("done"), F.when(a["cur"] == "", s).otherwise(F.concat(a["cur"], F.lit(" "), s)).alias("cur"))
+        return F.when(F.length(a["cur"]) + F.length(s) <= most, grown).when(a["cur"] != "", closed).otherwise(alone(a, s))
+
+    return F.aggregate(pieces, start, step)
 
 
 def sentence_chunks(docs: DataFrame, key: str, text: str, most: int = 500) -> DataFrame:
-    """Sentences gathered until a chunk would pass `most` characters: one ordered fold for each document."""
-    step = lambda acc, s: F.when(F.length(F.element_at(acc, -1)) + F.length(s) + 1 <= most, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.trim(F.concat(F.element_at(acc, -1), F.lit(" "), s))))).otherwise(F.concat(acc, F.array(s)))
-    folded = F.aggregate(sentences(F.col(text)), F.array(F.lit("")), step)
-    return docs.select(key, F.posexplode(F.filter(folded, lambda c: c != "")).alias("chunk", "text"))
+    """Sentences gathered until a chunk would pass `most` characters: one ordered fold for each document. A first sentence longer than that is split by words."""
+    word = lambda a, w: F.struct(F.concat(a["done"], F.array(w)).alias("done"), a["cur"].alias("cur"))  # noqa: E731  a longer word is a chunk of its own
+    split = lambda a, s: _pack(F.filter(F.split(s, r"\s+"), lambda w: w != ""), a, most, word)
+    empty = F.struct(F.expr("cast(array() as array<string>)").alias("done"), F.lit("").alias("cur"))
+    folded = docs.select(key, _pack(F.split(text, r"(?<=[.!?])\s+"), empty, most, split).alias("f"))
+    whole = F.concat(F.col("f.done"), F.when(F.col("f.cur") != "", F.array(F.trim("f.cur"))).otherwise(F.expr("cast(array() as array<string>)")))
+    return folded.select(key, F.posexplode(whole).alias("chunk", "text"))
 
 
 def paragraph_windows(docs: DataFrame, key: str, text: str, target: int = 500, most: int = 800, overlap: int = 80) -> DataFrame:

@@ -32,11 +32,19 @@ def nearest(vectors: DataFrame, query: list[float], k: int | None, key: str, vec
     return scored if k is None else scored.orderBy(F.desc_nulls_last("sim"), key).limit(k)
 
 
-def nearest_each(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Top k of vectors (vec_id, embedding) for each of a bounded set of queries (q_id, q); queries are compared with all rows, which stay where they are."""
-    scored = vectors.join(F.broadcast(queries)).withColumn("sim", cosine(F.col("embedding"), F.col("q")))
+def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, block: int = 10_000) -> DataFrame:
+    """Top k of vectors (vec_id, embedding) for each of the queries (q_id, q), which are compared with all rows.
+
+    Queries are counted and sent in blocks of `block` at most; rows stay where they are, and each task passes on k rows of a query at most.
+    """
+    blocks = -(-queries.count() // block) or 1
     rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc_nulls_last("sim"), "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    out = None
+    for n in range(blocks):
+        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == n)
+        best = vectors.join(F.broadcast(some)).withColumn("sim", cosine(F.col("embedding"), F.col("q"))).withColumn("rank", rank).where(F.col("rank") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -45,14 +53,21 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return words.select(key, "len", F.explode("w").alias("term")).groupBy("term", key, "len").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(index: DataFrame, docs: DataFrame, query: list[str], key: str, text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 of every document that has a query term. N and the mean length come from all documents."""
-    size = docs.select(F.size(terms(F.col(text))).alias("len")).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    hit = index.where(F.col("term").isin(*query))
-    df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row for each query term
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    return hit.join(F.broadcast(df), "term").join(F.broadcast(size)).groupBy(key).agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("matched"))
+def bm25(docs: DataFrame, query: list[str], key: str, text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """key, score and matched (query terms it has) of every document that has a query term. N and the mean length come from all documents.
+
+    Texts are read and split once: what leaves a task is a row of numbers for each document, and both uses of these rows read the same exchange.
+    """
+    words = docs.select(key, terms(F.col(text)).alias("w"))
+    times = lambda q: F.size(F.filter("w", lambda x: x == q))
+    tf = [times(q).alias(f"tf{i}") for i, q in enumerate(query)]
+    counted = words.select(key, F.size("w").alias("len"), *tf).repartition(key)
+    has = [F.col(f"tf{i}") > 0 for i in range(len(query))]
+    corpus = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(h).alias(f"df{i}") for i, h in enumerate(has)])
+    part = lambda i: F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    score = sum((F.when(h, part(i)).otherwise(0.0) for i, h in enumerate(has)), F.lit(0.0))
+    matched = sum((h.cast("long") for h in has), F.lit(0).cast("long"))
+    return counted.join(F.broadcast(corpus)).select(key, score.alias("score"), matched.alias("matched")).where("matched > 0")
 
 
 def ranked(scored: DataFrame, score: str, key: str, name: str) -> DataFrame:

@@ -33,7 +33,7 @@ def scalar(name: str, table: str, keys: str, *layers: dict[str, str]) -> None:
         df = t(table)
         for layer in layers:
             df = df.select("*", *[R.column(e).alias(n) for n, e in layer.items()])
-        return df.select(*out)
+        return df.select(*[F.col(c).cast("long") if kind == "int" else F.col(c) for c, kind in df.select(*out).dtypes])
 
 
 # -- ranking rules
@@ -84,12 +84,12 @@ scalar("str23_devanagari", "documents", "doc_id", {"t": "CASE WHEN doc_id % 5 =
 scalar("str18_quote_match", "documents", "doc_id", {"t": f"regexp_replace(lower({BODY}), '\\s+', ' '@G)"}, {"quoted": "contains(t, 'that it may be so')"})
 scalar("str17_topic", "documents", "doc_id", {"t": "regexp_replace(trim(coalesce(text, '')), '\\s+', ' '@G)"}, {"topic": "regexp_extract(t, '^((?:[^ ]+ ?){0,14})', 1)"})
 scalar("fil21_canonical_id", "documents", "doc_id", {"section": "CASE WHEN doc_id % 3 > 0 THEN doc_id % 511 END"}, {"canonical": "concat(CAST(doc_id AS VARCHAR(20)), ':Sec:', coalesce(CAST(section AS VARCHAR(20)), 'None'))"})
-scalar("ext05_citations", "documents", "doc_id", {"t": BODY}, {"scc": "array_join_(regexp_extract_all(t, '[(][0-9]{4}[)] [0-9]+ SCC [0-9]+', 0))".replace("array_join_", ""), "n_air": "LEN(regexp_extract_all(t, 'AIR [0-9]{4} SC [0-9]+', 0))", "sections": "regexp_extract_all(t, 'Section ([0-9]+)', 1)"})
+scalar("ext05_citations", "documents", "doc_id", {"t": BODY}, {"scc": "JOINED(regexp_extract_all(t, '[(][0-9]{4}[)] [0-9]+ SCC [0-9]+', 0), '; ')", "n_air": "LEN(regexp_extract_all(t, 'AIR [0-9]{4} SC [0-9]+', 0))", "sections": "JOINED(regexp_extract_all(t, 'Section ([0-9]+)', 1), '; ')"})
 scalar("ext06_statute_ids", "documents", "doc_id", {"t": BODY}, {"ipc": "CASE WHEN HAS(t, 'Section [0-9]+ IPC') THEN concat('IPC:Sec:', regexp_extract(t, 'Section ([0-9]+) IPC', 1)) END", "constitution": "CASE WHEN HAS(t, 'Article [0-9]+') THEN concat('COI:Art:', regexp_extract(t, 'Article ([0-9]+)', 1)) END"})
 scalar("ext07_case_names", "documents", "doc_id", {"t": f"replace({BODY}, ' vs. ', ' v. ')"}, {"case_name": "regexp_extract(t, '([A-Z][a-z]+(?: [A-Z][a-z]+)* v[.] [A-Z][a-z]+)', 1)"})
 scalar("ext11_jurisdiction", "documents", "doc_id", {"t": f"lower({BODY})"}, {"jurisdiction": "CASE WHEN contains(t, 'supreme court') THEN 'national' WHEN contains(t, 'state') THEN 'state' ELSE 'unknown' END"})
 scalar("ext12_structure", "documents", "doc_id", {"t": f"lower({BODY})"}, {"shalls": "LEN(regexp_extract_all(t, '\\bshall\\b', 0))", "held": "LEN(regexp_extract_all(t, '\\bheld\\b', 0))", "courts": "LEN(regexp_extract_all(t, '\\bcourt\\b', 0))"})
-scalar("ext13_markers", "documents", "doc_id", {"t": BODY}, {"docs": "regexp_extract_all(t, '\\[Doc([0-9]+)\\]', 1)", "numbers": "regexp_extract_all(t, '\\[([0-9]+)\\]', 1)"})
+scalar("ext13_markers", "documents", "doc_id", {"t": BODY}, {"docs": "JOINED(regexp_extract_all(t, '\\[Doc([0-9]+)\\]', 1), ' ')", "numbers": "JOINED(regexp_extract_all(t, '\\[([0-9]+)\\]', 1), ' ')"})
 scalar("ext15_topics", "documents", "doc_id", {"t": f"lower({BODY})"}, {"criminal": R.any_of("t", ["ipc", "crime", "bail"]), "constitutional": R.any_of("t", ["constitution", "article"]), "follow_up": R.any_of("t", ["what about", "also", "as above"])})
 scalar("dat02_build_date", "documents", "doc_id", {"y": "doc_id % 120", "m": "doc_id % 12 + 1", "d": "doc_id % 31 + 1"}, {"year": "CASE WHEN y < 70 THEN y + 2000 WHEN y < 100 THEN y + 1900 ELSE y + 1900 END"}, {"day_text": "CASE WHEN d <= 28 OR (d <= 30 AND m <> 2) OR m IN (1, 3, 5, 7, 8, 10, 12) THEN concat(year, '-', m, '-', d) WHEN d = 29 AND m = 2 AND (year % 4 = 0 AND (year % 100 <> 0 OR year % 400 = 0)) THEN concat(year, '-', m, '-', d) ELSE concat(year, '-', m, '-28') END"})
 scalar("dat03_as_on", "documents", "doc_id", {"t": BODY}, {"as_on": "regexp_extract(t, '(?:as on|as of|on|in|during|before|after) ([0-9]{1,2}/[0-9]{1,2}/[0-9]{4})', 1)"})
@@ -153,7 +153,7 @@ def _(t):
     return t("documents").select("doc_id", (F.col("doc_id") % 7).alias("k")).join(old, "k", "left").select("doc_id", "legacy")
 
 
-@query("joi10_expected_ranks", "WITH e AS (SELECT conv_id AS q, turn AS pos, turn % 3 AS id FROM conversations), r AS (SELECT q, id, min(pos) + 1 AS rank FROM e GROUP BY q, id) SELECT x.q, x.id, r.rank FROM (SELECT DISTINCT conv_id AS q, unnest([0, 1, 2]) AS id FROM conversations) x LEFT JOIN r ON r.q = x.q AND r.id = x.id")
+@query("joi10_expected_ranks", "WITH e AS (SELECT conv_id AS q, turn AS pos, turn % 3 AS id FROM conversations), r AS (SELECT q, id, min(pos) + 1 AS rank FROM e GROUP BY q, id) SELECT x.q, x.id, r.rank FROM (SELECT DISTINCT conv_id AS q, unnest([0::BIGINT, 1, 2]) AS id FROM conversations) x LEFT JOIN r ON r.q = x.q AND r.id = x.id")
 def _(t):
     got = t("conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", (F.col("turn") % 3).alias("id")))), lambda x: x["id"]).alias("found"))
     each = got.select(F.col("conv_id").alias("q"), "found", F.explode(F.array(*[F.lit(k).cast("long") for k in range(3)])).alias("id"))
@@ -239,10 +239,10 @@ def _(t): return t("documents").select(F.explode(F.array("source", "lang")).alia
 def _(t): return t("events").groupBy(F.expr("concat(event_type, ':', user_id % 5)").alias("k")).agg(F.count(F.lit(1)).alias("n"), r(F.avg("value"), 4).alias("mean"))
 
 
-@query("agg30_chunks", "SELECT count(*) AS n, round(avg(length(text) // 4), 4) AS mean, max(length(text) // 4) AS most, min(length(text) // 4) AS least, count(*) FILTER (length(text) // 4 > 800) AS oversized, list_sort(list(DISTINCT source)) AS kinds FROM documents")
+@query("agg30_chunks", "SELECT count(*) AS n, round(avg(length(text) // 4), 4) AS mean, max(length(text) // 4) AS most, min(length(text) // 4) AS least, count(*) FILTER (length(text) // 4 > 800) AS oversized, array_to_string(list_sort(list(DISTINCT source)), ',') AS kinds FROM documents")
 def _(t):
     n = F.expr("length(text) div 4")
-    return t("documents").agg(F.count(F.lit(1)).alias("n"), r(F.avg(n), 4).alias("mean"), F.max(n).alias("most"), F.min(n).alias("least"), F.count_if(n > 800).alias("oversized"), F.array_sort(F.collect_set("source")).alias("kinds"))
+    return t("documents").agg(F.count(F.lit(1)).alias("n"), r(F.avg(n), 4).alias("mean"), F.max(n).alias("most"), F.min(n).alias("least"), F.count_if(n > 800).alias("oversized"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("kinds"))
 
 
 @query("agg33_fields", "SELECT k, count(*) AS n, count(*) > 100 AS common FROM (SELECT unnest(json_keys(props)) AS k FROM events) GROUP BY k")
@@ -331,12 +331,12 @@ def _(t): return t("documents").select("lang", "source").distinct()
 
 # -- arrays, maps, json
 
-@query("arr01_unique", "SELECT conv_id, list_sort(list(DISTINCT role)) AS roles FROM conversations GROUP BY conv_id")
-def _(t): return t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("roles"))
+@query("arr01_unique", "SELECT conv_id, array_to_string(list_sort(list(DISTINCT role)), ',') AS roles FROM conversations GROUP BY conv_id")
+def _(t): return t("conversations").groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"))
 
 
-@query("arr02_tail", "SELECT doc_id, regexp_extract_all(text, '[a-zA-Z]+')[-3:] AS tail FROM documents WHERE len(regexp_extract_all(text, '[a-zA-Z]+')) >= 3")
-def _(t): return t("documents").withColumn("w", F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), F.lit(0))).where("size(w) >= 3").select("doc_id", F.slice("w", -3, 3).alias("tail"))
+@query("arr02_tail", "SELECT doc_id, array_to_string(regexp_extract_all(text, '[a-zA-Z]+')[-3:], ' ') AS tail FROM documents WHERE len(regexp_extract_all(text, '[a-zA-Z]+')) >= 3")
+def _(t): return t("documents").withColumn("w", F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), F.lit(0))).where("size(w) >= 3").select("doc_id", F.array_join(F.slice("w", -3, 3), " ").alias("tail"))
 
 
 @query("jsn02_lists", "SELECT doc_id, '[' || string_agg('\"' || w || '\"', ',' ORDER BY i) || ']' AS js FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[a-z]+')[:3]) AS w, unnest(range(1, least(3, len(regexp_extract_all(text, '[a-z]+'))) + 1)) AS i FROM documents) GROUP BY doc_id")

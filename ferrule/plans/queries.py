@@ -310,12 +310,13 @@ def _(t): return t("customer").select(F.col("c_nationkey").alias("k")).intersect
 _Q0 = "(SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS q FROM embeddings WHERE vec_id = 0)"
 
 
-def _vec0(t: Tables) -> DataFrame:
-    return t("embeddings").where("vec_id = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
+def _vec0(t: Tables) -> list[float]:
+    """The query vector: one row, by its id."""
+    return t("embeddings").where("vec_id = 0").first().embedding
 
 
 @query("rnk01_top_k", f"SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 6) AS sim FROM embeddings, {_Q0} ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) DESC, vec_id LIMIT 20")
-def _(t): return search.nearest_each(t("embeddings"), _vec0(t), 20).select("vec_id", r("sim").alias("sim"))
+def _(t): return search.nearest(t("embeddings"), _vec0(t), 20, "vec_id").select("vec_id", r("sim").alias("sim"))
 
 
 @query("rnk02_normalise", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 4) AS norm FROM embeddings")
@@ -336,7 +337,7 @@ _BM25 = """(WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+
 
 
 def _bm25(t: Tables) -> DataFrame:
-    return search.bm25(search.postings(t("documents"), "doc_id", "text"), t("documents"), ["idiot", "the", "password"], "doc_id", "text")
+    return search.bm25(t("documents"), ["idiot", "the", "password"], "doc_id", "text")
 
 
 @query("rnk08_bm25", f"SELECT doc_id, round(score, 6) AS score, matched FROM {_BM25}")
@@ -351,7 +352,7 @@ def _(t): return _bm25(t).select("doc_id", r("score").alias("score"), "matched")
     SELECT doc_id, source, round(rrf, 8) AS rrf, substring(text, 1, 100) AS snippet FROM c WHERE nth <= 3 ORDER BY c.rrf DESC, doc_id LIMIT 10""")
 def flagship(t: Tables) -> DataFrame:
     """Vector and BM25 legs, rank fusion, date filter, cap for each source, top 10, text fetched last."""
-    v = search.nearest_each(t("embeddings"), _vec0(t), 50).select(F.col("vec_id").alias("doc_id"), "rank")
+    v = search.ranked(search.nearest(t("embeddings"), _vec0(t), 50, "vec_id"), "sim", "vec_id", "rank").select(F.col("vec_id").alias("doc_id"), "rank")
     top = _bm25(t).withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "doc_id").limit(50)
     k = search.ranked(top, "score", "doc_id", "rank").select("doc_id", "rank")
     fused = search.fuse_ranks(v, k, "doc_id").select("doc_id", "rrf")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
@@ -33,11 +34,44 @@ def test_query_date_forms(spark):
     assert f("none here") is None and f(None) is None
 
 
-def test_sentence_chunks_keep_all_sentences(spark):
-    docs = spark.createDataFrame([(1, "One two. Three four! Five? " * 60), (2, ""), (3, None)], "id long, text string")
-    rows = chunks.sentence_chunks(docs, "id", "text", most=100).collect()
-    assert max(len(r.text) for r in rows) <= 100
-    assert " ".join(r.text for r in rows if r.id == 1).split() == ("One two. Three four! Five? " * 60).split()
+def packed(text, most):
+    """The chunks by a plain loop: pieces join while the two lengths together don't pass `most`."""
+    done, cur = [], ""
+    for s in re.split(r"(?<=[.!?])\s+", text):
+        if len(cur) + len(s) > most and not cur:
+            for w in s.split():
+                if len(cur) + len(w) <= most:
+                    cur = f"{cur} {w}" if cur else w
+                elif cur:
+                    done, cur = [*done, cur.strip()], w
+                else:
+                    done.append(w)
+        elif len(cur) + len(s) > most:
+            done, cur = [*done, cur.strip()], s
+        else:
+            cur = f"{cur} {s}" if cur else s
+    return [*done, cur.strip()] if cur else done
+
+
+def test_sentence_chunks_by_a_plain_loop(spark):
+    texts = ["One two. Three four! Five? " * 60, "", "no end " * 50 + "now. Short one. " * 9, "x" * 150 + " y. z.", "A. " + "b" * 130 + ". C."]
+    docs = spark.createDataFrame([*enumerate(texts), (99, None)], "id long, text string")
+    rows = sorted((r.id, r.chunk, r.text) for r in chunks.sentence_chunks(docs, "id", "text", most=100).collect())
+    assert rows == [(i, k, c) for i, t in enumerate(texts) for k, c in enumerate(packed(t, 100))]
+
+
+def test_batch_of_queries_in_blocks(spark):
+    rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(50)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = df.where("vec_id % 5 = 0").toDF("q_id", "q")
+    once, blocks = (sorted((r.q_id, r["rank"], r.vec_id) for r in search.nearest_each(df, q, 3, block).collect()) for block in (1000, 3))
+    assert once == blocks and len(once) == 30
+
+
+def test_values_at_places(spark):
+    df = spark.createDataFrame([("a", float(x)) for x in (3, 1, 1, 2, 9, 9, 9)] + [("b", 5.0)], "g string, v double")
+    got = {r.g: (r.q1, r.q3) for r in tables.values_at(df, "g", "v", {"q1": "n div 4", "q3": "3 * n div 4"}).collect()}
+    assert got == {"a": (1.0, 9.0), "b": (5.0, 5.0)}
 
 
 def test_paragraph_windows_cover_every_paragraph(spark):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from ferrule.plans.queries import ORACLE_SQL, QUERIES
+from ferrule.plans.more import ORACLE_SQL, QUERIES
 from tests.conftest import SF
 
 
