@@ -79,20 +79,25 @@ def counted(named: DataFrame, order: int, bits: int) -> DataFrame:
                 h, row = _hashes(*buffers(b.column("text")))
                 keys += [key[inside] for key, inside in _grams(h, row, order)]
                 total, check = total + len(h), check + mix(h).sum(dtype=np.uint64)
+            parts.clear()  # the texts aren't needed any more
             key = np.concatenate(keys)
             keys.clear()
             key.sort()
             first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])) if len(key) else [])
             c = np.concatenate(([total, int(check) & 0x7FFFFFFF], np.diff(np.append(first, len(key))))).astype(np.int32)
             key = np.concatenate((np.array([_WORDS, _SUM], np.uint64), key[first]))
-            bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
-            cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            del first
+            edges = np.searchsorted(key, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+            bucket = np.flatnonzero(np.diff(np.append(edges, len(key))))
+            cuts = edges[bucket]
             for at in range(0, len(cuts), 256):
                 some = cuts[at : at + 256]
                 end = cuts[at + 256] if at + 256 < len(cuts) else len(key)
                 offsets = pa.array(np.append(some, end) - some[0], pa.int32())
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x[some[0] : end])) for x in (key.view(np.int64), c)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[some]), pa.array(np.full(len(some), chunk, np.int64)), *lists], ["bucket", "chunk", "keys", "cs"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[at : at + 256]), pa.array(np.full(len(some), chunk, np.int64)), *lists], ["bucket", "chunk", "keys", "cs"])
+            del key, c
+            pa.default_memory_pool().release_unused()
 
     return named.mapInArrow(run, "bucket long, chunk long, keys array<long>, cs array<int>")
 
@@ -134,6 +139,7 @@ def score(docs: DataFrame, order: int = 2, alpha: float = 0.4, doc_id: str = "do
         keys, total = (counts[c].combine_chunks().flatten().to_numpy() for c in ("keys", "totals"))
         sort = np.argsort(keys.view(np.uint64))
         keys, total = keys.view(np.uint64)[sort], total[sort]
+        del sort
         told = [pc.max(counts[c]).as_py() for c in ("words", "sum")]
         every, n_words, check, out = int(total[0]), 0, np.uint64(0), []
         for r in range(texts.num_rows):
