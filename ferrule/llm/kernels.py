@@ -7,7 +7,6 @@ mixed with its length, so hashing costs a few operations a byte and none a word
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,18 +28,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-@lru_cache(maxsize=4)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
-    inverse = pow(_BASE, -1, 2**64)
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, inverse, np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+_tables = [np.ones(0, np.uint64)] * 2
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, n at least; one table for each worker, which grows."""
+    if len(_tables[0]) < n:
+        inverse = pow(_BASE, -1, 2**64)
+        up, down = np.full(n, _BASE, np.uint64), np.full(n, inverse, np.uint64)
+        up[0] = down[0] = 1
+        _tables[:] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return _tables[0], _tables[1]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of every data[start:end]."""
-    up, down = _powers(max(10, int(len(data) + 1).bit_length()))
+    up, down = _powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTES[data] * up[: len(data)], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
