@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,3 +99,25 @@ def values_at(df: DataFrame, by: str, value: str, places: dict[str, str]) -> Dat
     upto = F.sum("c").over(Window.partitionBy(by).orderBy(value))
     placed = counts.withColumns({"upto": upto, "n": F.sum("c").over(Window.partitionBy(by))})
     return placed.groupBy(by).agg(*[F.min(F.when(F.col("upto") > F.expr(place), F.col(value))).alias(name) for name, place in places.items()])
+
+
+def carried(df: DataFrame, order: list[str], start: object, step: Callable, out: str) -> DataFrame:
+    """Adds a boolean column by folding over the rows of each group (the first column) in order: step(state, row) gives the next state and the row's verdict.
+
+    Groups are hashed to partitions and sorted there, and the state goes from one Arrow batch to the next, so no group is ever held whole. Rows without a group stand alone.
+    """
+    group = df.columns[0]
+
+    def fold(batches: Iterator) -> Iterator:
+        last, state = None, start
+        for rows in batches:
+            told = []
+            for row in rows.itertuples(index=False):
+                if row[0] != last:
+                    last, state = row[0], start
+                state, verdict = step(state, row)
+                told.append(verdict)
+            yield rows.assign(**{out: told})
+
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in [*df.dtypes, (out, "boolean")])
+    return df.repartition(group).sortWithinPartitions(group, *order).mapInPandas(fold, schema)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ferrule.operators.tables import carried
+
 LATE = "10 minutes"
 
 
@@ -45,3 +47,29 @@ def admit(events: DataFrame, limit: int, seconds: int) -> DataFrame:
     if not events.isStreaming:
         return keyed.groupBy("user_id").applyInPandas(lambda rows: judge([], rows)[1], out)
     return keyed.groupBy("user_id").applyInPandasWithState(stream, out, "held array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def spend(events: DataFrame, each: int, cap: int) -> DataFrame:
+    """Token bucket for each user (user_id, at in microseconds, event_id): a token comes every `each` microseconds, `cap` fit in; a request takes one or is refused. Whole numbers throughout."""
+
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, bool]:
+        _, at, _ = row
+        held = cap * each if state is None else min(cap * each, state[0] + at - state[1])
+        taken = held >= each
+        return (held - each * taken, at), taken
+
+    return carried(events.select("user_id", "at", "event_id"), ["at", "event_id"], None, step, "admitted")
+
+
+def limit_requests(events: DataFrame, limit: int, span: int, each: int, cap: int) -> DataFrame:
+    """Both limits in turn: fewer than `limit` requests admitted in the `span` microseconds before, then a token, which only such requests take."""
+
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, bool]:
+        _, at, _ = row
+        past, held, last = state or ((), cap * each, at)
+        past, held = tuple(x for x in past if x > at - span), min(cap * each, held + at - last)
+        free = len(past) < limit
+        taken = free and held >= each
+        return (past + (at,) if free else past, held - each * taken, at), taken
+
+    return carried(events.select("user_id", "at", "event_id"), ["at", "event_id"], None, step, "admitted")
