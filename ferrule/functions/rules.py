@@ -109,3 +109,18 @@ FILE_NAME = "substring(regexp_replace(t, '[^A-Za-z0-9._-]+', '_'@G), 1, 100)"
 IS_UUID = "HAS(lower(t), '^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$')"
 IS_PHONE = "HAS(t, '^[+]?[0-9][0-9 -]{7,14}$')"
 DEVANAGARI = "CASE WHEN length(t) = 0 THEN 'en' WHEN LEN(regexp_extract_all(t, '[\\x{0900}-\\x{097F}]', 0)) * 1.0 / length(t) > 0.1 THEN 'hi' ELSE 'en' END"
+
+# fixed values: patterns of claims in a lower-cased sentence, and what makes them risky
+QUANTITY = r"\b[0-9]+\s+(days|months|years|percent|rupees)\b"
+CLAIMS = {
+    "definitive": r"\b(the|this)\s+(law|act|section|court|judgment)\s+(states?|holds?|provides?|establishes?)\b|\b(according\s+to|under|as\s+per)\s+(section|article|the\s+act)\b|\b(the\s+supreme\s+court|high\s+court)\s+(held|ruled|decided|observed)\b|\bis\s+(mandatory|prohibited|required|illegal|valid|invalid)\s+under\b|\b(shall|must|cannot|may\s+not)\s+.*(under|according\s+to)\b",
+    "case_law": r"\bin\s+the\s+case\s+of\b|\bthe\s+court\s+in\b",
+    "statutory": r"\bsection\s+[0-9]+|\barticle\s+[0-9]+|\bunder\s+the\s+\w+\s+act\b",
+    "procedural": r"\bprocedure|process|filing|application|petition\b",
+    "quantitative": QUANTITY,
+}
+ABSOLUTE = ["always", "never", "all cases", "in every situation", "without exception", "guaranteed", "certainly", "definitely will", "impossible", "absolutely"]
+RECENT = ["recently", "latest", "new", "current", "2024", "2025"]
+INTERPRETING = ["interpretation", "implies", "suggests", "indicates", "likely means"]
+CLAIM_FLAGS = {name: f"HAS(s, '{pattern}')" for name, pattern in CLAIMS.items()}
+RISK_FLAGS = {"absolute": any_of("s", ABSOLUTE), "uncited_number": rf"HAS(s, '{QUANTITY}') AND NOT HAS(s, '\[doc[0-9]+\]|\[[0-9]+\]')", "recent": any_of("s", RECENT), "interpreting": any_of("s", INTERPRETING)}

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrule.functions.text import token_estimate
+from ferrule.functions.text import token_estimate, word_set
+from ferrule.operators import tables
 
 
 def word_windows(docs: DataFrame, key: str, text: str, size: int = 500, step: int = 450, least: int = 50) -> DataFrame:
@@ -79,3 +80,26 @@ def paragraph_windows(docs: DataFrame, key: str, text: str, target: int = 500, m
             yield pd.DataFrame(out, columns=[key, "chunk", "text"])
 
     return docs.select(key, text).mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, chunk int, text string")
+
+
+def near_in_document(docs: DataFrame, key: str, text: str, percent: int = 95) -> DataFrame:
+    """Every line (chunk) with kept: false if an earlier kept line of its document has the same words or a word set with Jaccard similarity percent / 100 or more. Lines without words are kept; a null text has none.
+
+    Pairs come from an equi-join on rare words within a document, each different set once; the greedy order is folded over a document's sets.
+    """
+    lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("chunk", "line")).select(key, "chunk", F.array_sort(F.filter(word_set(F.col("line")), lambda w: w != "")).alias("words"))
+    sets = lines.where(F.size("words") > 0).groupBy(key, "words").agg(F.min("chunk").alias("first"))
+    named = sets.select(F.struct(key, "first").alias("id"), F.transform("words", lambda w: F.concat_ws("|", F.col(key).cast("string"), w)).alias("items"))
+    pairs = tables.similar_pairs(named, "id", "items", percent)
+    later = pairs.groupBy(F.col(f"y.{key}").alias(key), F.col("y.first").alias("first")).agg(F.array_sort(F.collect_list("x.first")).alias("before"))
+
+    def step(gone: set | None, row: tuple) -> tuple[set, bool]:
+        gone = set() if gone is None else gone
+        drop = any(x not in gone for x in row[2])
+        if drop:
+            gone.add(row[1])
+        return gone, drop
+
+    dropped = tables.carried(later, ["first"], None, step, "drop").where("drop").select(key, "first", "drop")
+    told = lines.join(sets.join(dropped, [key, "first"], "left"), [key, "words"], "left")
+    return told.select(key, "chunk", F.coalesce((F.col("chunk") == F.col("first")) & F.isnull("drop"), F.lit(True)).alias("kept"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions import text as T
-from ferrule.operators import search, tables
+from ferrule.functions import rules as R
+from ferrule.operators import chunks, search, tables
 from ferrule.plans.more import BODY, RANKED, double, scalar
 from ferrule.plans.queries import _SPARK_DOC, _SQL_DOC, ORACLE_SQL, QUERIES, query, r  # noqa: F401  what is registered here joins the others
 from ferrule.streaming import windows
@@ -335,3 +336,37 @@ def _(t):
     till: Column = F.lead("at").over(Window.partitionBy("user_id").orderBy("at", "event_id"))
     marks = t("events").where("event_type in ('click', 'view')").select("user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     return marks.withColumn("till", till).where("event_type = 'click' and till is not null").select("user_id", "event_id", (F.col("till") - F.col("at")).alias("micros"))
+
+# -- claims, headnotes, near-duplicate chunks
+
+_FLAGS = R.CLAIM_FLAGS | R.RISK_FLAGS
+_SENTENCES = f"concat(coalesce(text, ''), '. ', {BODY}, ' It must always be filed within 30 days')"
+
+
+@query("ver02_claim_indicators", f"SELECT doc_id, k, {', '.join(f'{R.duck(f)} AS {n}' for n, f in _FLAGS.items())} FROM (SELECT doc_id, unnest(range(len(p))) AS k, lower(regexp_replace(unnest(p), '^\\s+|\\s+$', '', 'g')) AS s FROM (SELECT doc_id, string_split_regex({_SENTENCES}, '[.!?]+') AS p FROM documents)) WHERE length(s) >= 10 AND ({' OR '.join(R.duck(f) for f in R.CLAIM_FLAGS.values())})")
+def _(t):
+    each = t("documents").select("doc_id", F.posexplode(F.split(F.expr(_SENTENCES), "[.!?]+")).alias("k", "s")).withColumn("s", F.lower(F.regexp_replace("s", r"^\s+|\s+$", "")))
+    flagged = each.where("length(s) >= 10").select("doc_id", F.col("k").cast("long").alias("k"), *[R.column(f).alias(n) for n, f in _FLAGS.items()])
+    return flagged.where(" or ".join(R.CLAIM_FLAGS))
+
+
+_HEAD = "regexp_replace(regexp_replace(lower(trim(regexp_replace(string_split(text, chr(10))[1], '\\s+', ' ', 'g'))), '[!-/:-@\\[-`{-~]', '', 'g'), '\\s+', ' ', 'g')"
+
+
+@query("dup04_headnotes", f"SELECT doc_id, {_HEAD} IS NULL OR doc_id = min(doc_id) OVER (PARTITION BY {_HEAD}) AS kept FROM documents")
+def _(t):
+    """Of documents whose headnotes (first lines) are alike the first keeps its own; hashes are counted before they meet the rows."""
+    heads = t("documents").select("doc_id", T.content_hash(F.split("text", "\n")[0]).alias("h"))
+    first = heads.groupBy("h").agg(F.min("doc_id").alias("first"))
+    return heads.join(first, "h", "left").select("doc_id", (F.isnull("h") | (F.col("doc_id") == F.col("first"))).alias("kept"))
+
+
+@query("joi12_section_in_other", "WITH s AS (SELECT doc_id, doc_id % 511 AS n FROM documents) SELECT a.doc_id, b.doc_id AS other, CAST(a.n AS VARCHAR) AS section FROM s a JOIN s b ON a.n = b.n AND a.doc_id <> b.doc_id WHERE a.doc_id % 100 = 0")
+def _(t):
+    """For documents whose ids are divisible by 100, the others that name the same section: references joined by their value."""
+    s = t("documents").select("doc_id", F.expr(BODY).alias("t")).select("doc_id", F.regexp_extract("t", "Under Section ([0-9]+) IPC and Article", 1).alias("section"))
+    return s.where("doc_id % 100 = 0").join(s.withColumnRenamed("doc_id", "other"), "section").where("doc_id <> other").select("doc_id", "other", "section")
+
+
+@query("joi13_near_chunks")
+def _(t): return chunks.near_in_document(t("documents"), "doc_id", "text", 95)

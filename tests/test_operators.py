@@ -174,3 +174,69 @@ def test_similar_documents_by_brute_force(spark, tmp_path):
     assert sorted((q.x, q.y, q.sim) for q in got) == sorted((a, b, round(s / n, 6)) for (a, b), (s, n) in want.items())
     got = QUERIES["joi11_document_pairs"](spark, str(tmp_path)).collect()
     assert sorted((q.x, q.y, q.shared) for q in got) == sorted((a, b, s) for (a, b), (s, _) in want.items())
+
+
+def test_near_lines_greedily(spark):
+    base = [f"w{i}" for i in range(40)]
+    shift = lambda n: " ".join(base[n:] + [f"x{i}" for i in range(n)])  # noqa: E731  each step away from base keeps less of it
+    docs = {1: [shift(0), shift(1), shift(0).upper(), "", shift(2), "alone here", "here alone", shift(1)], 2: [shift(0)], 3: [shift(3), shift(2), shift(1), shift(0)], None: ["a b"]}
+    df = spark.createDataFrame([(k, "\n".join(v)) for k, v in docs.items() if k] + [(4, None)], "doc_id long, text string")
+    want = set()
+    for k, lines in docs.items():
+        held: list[set] = []
+        for i, line in enumerate(lines if k else []):
+            words = set(line.lower().split())
+            kept = not words or not any(100 * len(words & h) >= 90 * len(words | h) for h in held)
+            if kept and words:
+                held.append(words)
+            want.add((k, i, kept))
+    got = {tuple(x) for x in chunks.near_in_document(df, "doc_id", "text", 90).collect()}
+    assert got == want and any(not kept for *_, kept in want)
+
+
+def requests(spark):
+    rows = [(u, at * 7 % 211 + (at // 9) * 5, at) for u in (1, 2) for at in range(120 * u)] + [(3, 5, 900), (3, 5, 901), (3, 5, 902)]
+    return rows, spark.createDataFrame(rows, "user_id long, at long, event_id long")
+
+
+def test_token_bucket(spark):
+    rows, df = requests(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")  # the state goes across batches
+    try:
+        got = {(x.user_id, x.event_id): x.admitted for x in windows.spend(df, 10, 3).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    held: dict[int, float] = {}
+    last: dict[int, int] = {}
+    for u, at, e in sorted(rows):
+        held[u] = min(30, held.get(u, 30) + at - last.get(u, at))
+        last[u] = at
+        assert got[u, e] == (held[u] >= 10)
+        held[u] -= 10 * (held[u] >= 10)
+    assert len(got) == len(rows) and len(set(got.values())) == 2
+
+
+def test_both_request_limits(spark):
+    rows, df = requests(spark)
+    got = {(x.user_id, x.event_id): x.admitted for x in windows.limit_requests(df, 2, 15, 10, 1).collect()}
+    past, bucket, last = {}, {}, {}
+    for u, at, e in sorted(rows):
+        past[u] = [x for x in past.get(u, []) if x > at - 15]
+        bucket[u] = min(10, bucket.get(u, 10) + at - last.get(u, at))
+        last[u] = at
+        passed = False
+        if len(past[u]) < 2:
+            past[u].append(at)
+            if bucket[u] >= 10:
+                bucket[u] -= 10
+                passed = True
+        assert got[u, e] == passed
+    assert len(got) == len(rows)
+
+
+def test_carried_on_empty_and_ungrouped(spark):
+    step = lambda n, row: (n + 1, n == 0)  # noqa: E731  the first of each group
+    empty = spark.createDataFrame([], "g long, v long")
+    assert tables.carried(empty, ["v"], 0, step, "first").collect() == []
+    alone = spark.createDataFrame([(None, 1), (None, 2), (1, 1), (1, 2)], "g long, v long")
+    assert sorted((x.g or 0, x.v, x.first) for x in tables.carried(alone, ["v"], 0, step, "first").collect()) == [(0, 1, True), (0, 2, True), (1, 1, True), (1, 2, False)]
