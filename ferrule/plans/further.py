@@ -370,3 +370,72 @@ def _(t):
 
 @query("joi13_near_chunks")
 def _(t): return chunks.near_in_document(t("documents"), "doc_id", "text", 95)
+
+# -- resolvers, widening, sections of offences
+
+# fixed values: the section that an offence points to
+OFFENCES = [("robbery", "147"), ("dacoity", "149"), ("murder", "101"), ("homicide", "103"), ("culpable", "103"), ("theft", "303"), ("cheating", "356"), ("breach of trust", "357"), ("rape", "63"), ("sexual assault", "63"), ("wrongful restraint", "351"), ("criminal intimidation", "351"), ("kidnapping", "133"), ("dowry death", "111")]
+_CRIME = f"concat(({[o for o, _ in OFFENCES]})[CAST(doc_id % 14 AS INTEGER) + 1], ' or ', ({[o for o, _ in OFFENCES]})[CAST(doc_id * 5 % 14 AS INTEGER) + 1])"
+
+
+@query("ext04_section_guesses", f"SELECT DISTINCT doc_id, 'BNS:2023:Sec:' || n AS canonical FROM (SELECT doc_id, {_CRIME} AS q FROM documents) JOIN (VALUES {', '.join(map(str, OFFENCES))}) o(w, n) ON contains(q, w)")
+def _(t):
+    names = F.array(*[F.lit(o) for o, _ in OFFENCES])
+    nth = lambda e: F.get(names, F.expr(e).cast("int"))
+    asked = t("documents").select("doc_id", F.concat(nth("doc_id % 14"), F.lit(" or "), nth("doc_id * 5 % 14")).alias("q"))
+    hits = F.array_compact(F.array(*[F.when(F.contains("q", F.lit(o)), F.lit(f"BNS:2023:Sec:{n}")) for o, n in OFFENCES]))
+    return asked.select("doc_id", F.explode(F.array_distinct(hits)).alias("canonical"))
+
+
+scalar("rnk11_prefix_query", "documents", "doc_id", {"w": "regexp_replace(trim(regexp_replace(lower(substring(coalesce(text, ''), 1, 60)), '[^a-z0-9]+', ' '@G)), ' +', ' '@G)"}, {"prefixes": "CASE WHEN w = '' THEN '' ELSE concat(replace(w, ' ', ':* & '), ':*') END", "phrase": "replace(w, ' ', ' <-> ')", "either": "replace(w, ' ', ' | ')"})
+scalar("rnk15_parties", "documents", "doc_id", {"t": "lower(coalesce(text, ''))", "q": "CASE WHEN doc_id % 2 = 0 THEN 'held in the case of the v. der' ELSE 'ruling in la vs. le' END"}, {"a": "regexp_extract(q, '([a-z]+) vs?[.] ([a-z]+)', 1)", "b": "regexp_extract(q, '([a-z]+) vs?[.] ([a-z]+)', 2)"}, {"resolved": "CASE WHEN contains(t, a) AND contains(t, b) THEN 'party_resolver' WHEN contains(t, a) OR contains(t, b) THEN 'party_resolver_or' END"})
+
+_HINT = "regexp_extract_all(b, 'AIR [0-9]{4} SC [0-9]+'"
+_HINTS = f"(SELECT doc_id, unnest(list_distinct({_HINT}))) AS hint FROM (SELECT doc_id, {BODY} AS b FROM documents))"
+
+
+@query("rnk16_citation_resolver", f"WITH h AS (SELECT * FROM {_HINTS}) SELECT q.doc_id, h.doc_id AS found, q.hint FROM h q JOIN (SELECT *, row_number() OVER (PARTITION BY hint ORDER BY doc_id) AS k FROM h) h ON h.hint = q.hint AND h.k <= 8 WHERE q.doc_id % 100 = 0")
+def _(t):
+    """For questions (ids divisible by 100) the first eight documents with each citation that the question has."""
+    h = t("documents").select("doc_id", F.expr(BODY).alias("b")).select("doc_id", F.explode(F.array_distinct(F.expr(f"{_HINT}, 0)"))).alias("hint"))
+    first = h.withColumnRenamed("doc_id", "found").withColumn("k", F.row_number().over(Window.partitionBy("hint").orderBy("found"))).where("k <= 8")
+    return h.where("doc_id % 100 = 0").join(first, "hint").select("doc_id", "found", "hint")
+
+
+@query("rnk24_widened", f"WITH n AS (SELECT count(*) AS n FROM {_DATED} WHERE act = 2 AND vec_id < 50) SELECT e.vec_id, round({_SIM}, 6) AS sim FROM {_DATED} e, embeddings q, n WHERE q.vec_id = 6 AND (n.n < 20 OR (act = 2 AND e.vec_id < 50)) ORDER BY {_SIM} DESC, e.vec_id LIMIT 20")
+def _(t):
+    """One court's cases, all courts' where it has fewer than are asked for."""
+    narrow = _search(t, 6, "act = 2 and vec_id < 50", 20)
+    return narrow if narrow.count() == 20 else _search(t, 6, "true", 20)
+
+
+_NUMBERED = "concat('facts of it', chr(10), '1. ', coalesce(text, ''), chr(10), '2. The issue is this', chr(10), 'more', chr(10), '3. held so')"
+_PART = "CASE WHEN contains(lower(body), 'held') THEN 'ratio' WHEN contains(lower(body), 'issue') THEN 'issues' WHEN contains(lower(body), 'facts') THEN 'facts' ELSE 'other' END"
+
+
+@query("chk13_numbered", f"WITH l AS (SELECT doc_id, unnest(range(len(p))) AS k, unnest(p) AS line FROM (SELECT doc_id, string_split({_NUMBERED}, chr(10)) AS p FROM documents)), g AS (SELECT *, count(*) FILTER (regexp_matches(line, '^[0-9]+[.] ')) OVER (PARTITION BY doc_id ORDER BY k) AS para FROM l), b AS (SELECT doc_id, para, string_agg(line, chr(10) ORDER BY k) AS body FROM g GROUP BY doc_id, para) SELECT *, {_PART} AS part FROM b")
+def _(t):
+    lines = t("documents").select("doc_id", F.posexplode(F.split(F.expr(_NUMBERED), "\n")).alias("k", "line"))
+    para = F.count_if(F.expr("regexp_like(line, '^[0-9]+[.] ')")).over(Window.partitionBy("doc_id").orderBy("k"))
+    body = lines.withColumn("para", para).groupBy("doc_id", "para").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    return body.withColumn("part", F.expr(_PART))
+
+
+@query("chk17_chunk_size", "SELECT round(greatest(2000.0::DOUBLE, least(8000.0::DOUBLE, avg(n_chars) / 10)), 4) AS size FROM documents")
+def _(t): return t("documents").agg(r(F.greatest(F.lit(2000.0), F.least(F.lit(8000.0), F.avg("n_chars") / 10)), 4).alias("size"))
+
+
+@query("src12_deleted", f"SELECT count(*) FILTER ({_SQL_DOC} < DATE '2010-06-01') AS deleted, count(*) FILTER ({_SQL_DOC} >= DATE '2010-06-01') AS kept FROM documents")
+def _(t): return t("documents").agg(*[F.count_if(F.expr(f"{_SPARK_DOC} {sign} date'2010-06-01'")).alias(n) for n, sign in (("deleted", "<"), ("kept", ">="))])
+
+
+@query("stm07_alerts", "WITH g AS (SELECT *, count(*) FILTER (value <= 20) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events), s AS (SELECT *, min(ts) FILTER (value > 20) OVER (PARTITION BY user_id, run) AS since FROM g) SELECT user_id, event_id, epoch_us(ts) - epoch_us(since) AS micros FROM s WHERE value > 20 AND epoch_us(ts) - epoch_us(since) >= 7200000000")
+def _(t):
+    """Rows at which a condition has held without a break for two hours or more, and for how long."""
+    e = t("events").where("value is not null").select("user_id", "event_id", (F.col("value") > 20).alias("met"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    g = e.withColumn("run", F.count_if(~F.col("met")).over(Window.partitionBy("user_id").orderBy("at", "event_id")))
+    since = F.min(F.when(F.col("met"), F.col("at"))).over(Window.partitionBy("user_id", "run"))
+    return g.withColumn("micros", F.col("at") - since).where("met and micros >= 7200000000").select("user_id", "event_id", "micros")
+
+
+ORACLE_SQL["stm01_admit"] = f"WITH RECURSIVE e AS ({_AT}), b AS (SELECT user_id, event_id, k, true AS admitted, [moment] AS held FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.event_id, e.k, len(list_filter(held, lambda x: x > moment - 86400000000)) < 2, CASE WHEN len(list_filter(held, lambda x: x > moment - 86400000000)) < 2 THEN list_append(list_filter(held, lambda x: x > moment - 86400000000), moment) ELSE held END FROM b JOIN e ON e.user_id = b.user_id AND e.k = b.k + 1) SELECT user_id, event_id, admitted FROM b"

@@ -26,27 +26,27 @@ def first_arrivals(events: DataFrame, key: str) -> DataFrame:
 
 
 def admit(events: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """Sliding-window limiter for each user: a request is admitted if fewer than `limit` were admitted in the `seconds` before it."""
+    """Sliding-window limiter for each user: a request is admitted if fewer than `limit` were admitted in the `seconds` before it. State is what the window holds, on a batch too."""
 
-    def judge(held: list[float], rows: pd.DataFrame) -> tuple[list[float], pd.DataFrame]:
-        rows, told = rows.sort_values(["at", "event_id"]), []
-        for at in rows["at"]:
-            held = [x for x in held if x > at - seconds]
-            told.append(len(held) < limit)
-            if told[-1]:
-                held.append(at)
-        return held, rows[["user_id", "event_id"]].assign(admitted=told)
+    def step(held: tuple, row: tuple) -> tuple[tuple, bool]:
+        _, at, _ = row
+        held = tuple(x for x in held if x > at - seconds)
+        free = len(held) < limit
+        return (held + (at,) if free else held), free
 
     def stream(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, out = judge(list(state.get[0]) if state.exists else [], pd.concat(list(batches)))
-        state.update((held,))
-        yield out
-
-    keyed = events.select("user_id", "event_id", F.col("ts").cast("double").alias("at"))
-    out = "user_id long, event_id long, admitted boolean"
+        held, told = tuple(state.get[0]) if state.exists else (), []
+        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])  # a user's rows of one micro-batch
+        for row in rows.itertuples(index=False):
+            held, free = step(held, row)
+            told.append(free)
+        state.update((list(held),))
+        yield rows[["user_id", "event_id"]].assign(admitted=told)
+
+    keyed = events.select("user_id", F.col("ts").cast("double").alias("at"), "event_id")
     if not events.isStreaming:
-        return keyed.groupBy("user_id").applyInPandas(lambda rows: judge([], rows)[1], out)
-    return keyed.groupBy("user_id").applyInPandasWithState(stream, out, "held array<double>", "append", GroupStateTimeout.NoTimeout)
+        return carried(keyed, ["at", "event_id"], (), step, "admitted").select("user_id", "event_id", "admitted")
+    return keyed.groupBy("user_id").applyInPandasWithState(stream, "user_id long, event_id long, admitted boolean", "held array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def spend(events: DataFrame, each: int, cap: int) -> DataFrame:
