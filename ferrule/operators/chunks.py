@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from itertools import zip_longest
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -53,35 +55,162 @@ def sentence_chunks(docs: DataFrame, key: str, text: str, most: int = 500) -> Da
     return folded.select(key, F.posexplode(whole).alias("chunk", "text"))
 
 
-def paragraph_windows(docs: DataFrame, key: str, text: str, target: int = 500, most: int = 800, overlap: int = 80) -> DataFrame:
-    """Paragraphs (lines) packed to about `target` estimated tokens, the next chunk opening with the last paragraph if that has `overlap` at most; a small tail joins the chunk before."""
+def _cut(docs: DataFrame, key: str, text: str, cutter: Callable[[str], list[str]]) -> DataFrame:
+    """key, chunk and text of what cutter makes of each text; a null text has no chunks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for k, t in zip(pdf[key], pdf[text].fillna(""), strict=True):
-                made: list[list[str]] = []
-                held: list[str] = []
-                size = 0
-                for p in (x for x in t.split("\n") if len(x) >= 20):
-                    n = len(p) // 4
-                    if held and (size >= target or size + n > most):
-                        made.append(held)
-                        held = [held[-1]] if len(held[-1]) // 4 <= overlap else []
-                        size = sum(len(x) // 4 for x in held)
-                    held.append(p)
-                    size += n
-                if held:
-                    if made and size < overlap and sum(len(x) // 4 for x in made[-1]) + size <= most:
-                        made[-1] += held
-                    else:
-                        made.append(held)
-                out += [(k, i, "\n".join(c)) for i, c in enumerate(made)]
-            yield pd.DataFrame(out, columns=[key, "chunk", "text"])
+            rows = [(k, i, c) for k, t in zip(pdf[key], pdf[text], strict=True) if t for i, c in enumerate(cutter(t))]
+            yield pd.DataFrame(rows, columns=[key, "chunk", "text"])
 
     return docs.select(key, text).mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, chunk int, text string")
 
 
+def _size(text: str) -> int:
+    return len(text) // 4
+
+
+def _runs(pieces: list[str], fits: Callable[[list[str]], bool], keep: Callable[[list[str]], list[str]] = lambda run: []) -> list[list[str]]:
+    """Pieces in runs: a run ends before the piece with which it wouldn't fit, and the next one opens with what `keep` takes from its end."""
+    made: list[list[str]] = []
+    run: list[str] = []
+    for piece in pieces:
+        if run and not fits([*run, piece]):
+            made.append(run)
+            run = keep(run)
+        run = [*run, piece]
+    return [*made, run] if run else made
+
+
+def _sentences(text: str) -> list[str]:
+    return [s for s in re.split(r"(?<=[.!?])\s+", text) if s.strip()]
+
+
+def paragraph_windows(docs: DataFrame, key: str, text: str, target: int = 500, least: int = 80, most: int = 800, overlap: int = 80) -> DataFrame:
+    """Paragraphs (between blank lines, 20 characters or more) packed into chunks of `least` to `most` estimated tokens.
+
+    A chunk closes at `target` tokens, or if the next paragraph would take it past target + 100, but not below target - 100 while that still fits `most`. The next
+    chunk opens with the end of the last one: `overlap` tokens, or fewer if the next paragraph is long; nothing follows the last paragraph. A paragraph that would
+    take a chunk past `most` is split by sentences, a longer sentence by length. A chunk below `least` joins the one before, or goes if both don't fit.
+    """
+
+    def cut(document: str) -> list[str]:
+        made: list[str] = []
+
+        def add(chunk: str) -> None:
+            chunk = chunk.strip()
+            if _size(chunk) >= least:
+                made.append(chunk)
+            elif len(chunk) >= 20 and made and _size(made[-1]) + _size(chunk) + 1 <= most:
+                made[-1] = f"{made[-1]}\n\n{chunk}"
+
+        def add_long(paragraph: str) -> None:
+            pieces = [s[i : i + 4 * most] for s in _sentences(paragraph) for i in range(0, len(s), 4 * most)]
+            for run in _runs(pieces, lambda r: _size("\n\n".join(r)) <= most):
+                add("\n\n".join(run))
+
+        paragraphs = [p for p in map(str.strip, re.split(r"\n\s*\n", document)) if len(p) >= 20]
+        held = ""
+        for paragraph, after in zip_longest(paragraphs, paragraphs[1:]):
+            grown = f"{held}\n\n{paragraph}" if held else paragraph
+            if _size(grown) > most:
+                if held:
+                    add(held)
+                add_long(paragraph)
+                held = ""
+                continue
+            held = grown
+            size, coming = _size(grown), None if after is None else _size(f"{grown}\n\n{after}")
+            if (size >= target or (coming or 0) > target + 100) and not (size < target - 100 and (coming or most + 1) <= most):
+                add(held)
+                room = 0 if after is None or not made else min(overlap, target + 20 - _size(after))
+                held = made[-1][-4 * room :].strip() if room > 0 else ""
+        if held:
+            add(held)
+        return made
+
+    return _cut(docs, key, text, cut)
+
+
+def case_paragraphs(docs: DataFrame, key: str, text: str, most: int = 1000) -> DataFrame:
+    """Paragraphs between blank lines, packed while they have `most` estimated tokens; a longer paragraph is a chunk of its own."""
+    return _cut(docs, key, text, lambda d: ["\n\n".join(r) for r in _runs([p for p in map(str.strip, d.split("\n\n")) if p], lambda r: _size("\n\n".join(r)) <= most)])
+
+
+def overlapping_sentences(docs: DataFrame, key: str, text: str, most: int = 1000, again: int = 2) -> DataFrame:
+    """Sentences packed while they have `most` estimated tokens; a chunk opens with the last `again` sentences of the one before."""
+    return _cut(docs, key, text, lambda d: [" ".join(r) for r in _runs(_sentences(d), lambda r: _size(" ".join(r)) <= most, lambda r: r[-again:])])
+
+
+def statute_sections(docs: DataFrame, key: str, text: str, most: int = 800) -> DataFrame:
+    """Sections that begin with a number and a point; a longer one is cut at its illustrations, explanations and provisos, else at sentences, and packed again."""
+
+    def cut(document: str) -> list[str]:
+        made: list[str] = []
+        for section in (s for s in map(str.strip, re.split(r"\n\s*(?=\d+\.)", document)) if s):
+            if _size(section) <= most:
+                made.append(section)
+                continue
+            parts, between = re.split(r"\n\s*(?=(?:Illustration|Explanation|Proviso))", section), "\n\n"
+            if len(parts) == 1:
+                parts, between = _sentences(section), " "
+            made += [between.join(r).strip() for r in _runs(parts, lambda r: sum(map(_size, r)) <= most)]
+        return made
+
+    return _cut(docs, key, text, cut)
+
+
+# fixed values: headings that part a judgment, in the order in which they're tried, and marks inside a section
+HEADINGS = [r"\bJUDGMENT\b", r"\bORDER\b", r"\bHELD\s*:", r"\bFACTS\s*:", r"\bCONCLUSION\s*:", r"\bDISPOSAL\s*:"]
+MARKS = [r"\d+\.\s+", r"\([a-z]\)\s+", r"\([ivx]+\)\s+"]
+
+
+def judgment_sections(docs: DataFrame, key: str, text: str, most: int = 6000, overlap: int = 200) -> DataFrame:
+    """Texts of 50 characters or more parted at the first heading that occurs; sections over `most` characters are packed again from parts between marks, else from sentences.
+
+    Sections of 100 characters or fewer go, as do packed chunks of 50 or fewer. Parts are repeated by overlap / 10 words, sentences by `overlap` words.
+    """
+    last = lambda count: lambda run: [" ".join(" ".join(run).split()[-count:])] if count else []
+    long = lambda chunks: [c for c in map(str.strip, chunks) if len(c) > 50]
+
+    def by_sentence(section: str) -> list[str]:
+        pieces = [s for s in map(str.strip, re.split(r"[.!?]+\s+", section)) if s]
+        return long(" ".join(r) for r in _runs(pieces, lambda r: len(" ".join(r)) <= most + 1, last(overlap)))
+
+    def by_mark(section: str) -> list[str]:
+        if len(section) <= most:
+            return [section.strip()]
+        mark = next((m for m in MARKS if re.search(m, section)), None)
+        if mark is None:
+            return by_sentence(section)
+        return long(" ".join(r) for r in _runs(re.split(f"(?={mark})", section), lambda r: len(" ".join(r)) <= most, last(overlap // 10)))
+
+    def cut(document: str) -> list[str]:
+        flat = re.sub(r"\s+", " ", document.strip())
+        if len(flat) < 50:
+            return []
+        heading = next((h for h in HEADINGS if re.search(h, flat, re.IGNORECASE)), None)
+        sections = [] if heading is None else [s for s in re.split(f"(?={heading})", flat, flags=re.IGNORECASE) if len(s) > 100]
+        return [c for s in sections for c in by_mark(s)] or by_sentence(flat)
+
+    return _cut(docs, key, text, cut)
+
+
+def parsed_lines(docs: DataFrame, key: str, text: str, section: str = "^([0-9]+[A-Z]?)[.].+—.+") -> DataFrame:
+    """key, section (its running number), number, unit (0: the section's own lines), unit_type and text: trimmed lines grouped under numbered headings (a dash after the title) and, inside these, under illustrations, explanations and provisos.
+
+    Lines before the first heading go, as do blank ones. Each row needs a key of its own.
+    """
+    line = docs.select(key, F.posexplode(F.split(text, "\n")).alias("line", "l")).withColumn("l", F.trim("l")).where("l <> ''")
+    kind = F.when(F.rlike("l", F.lit("(?i)^illustration")), "Illustration").when(F.rlike("l", F.lit("(?i)^explanation")), "Explanation").when(F.rlike("l", F.lit("(?i)^(proviso|provided)")), "Proviso")
+    before = lambda *of: Window.partitionBy(key, *of).orderBy("line")
+    told = line.select("*", F.rlike("l", F.lit(section)).alias("opens"), kind.alias("kind"))
+    told = told.withColumn("section", F.count_if("opens").over(before())).where("section > 0").withColumn("unit", F.count_if(F.isnotnull("kind") & ~F.col("opens")).over(before("section")))
+    own = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "l"))), lambda x: x["l"]), c)
+    units = told.groupBy(key, "section", "unit").agg(F.max(F.when(F.col("opens"), F.regexp_extract("l", section, 1))).alias("number"), F.max("kind").alias("unit_type"), own("\n").alias("text"))
+    return units.select(key, "section", "number", "unit", F.coalesce(F.when(F.col("unit") > 0, F.col("unit_type")), F.lit("Section")).alias("unit_type"), "text")
+
+
 def near_in_document(docs: DataFrame, key: str, text: str, percent: int = 95) -> DataFrame:
     """Every line (chunk) with kept: false if an earlier kept line of its document has the same words or a word set with Jaccard similarity percent / 100 or more. Lines without words are kept; a null text has none.
 

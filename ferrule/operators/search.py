@@ -70,6 +70,28 @@ def bm25(docs: DataFrame, query: list[str], key: str, text: str, k1: float = 1.2
     return counted.join(F.broadcast(corpus)).select(key, score.alias("score"), matched.alias("matched")).where("matched > 0")
 
 
+def has_all(docs: DataFrame, query: list[str], text: str) -> DataFrame:
+    """Rows whose text has every query term (unstemmed)."""
+    words = terms(F.col(text))
+    return docs.where(F.size(F.array_except(F.array(*map(F.lit, query)), words)) == 0)
+
+
+def cover_density(docs: DataFrame, query: list[str], key: str, text: str, weight: float = 0.1) -> DataFrame:
+    """key and score of every document that has all query terms: `weight` for each shortest stretch that has them all, over one more than its other words.
+
+    Only the query terms' places leave a text. For each place the stretch ending there begins at the least of the terms' last places; it is shortest where that beginning moves on.
+    """
+    words = docs.select(key, terms(F.col(text)).alias("w"))
+    found = words.select(key, F.filter(F.transform("w", lambda x, i: F.struct(i.alias("p"), x.alias("term"))), lambda x: x["term"].isin(query)).alias("found"))
+    places = found.select(key, F.posexplode("found").alias("n", "at")).select(key, "n", "at.p", "at.term")
+    order = Window.partitionBy(key).orderBy("n")
+    last = [F.max(F.when(F.col("term") == q, F.struct("n", "p"))).over(order).alias(f"last{i}") for i, q in enumerate(query)]
+    ends = places.select("*", *last).where(" and ".join(f"last{i} is not null" for i in range(len(query))))
+    begun = ends.withColumn("b", F.array_min(F.array(*[f"last{i}" for i in range(len(query))])))
+    covers = begun.withColumn("before", F.lag("b.n").over(order)).where("before is null or b.n > before")
+    return covers.groupBy(key).agg(F.sum(weight / (1 + (F.col("p") - F.col("b.p")) - (F.col("n") - F.col("b.n")))).alias("score"))
+
+
 def ranked(scored: DataFrame, score: str, key: str, name: str) -> DataFrame:
     """1-based rank by score, ties by key."""
     return scored.withColumn(name, F.row_number().over(Window.orderBy(F.desc(score), key)))

@@ -138,18 +138,44 @@ def _(t): return _search(t, 5, "vec_id <> 5", 19)
 scalar("rnk10_party_hits", "documents", "doc_id", RANKED, {"ranked": double("score + CASE WHEN contains(lower(body), 'ram lal') THEN 0.05 ELSE 0.0 END + CASE WHEN contains(lower(body), 'state') THEN 0.05 ELSE 0.0 END + CASE WHEN contains(body, 'AIR 1977 SC') THEN 0.05 ELSE 0.0 END")})
 
 # fixed values: synonyms of query terms
-SYNONYMS = [("theft", ["stealing", "larceny"]), ("murder", ["homicide", "killing"]), ("bail", ["release", "surety"])]
+SYNONYMS = [
+    ("bail", ["anticipatory bail", "pre-arrest bail", "s 438", "sec 438", "section 438", "crpc 438", "regular bail", "interim bail", "default bail", "surety", "custody", "custodial interrogation"]),
+    ("arrest", ["custody", "detention", "apprehend"]),
+    ("remand", ["custody", "judicial remand"]),
+    ("fir", ["first information report", "crime report"]),
+    ("habeas", ["habeas corpus", "illegal detention"]),
+    ("writ", ["mandamus", "certiorari", "prohibition", "quo warranto"]),
+    ("appeal", ["appellate", "challenge", "review"]),
+    ("revision", ["criminal revision", "review petition"]),
+    ("robbery", ["dacoity", "armed theft", "extortion", "snatching"]),
+    ("murder", ["homicide", "culpable homicide"]),
+    ("sexual", ["rape", "sexual assault", "outraging modesty"]),
+    ("negligence", ["rash act", "breach of duty"]),
+    ("cheating", ["fraud", "dishonestly"]),
+    ("evidence", ["testimony", "proof", "material evidence"]),
+    ("contract", ["agreement", "covenant"]),
+    ("jurisdiction", ["competence", "authority"]),
+    ("mens", ["intention", "mens rea"]),
+    ("actus", ["act", "actus reus"]),
+    ("sentence", ["punishment", "imprisonment", "fine"]),
+    ("482", ["section 482", "482 crpc", "quash", "quash fir", "inherent powers"]),
+    ("quash", ["482", "quash fir", "inherent powers"]),
+    ("electronic", ["section 65b", "65-b certificate", "electronic record", "secondary evidence"]),
+    ("article", ["article 14", "article 21", "fundamental rights", "arbitrary", "fair procedure"]),
+    ("procedure", ["remand", "investigation", "cognizable", "non-cognizable", "compounding"]),
+    ("precedent", ["binding precedent", "ratio decidendi", "article 141"]),
+]
 _SYN = ", ".join(f"('{w}', {s})" for w, s in SYNONYMS)
-_ASKED = "CASE doc_id % 4 WHEN 0 THEN 'theft and murder' WHEN 1 THEN 'bail for theft' WHEN 2 THEN 'murder' ELSE 'contract' END"
+_ASKED = "CASE doc_id % 4 WHEN 0 THEN 'robbery and murder' WHEN 1 THEN 'bail after arrest, remand and quash of fir 482' WHEN 2 THEN 'murder' ELSE 'lease' END"
 
 
 def _expansions(t) -> DataFrame:
     asked = t("documents").selectExpr("doc_id", f"{_ASKED} as q")
     each = [F.when(F.contains("q", F.lit(w)), F.array(*map(F.lit, s))).otherwise(F.array().cast("array<string>")) for w, s in SYNONYMS]
-    return asked.withColumn("s", F.slice(F.array_sort(F.concat(*each)), 1, 40))
+    return asked.withColumn("s", F.slice(F.array_sort(F.array_distinct(F.concat(*each))), 1, 40))
 
 
-_EXPANDED = f"(SELECT doc_id, q, list(s ORDER BY s) FILTER (s IS NOT NULL) AS s FROM (SELECT doc_id, {_ASKED} AS q FROM documents) LEFT JOIN (SELECT w, unnest(x) AS s FROM (VALUES {_SYN}) v(w, x)) ON contains(q, w) GROUP BY doc_id, q)"
+_EXPANDED = f"(SELECT doc_id, q, list_sort(list(DISTINCT s) FILTER (s IS NOT NULL))[1:40] AS s FROM (SELECT doc_id, {_ASKED} AS q FROM documents) LEFT JOIN (SELECT w, unnest(x) AS s FROM (VALUES {_SYN}) v(w, x)) ON contains(q, w) GROUP BY doc_id, q)"
 
 
 @query("rnk12_synonyms", f"SELECT doc_id, coalesce(array_to_string(s[1:40], ' | '), '') AS issue FROM {_EXPANDED}")

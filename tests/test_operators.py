@@ -74,13 +74,58 @@ def test_values_at_places(spark):
     assert got == {"a": (1.0, 9.0), "b": (5.0, 5.0)}
 
 
+def pieces(spark, cut, text, **how):
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, text string")
+    rows = sorted(cut(docs, "id", "text", **how).collect())
+    assert all(r.id == 1 for r in rows)
+    return [r.text for r in rows]
+
+
 def test_paragraph_windows_cover_every_paragraph(spark):
     paragraphs = [f"paragraph {i} " + "word " * (20 * (i % 7) + 5) for i in range(40)]
-    docs = spark.createDataFrame([(1, "\n".join(paragraphs)), (2, None)], "id long, text string")
-    rows = chunks.paragraph_windows(docs, "id", "text").collect()
-    seen = {p for r in rows for p in r.text.split("\n")}
-    assert seen == set(paragraphs)
-    assert all(r.id == 1 for r in rows)
+    made = pieces(spark, chunks.paragraph_windows, "\n\n".join(paragraphs))
+    assert all(any(p.strip() in c for c in made) for p in paragraphs)
+    assert all(80 <= len(c) // 4 <= 800 for c in made)
+
+
+def test_paragraph_windows_split_what_is_long(spark):
+    sentences = [f"sentence {i} " + "word " * 60 + "end." for i in range(30)]
+    made = pieces(spark, chunks.paragraph_windows, "a short one of more than twenty\n \n" + " ".join(sentences) + "\n\n" + "x" * 9000 + "\n\ntiny")
+    assert all(80 <= len(c) // 4 <= 800 for c in made)
+    assert all(any(s in c for c in made) for s in sentences)
+    assert sum(c.count("x") for c in made) == 9000  # no x elsewhere
+    assert not any("tiny" in c for c in made)
+
+
+def test_paragraph_windows_repeat_the_end(spark):
+    first, second, third = "a" * 2000, "b" * 2000, "c" * 400
+    assert pieces(spark, chunks.paragraph_windows, "too short\n\n") == []
+    made = pieces(spark, chunks.paragraph_windows, "\n\n".join([first, second, third]))
+    assert made == [first, "a" * 80 + "\n\n" + second, "b" * 320 + "\n\n" + third]
+
+
+def test_other_chunkers(spark):
+    said = [f"number {i} is said here." for i in range(9)]
+    made = pieces(spark, chunks.overlapping_sentences, " ".join(said), most=20)
+    assert made == [" ".join(said[i : i + 3]) for i in range(7)]
+    assert pieces(spark, chunks.case_paragraphs, "one\n\n two \n\n\n\n" + "x" * 50 + "\n\nend", most=5) == ["one\n\ntwo", "x" * 50, "end"]
+    long = "2. b" + "\nIllustration " + "y" * 40 + "\nProviso " + "z" * 40
+    assert pieces(spark, chunks.statute_sections, "head\n1. a\n" + long, most=15) == ["head", "1. a", "2. b\n\nIllustration " + "y" * 40, "Proviso " + "z" * 40]
+
+
+def test_judgment_sections(spark):
+    facts, held = "FACTS: " + "the man went home. " * 10, "facts : " + "1. " + "w " * 60 + "2. " + "v " * 60
+    made = pieces(spark, chunks.judgment_sections, "short " + facts + held, most=200)
+    assert made[0] == facts.strip()
+    assert made[1].startswith("facts : ") and "2. v" in made[-1]
+    assert pieces(spark, chunks.judgment_sections, "no heading here at all. " * 6, most=70, overlap=0) == [" ".join(["no heading here at all"] * 3)] + ["no heading here at all no heading here at all no heading here at all."]
+    assert pieces(spark, chunks.judgment_sections, "too short") == []
+
+
+def test_parsed_lines(spark):
+    docs = spark.createDataFrame([(1, "lost\n1. Theft.— of it\nWhoever\n\nIllustration A\nmore\nProvided that\n2A. Bail — y\nx"), (2, None)], "id long, text string")
+    rows = [tuple(r) for r in chunks.parsed_lines(docs, "id", "text").orderBy("section", "unit").collect()]
+    assert rows == [(1, 1, "1", 0, "Section", "1. Theft.— of it\nWhoever"), (1, 1, None, 1, "Illustration", "Illustration A\nmore"), (1, 1, None, 2, "Proviso", "Provided that"), (1, 2, "2A", 0, "Section", "2A. Bail — y\nx")]
 
 
 def test_nearest_is_exact(spark):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from ferrule.plans.further import ORACLE_SQL, QUERIES
+from ferrule.plans.fuller import ORACLE_SQL, QUERIES
 from tests.conftest import SF
 
 
