@@ -71,11 +71,11 @@ def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 20, rows: int = 1
         at = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and row of every run of bytes other than [\\x20\\x09-\\x0D], which no text's end crosses."""
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and row of every run of bytes other than `space` ([\\x20\\x09-\\x0D]), which no text's end crosses."""
     if not len(data):
         return (np.zeros(0, np.int64),) * 3
-    solid = ~SPACE[data]
+    solid = ~space[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     inner = offsets[1:-1]
@@ -89,6 +89,16 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+def terms(column: pa.Array, space: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Every run of bytes other than `space` as a string, A-Z lower-cased, in order, and its row."""
+    data, offsets = buffers(column)
+    data = LOWER[data]
+    starts, ends, row = words(data, offsets, space)
+    bounds = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=bounds[1:])
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data[~space[data]])), row
+
+
 def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of every word, in order; A-Z are lower-cased if asked."""
     data, offsets = buffers(column)

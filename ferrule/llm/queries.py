@@ -87,6 +87,18 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ferrule.llm.lexical import search
+
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ferrule.llm.divergence import audit
+
+    return audit(_table(spark, sf_dir, "documents"), least=30, k=50)
+
+
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
@@ -107,6 +119,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_url_filter": op9_url_filter,
     "op10_embeddings": op10_embeddings,
+    "op11_lexical_search": op11_lexical_search,
+    "op13_source_divergence": op13_source_divergence,
     "pipeline": pipeline,
 }
 
@@ -167,4 +181,41 @@ ORACLE_SQL: dict[str, str] = {
             SELECT p.page_id, max_by(r.host || r.path, length(r.host || r.path)) AS rule, max_by(r.verdict, length(r.host || r.path)) AS verdict
             FROM parts p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY p.page_id)
         SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict FROM parts p LEFT JOIN fits f USING (page_id)""",
+    "op11_lexical_search": f"""
+        WITH d AS (
+            SELECT doc_id, unnest(regexp_extract_all({_AZ.format("text")}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM documents),
+        tf AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+        n AS (SELECT doc_id, sum(tf) AS n FROM tf GROUP BY doc_id),
+        c AS (SELECT count(*) AS docs, CAST(sum(n) AS HUGEINT) AS total FROM n),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS HUGEINT) AS w FROM tf, c GROUP BY term),
+        m AS (SELECT doc_id, 20 * (100 - 50 + (50 * CAST(n AS HUGEINT) * docs) // total) AS m FROM n, c),
+        q AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all({_AZ.format("text")}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+        s AS (
+            SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * CAST(tf AS HUGEINT)) // (1000 * tf + m))) AS BIGINT) AS score
+            FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM s WHERE score > 0 QUALIFY rank <= 50""",
+    "op13_source_divergence": f"""
+        WITH d AS (
+            SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                regexp_extract_all({_AZ.format("coalesce(text, '')")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents),
+        t AS (SELECT row, lang, source, unnest(terms) AS term FROM d),
+        kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 30),
+        v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+        c AS (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+        groups AS (
+            SELECT g.lang, g.source, coalesce(n, 0) + 5 * coalesce(v, 0) AS size FROM (SELECT DISTINCT lang, source FROM d) g
+            LEFT JOIN (SELECT lang, source, sum(c) AS n FROM c GROUP BY lang, source) USING (lang, source) LEFT JOIN v USING (lang)),
+        langs AS (SELECT lang, sum(c) + 5 * any_value(v) AS size FROM c JOIN v USING (lang) GROUP BY lang),
+        p AS (
+            SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c, 1 + 1000000000 * CAST(coalesce(c, 0) + 5 AS HUGEINT) // CAST(size AS HUGEINT) AS p
+            FROM groups g JOIN kept k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        q AS (SELECT lang, term, 1 + 1000000000 * CAST(sum(c) + 5 AS HUGEINT) // CAST(size AS HUGEINT) AS q FROM c JOIN langs USING (lang) GROUP BY lang, term, size),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        found AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+            UNION ALL SELECT p.lang, source, 'term', p.term, CAST(p - q AS BIGINT) FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q)
+        SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found QUALIFY part = 'pair' OR rank <= 50""",
 }
