@@ -8,8 +8,10 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
-from ferrule.llm import divergence, lexical
+from ferrule.llm import divergence, lexical, repeats
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 LETTERS = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
@@ -71,6 +73,100 @@ def test_length_norm_beyond_64_bits():
     assert lexical.length_norm(n, 10**10, 10**12).tolist() == [20 * (50 + 50 * int(x) * 10**10 // 10**12) for x in n]
 
 
+# -- long repeats
+
+
+def cut(rows, length):
+    """By brute force: each row's spans to be removed and the bytes that stay."""
+    least = {}
+    for i, t in rows:
+        t = (t or "").encode()
+        for k in range(len(t) - length + 1 if i is not None else 0):
+            least[t[k : k + length]] = min(least.get(t[k : k + length], i), i)
+    out = []
+    for i, t in rows:
+        t = (t or "").encode()
+        gone = bytearray(len(t))
+        for k in range(len(t) - length + 1 if i is not None else 0):
+            if least[t[k : k + length]] < i:
+                gone[k : k + length] = b"\1" * length
+        spans = [(m.start(), m.end()) for m in re.finditer(b"\1+", bytes(gone))]
+        out.append((i, len(t), tuple(spans), bytes(b for b, g in zip(t, gone, strict=True) if not g)))
+    return out
+
+
+def spans_of(df):
+    return Counter((r.doc_id, r.n_bytes, tuple((s.start, s.end) for s in r.spans), bytes(r.kept)) for r in df.collect())
+
+
+REPEATS = "doc_id long, text string, chunk long, ids string, marks int, found int, bucket int, n int, data string, spans string"
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choices("abcdeéßxyz日", k=rng.randrange(2, 9))) for _ in range(n))
+
+
+@pytest.mark.parametrize("hot", [2, 6, 4096])
+def test_repeats_by_brute_force(spark, hot):
+    rng = random.Random(hot)
+    passages = [prose(rng, 20) for _ in range(4)]
+    line = prose(rng, 8)
+    rows = []
+    for i in rng.sample(range(-500, 5000), 160):
+        parts = [prose(rng, rng.randrange(0, 30)), rng.choice(passages)[rng.randrange(0, 40) :], prose(rng, 3), line if i % 3 else "", prose(rng, 5)]
+        rng.shuffle(parts)
+        rows.append((i, " ".join(parts)))
+    rows += [(6001 + i, rows[i][1]) for i in range(12)] + [(rows[3][0], rows[3][1]), (rows[4][0], rows[4][1] + "x")]
+    rows += [(None, passages[0]), (7001, None), (7002, ""), (7003, "a" * 49), (7004, "a" * 50), (7005, "a" * 300), (7006, "ab" * 200), (7007, "ba" * 30), (7008, "a" * 51), (7009, passages[1] * 3)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(*r, 1, "i", 2, 3, 4, 5, "d", "s") for r in rows], REPEATS).repartition(5)
+    assert spans_of(repeats.repeats(df, length=50, hot=hot)) == Counter(cut(rows, 50))
+
+
+def test_repeats_of_long_texts(spark):
+    """Texts of several slices and chunks, copies at any offset, and joins by shuffle."""
+    rng = random.Random(9)
+    letters = [rng.choice("abcdefgh ") for _ in range(1_300_000)]
+    long, other = "".join(letters), "".join(reversed(letters))
+    rows = [(1, long), (2, other[:300_000] + long[999_000:1_100_000] + other[300_000:]), (3, long[:70]), (4, long[1_048_500:1_048_600]), (5, other), (6, "z" * 100)]
+    got = {r.doc_id: r for r in repeats.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [[tuple(s) for s in got[i].spans] for i in (1, 3, 4, 6)] == [[], [(0, 70)], [(0, 100)], []]
+    assert [(s.start, s.end) for s in got[2].spans] == [(300_000, 401_000)]
+    assert [(s.start, s.end) for s in got[5].spans] == [(0, 1_300_000)]
+
+
+def test_repeats_joined_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "MAX_ANSWERS", 0)
+    rng = random.Random(2)
+    same = prose(rng, 15)
+    rows = [(i, prose(rng, 10) + same) for i in range(30)]
+    assert spans_of(repeats.repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == Counter(cut(rows, 50))
+
+
+def test_repeats_of_nothing(spark):
+    assert repeats.repeats(spark.createDataFrame([], REPEATS)).collect() == []
+
+
+def test_run_index_streams_least_documents():
+    rng = random.Random(4)
+    parts = ["".join(rng.choices("ab", weights=[9, 1], k=rng.randrange(50, 90))).encode() for _ in range(300)] + [b"a" * 76, b"a" * 50, b"\xff" * 60]
+    parts = list(dict.fromkeys(parts))
+    least = np.array([rng.randrange(100) for _ in parts], np.int64)
+    size = np.array([len(p) for p in parts])
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    want = {}
+    for p, d in zip(parts, least, strict=True):
+        for k in range(len(p) - 49):
+            want[p[k : k + 50]] = min(want.get(p[k : k + 50], d), d)
+    index = repeats.RunIndex(data, np.concatenate(([0], np.cumsum(size))), least, 50)
+    assert index.stream(size, 50).tolist() == [want[p[k : k + 50]] for p in parts for k in range(len(p) - 49)]
+    passage = prose(rng, 200).encode()
+    parts = [passage[k : k + 70] for k in range(len(passage) - 70)]
+    size = np.full(len(parts), 70)
+    index = repeats.RunIndex(np.frombuffer(b"".join(parts), np.uint8), 70 * np.arange(len(parts) + 1), np.arange(len(parts)), 50)
+    assert len(index.starts) < 8 * len(passage) < 70 * len(parts) / 8
+
+
 # -- divergence audit
 
 AUDIT = "doc_id long, text string, lang string, source string, n long, vec string, m long, first string, value long, size long"
