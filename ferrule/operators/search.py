@@ -84,12 +84,18 @@ def cover_density(docs: DataFrame, query: list[str], key: str, text: str, weight
     words = docs.select(key, terms(F.col(text)).alias("w"))
     found = words.select(key, F.filter(F.transform("w", lambda x, i: F.struct(i.alias("p"), x.alias("term"))), lambda x: x["term"].isin(query)).alias("found"))
     places = found.select(key, F.posexplode("found").alias("n", "at")).select(key, "n", "at.p", "at.term")
-    order = Window.partitionBy(key).orderBy("n")
-    last = [F.max(F.when(F.col("term") == q, F.struct("n", "p"))).over(order).alias(f"last{i}") for i, q in enumerate(query)]
-    ends = places.select("*", *last).where(" and ".join(f"last{i} is not null" for i in range(len(query))))
-    begun = ends.withColumn("b", F.array_min(F.array(*[f"last{i}" for i in range(len(query))])))
+    numbered = places.withColumn("number", F.array_position(F.array(*map(F.lit, query)), F.col("term")).cast("int") - 1).withColumn("terms", F.lit(len(query)))
+    return cover_scores(numbered, [key], len(query), weight)
+
+
+def cover_scores(places: DataFrame, keys: list[str], most: int, weight: float = 0.1) -> DataFrame:
+    """keys and score from the places p, n-th of the document's, of its query's terms: of `terms`, `most` at most, each has a number from 0."""
+    order = Window.partitionBy(*keys).orderBy("n")
+    last = F.array(*[F.max(F.when(F.col("number") == i, F.struct("n", "p"))).over(order) for i in range(most)])
+    ends = places.withColumn("last", F.slice(last, F.lit(1), F.col("terms"))).where(F.forall("last", lambda x: x.isNotNull()))
+    begun = ends.withColumn("b", F.array_min("last"))
     covers = begun.withColumn("before", F.lag("b.n").over(order)).where("before is null or b.n > before")
-    return covers.groupBy(key).agg(F.sum(weight / (1 + (F.col("p") - F.col("b.p")) - (F.col("n") - F.col("b.n")))).alias("score"))
+    return covers.groupBy(*keys).agg(F.sum(weight / (1 + (F.col("p") - F.col("b.p")) - (F.col("n") - F.col("b.n")))).alias("score"))
 
 
 def ranked(scored: DataFrame, score: str, key: str, name: str) -> DataFrame:
