@@ -13,8 +13,7 @@ neighbouring suffixes share less than `length` bytes. Each run's end is sampled:
 their ends, all in step; the matching statistic grows by a byte with each step of the LF mapping, and wherever it has reached `length` the run's sample tells
 the least document with these bytes. It goes back to the chunks that hold the segment in a larger doc_id, where spans are joined and cut from the texts.
 
-The passes over texts read the staged chunks, so they see the same rows. Joins of a chunk with its answers are broadcasts while these are small, else shuffles of the
-compressed chunks.
+The passes over texts read the staged chunks, so they see the same rows. A chunk meets its answers by a shuffle of the compressed chunks, at any size.
 
 Cases: a null text is empty; a text shorter than `length` bytes stays; a row with a null doc_id neither removes nor loses anything; rows with one doc_id don't remove from each
 other; bytes are those of UTF-8, so what is kept may start or end within a character; one text must fit into a task; an empty table gives no rows; other columns aren't used.
@@ -39,8 +38,6 @@ INDEX_BYTES = 1 << 19
 #: Text whose anchors, and whose repeated segments, go to one task.
 TASK_BYTES = 1 << 25
 HOT = 4096
-#: Compressed bytes of answers that may be broadcast; more are joined by a shuffle.
-MAX_ANSWERS = 16 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SINGLE = np.uint16(1 << 15)
 _NONE = np.iinfo(np.int64).max
@@ -397,9 +394,8 @@ def _answers(anchors: DataFrame, tasks: int, hot: int) -> DataFrame:
 
 def _joined(chunks: DataFrame, answers: DataFrame, name: str) -> DataFrame:
     """Chunks with what was answered to them; those without an answer too."""
-    size = answers.agg(F.sum(F.length("data"))).first()[0] or 0
     by_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct(*[c for c in answers.columns if c != "chunk"])).alias(name))
-    return chunks.join(F.broadcast(by_chunk) if size <= MAX_ANSWERS else by_chunk, "chunk", "left")
+    return chunks.join(by_chunk, "chunk", "left")
 
 
 def _dealt(marked: DataFrame, length: int, buckets: int) -> DataFrame:

@@ -135,14 +135,6 @@ def test_repeats_of_long_texts(spark):
     assert [(s.start, s.end) for s in got[5].spans] == [(0, 1_300_000)]
 
 
-def test_repeats_joined_by_shuffle(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "MAX_ANSWERS", 0)
-    rng = random.Random(2)
-    same = prose(rng, 15)
-    rows = [(i, prose(rng, 10) + same) for i in range(30)]
-    assert spans_of(repeats.repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == Counter(cut(rows, 50))
-
-
 def test_repeats_of_nothing(spark):
     assert repeats.repeats(spark.createDataFrame([], REPEATS)).collect() == []
 
