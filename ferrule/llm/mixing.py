@@ -27,7 +27,7 @@ from ferrule.llm.staging import stage
 BUCKET_WORDS = 200_000
 BLOCK_WORDS, LEAST_BLOCKS = 4096, 1024
 SHARD_WORDS = 50_000_000
-PRIME, OFFSET = 2_147_483_647, 1_000_003
+ROUNDS = 32
 
 
 def word_count(text: Column) -> Column:
@@ -131,7 +131,7 @@ def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     return docs.withColumns({"_size": word_count(F.col(text)), "_key": F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)), "_s": tagged})
 
 
-def aims(measured: DataFrame, source: str, weights: tuple[int, ...], most: int) -> DataFrame:
+def aims(measured: DataFrame, source: str, weights: tuple[int, ...], most: int, seed: int) -> DataFrame:
     """A row for each source: _s, _source_size, _target, and its exact quota: its words in _blocks blocks of _width, which are drawn _quota times in all,
     _blocks draws a pass in the order of a permutation (see `position`), with the last _cut words of the last draw's block left out."""
     per_source = measured.groupBy("_s").agg(F.first(source).alias("source"), F.sum("_size").alias("source_size"))
@@ -142,16 +142,24 @@ def aims(measured: DataFrame, source: str, weights: tuple[int, ...], most: int)
     rows = rows.withColumn("_width", F.least(F.lit(BLOCK_WORDS).cast("long"), F.ceil(size / LEAST_BLOCKS))).withColumn("_blocks", F.ceil(size / F.col("_width")))
     rows = rows.withColumn("_passes", F.floor(F.col("_target") / size)).withColumn("_rest", F.round(F.col("_target") - F.col("_passes") * size).cast("long"))
     # of the pass that isn't whole: the last of the blocks is `_short` words short, and has its place among the others
-    rows = rows.withColumn("_short", F.col("_width") * F.col("_blocks") - size).withColumn("_at_short", position(F.col("_blocks") - 1, F.col("_blocks")))
+    rows = rows.withColumn("_short", F.col("_width") * F.col("_blocks") - size).withColumn("_at_short", position(F.col("_blocks") - 1, F.col("_blocks"), seed))
     part = F.when(F.col("_rest") <= F.col("_at_short") * F.col("_width"), F.ceil(F.col("_rest") / F.col("_width"))).otherwise(F.greatest(F.col("_at_short") + 1, F.ceil((F.col("_rest") + F.col("_short")) / F.col("_width"))))
     rows = rows.withColumn("_part", part).withColumn("_cut", F.col("_part") * F.col("_width") - F.when(F.col("_part") > F.col("_at_short"), F.col("_short")).otherwise(0) - F.col("_rest"))
     rows = rows.withColumn("_quota", F.when(F.col("_source_size") > 0, F.col("_passes") * F.col("_blocks") + F.col("_part")).otherwise(0))
     return stage(rows.select("_s", "_source_size", "_target", "_width", "_blocks", "_quota", "_cut"), "aims")
 
 
-def position(block: Column, blocks: Column) -> Column:
-    """The place of a block in the order of drawing: an affine permutation, as PRIME and the number of blocks share no factor."""
-    return F.pmod(block * F.lit(PRIME) + F.lit(OFFSET), blocks)
+def position(block: Column, blocks: Column, seed: int) -> Column:
+    """The place of a block in the order of drawing, a permutation of any number of blocks that depends on the seed.
+
+    Swap or not: in each round a block and its partner, which add up to the round's number modulo `blocks`, change places or stay, as a hash of the greater of the two tells.
+    """
+
+    def swap(x: Column, k: Column) -> Column:
+        partner = F.pmod(F.pmod(F.xxhash64(F.lit(seed), k), blocks) - x, blocks)
+        return F.when(F.xxhash64(F.lit(seed), k, F.greatest(x, partner)) < 0, partner).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), block, swap)
 
 
 def place(measured: DataFrame, aimed: DataFrame) -> DataFrame:
@@ -174,7 +182,7 @@ def draws(measured: DataFrame, source: str = "source", seed: int = 1, weights: t
     What is drawn are the runs that the tree's leaves hold. A document that isn't drawn has one row with _words = 0. With `whole` documents aren't cut: each
     is in the block that holds its middle, and a row stands for a copy.
     """
-    aimed = aims(measured, source, weights, most)
+    aimed = aims(measured, source, weights, most, seed)
     if levels is None:
         words = aimed.agg(F.sum("_target")).first()[0] or 0
         levels = max(4, int(words / SHARD_WORDS).bit_length())
@@ -188,9 +196,11 @@ def draws(measured: DataFrame, source: str = "source", seed: int = 1, weights: t
         laid = laid.withColumn("_block", F.expr("(_at + _size div 2) div _width"))
     else:
         laid = laid.withColumn("_block", F.explode(F.expr("sequence(_at div _width, (_at + greatest(_size, 1) - 1) div _width)")))
-    place_of = position(F.col("_block"), F.col("_blocks"))
+    place_of = position(F.col("_block"), F.col("_blocks"), seed)
     times = F.when((size > 0) & (place_of < F.col("_quota")), F.transform(F.sequence(F.lit(0).cast("long"), F.expr("(_quota - 1) div _blocks")), lambda k: k * F.col("_blocks") + place_of))
-    laid = laid.withColumn("_draw", F.explode_outer(F.filter(times, lambda d: d < F.col("_quota")))).withColumn("_cell", F.expr(f"_draw div greatest(1, _quota div {2**levels})"))
+    laid = laid.withColumn("_draw", F.explode_outer(F.filter(times, lambda d: d < F.col("_quota"))))
+    # blocks that aren't drawn lie in no run; they're spread over cells that no run has
+    laid = laid.withColumn("_cell", F.coalesce(F.expr(f"_draw div greatest(1, _quota div {2**levels})"), -1 - F.pmod(F.hash("_key", "_block"), F.lit(4096)).cast("long")))
     runs = runs.select(F.col("_s").alias("_rs"), F.col("_cell").alias("_rcell"), "_from", "_to", F.col("shard").alias("_shard"))
     dealt = laid.join(small(runs), (F.col("_s") == F.col("_rs")) & (F.col("_cell") == F.col("_rcell")) & (F.col("_draw") >= F.col("_from")) & (F.col("_draw") < F.col("_to")), "left")
     start = F.col("_block") * F.col("_width")

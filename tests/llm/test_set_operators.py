@@ -196,6 +196,22 @@ def test_components(spark):
 # -- mixing
 
 
+@pytest.mark.parametrize("blocks", [1, 2, 7, 1023, 1024, 4096])
+def test_position_is_a_seeded_permutation(spark, blocks):
+    n = F.lit(blocks).cast("long")
+    rows = spark.range(blocks).select("id", mixing.position(F.col("id"), n, 1).alias("a"), mixing.position(F.col("id"), n, 2).alias("b")).collect()
+    assert sorted(r.a for r in rows) == sorted(r.b for r in rows) == list(range(blocks))
+    if blocks < 1000:
+        return
+    for c in ("a", "b"):  # the first draws lie all over the source: each sixteenth of its blocks has its share
+        drawn = [r.id for r in rows if r[c] < blocks // 4]
+        share = Counter(16 * i // blocks for i in drawn)
+        assert len(share) == 16 and max(share.values()) < 2 * blocks // 64 and min(share.values()) > blocks // 128
+        assert sum(i + 1 in set(drawn) for i in drawn) < len(drawn) / 2
+    assert sum(r.a == r.b for r in rows) < 20
+
+
+
 def targets_brute(sizes, weights, most=3):
     total, left = sum(sizes.values()), dict(sizes)
     out = {}
