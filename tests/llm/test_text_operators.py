@@ -203,3 +203,39 @@ def test_turn_order(spark):
     talks = {1: ["system", "user", "assistant"], 2: ["user", "assistant", "user"], 3: ["assistant"], 4: ["user", "user"], 5: ["system"], 6: ["user", "assistant", "assistant"]}
     df = spark.createDataFrame([(c, i, role, "t") for c, roles in talks.items() for i, role in enumerate(roles)], "conv_id long, turn long, role string, text string")
     assert {r.conv_id for r in chat_format.format_chats(df).where("valid").collect()} == {1, 2}
+
+
+# -- hashes
+
+
+def test_hashes_have_no_fixed_collisions(spark):
+    """Words in the Thue-Morse order of two letters and their mirror images collide in every polynomial modulo a power of two."""
+    from ferrule.llm import near_dup
+    from ferrule.llm.kernels import span_hashes
+
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    words = [(word[:n].translate(str.maketrans("ab", "xy")), word[:n].translate(str.maketrans("ab", "yx"))) for n in (1024, 2048, 4096)]
+    for pair in words:
+        a, b = (np.frombuffer(w.encode(), np.uint8) for w in pair)
+        assert span_hashes(a, np.array([0]), np.array([len(a)])) != span_hashes(b, np.array([0]), np.array([len(b)]))
+    rows = [(2 * k + i, w) for k, pair in enumerate(words) for i, w in enumerate(pair)]
+    got = near_dup.decide(spark.createDataFrame(rows, "doc_id long, text string"), width=2, percent=80).collect()
+    assert all(r.component_id == r.doc_id and r.kept for r in got) and len(got) == 6
+
+
+def test_hash_is_that_of_the_bytes_alone():
+    from ferrule.llm.kernels import span_hashes
+
+    rng = np.random.default_rng(1)
+    data = rng.integers(0, 3, 5000).astype(np.uint8)
+    starts = rng.integers(0, 4000, 400)
+    ends = starts + rng.integers(0, 100, 400)
+    short = ends - starts < 60
+    whole, alone = span_hashes(data, starts, ends), span_hashes(data, starts[short], ends[short])
+    assert (whole[short] == alone).all()
+    seen = {}
+    for s, e, h in zip(starts, ends, whole, strict=True):
+        assert seen.setdefault(data[s:e].tobytes(), h) == h
+    assert len(set(seen.values())) == len(seen)
