@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import pytest
 
-from ferrule.plans.fuller import ORACLE_SQL, QUERIES
+from ferrule.plans import fuller, retrieval
 from tests.conftest import SF
 
+QUERIES, ORACLE_SQL = {**fuller.QUERIES, **retrieval.QUERIES}, {**fuller.ORACLE_SQL, **retrieval.ORACLE_SQL}
+
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_as_sql(spark, same_as_sql, name):
