@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrule.operators import percentiles
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """new's rows win over old's with the same key."""
@@ -27,12 +29,37 @@ def changes(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> Dat
     return a.join(b, key, "full_outer").select(key, action.alias("action")).where("action is not null")
 
 
-def interval_join(points: DataFrame, spans: DataFrame, point: str, start: str, end: str, by: list[str], width: int = 365) -> DataFrame:
-    """Points (days) in half-open spans: an equi-join on buckets of `width` days, then the exact predicate. Open ends need a bound in the data first."""
-    bucket = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / width)
-    p = points.withColumn("_b", bucket(F.col(point)))
-    s = spans.withColumn("_b", F.explode(F.sequence(bucket(F.col(start)), bucket(F.date_sub(F.col(end), 1)))))
-    return p.join(s, [*by, "_b"]).where((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))).drop("_b")
+def interval_join(points: DataFrame, spans: DataFrame, point: str, start: str, end: str, by: list[str]) -> DataFrame:
+    """Points in half-open spans of dates, timestamps or whole numbers; a null start or end is open.
+
+    A span is cut into power-of-two cells, two of each length at most, so it makes no more rows than twice the logarithm of its length; a point lies in one cell of each length, and an
+    equi-join on cells meets each pair once. Open ends reach as far as the points do. Rows with a null in `by` or the point match nothing.
+    """
+    kind = points.schema[point].dataType.simpleString()
+    number = {"date": F.unix_date, "timestamp": F.unix_seconds}.get(kind, lambda c: F.floor(c).cast("long"))
+    slack = 0 if kind == "date" else 1  # the cells of a span cover the whole unit in which it ends
+    lo, hi = points.agg(F.min(number(F.col(point))), F.max(number(F.col(point)))).first()
+    if lo is None:
+        lo, hi = 0, 0
+    first = F.greatest(F.coalesce(number(F.col(start)), F.lit(lo)), F.lit(lo)).cast("long") - lo
+    after = F.least(F.coalesce(number(F.col(end)) + slack, F.lit(hi + 1)), F.lit(hi + 1)).cast("long") - lo
+    levels = (hi + 1 - lo).bit_length()
+
+    def cells(k: Column) -> Column:
+        """Of the span's cells of length 2^k those at its left and right end."""
+        size = F.pow(F.lit(2.0), k).cast("long")
+        l, r = F.floor((F.col("_a") + size - 1) / size), F.floor(F.col("_e") / size)
+        cell = lambda at, taken: F.when(taken & (l < r), F.struct(k.alias("k"), at.cast("long").alias("c")))
+        return F.array(cell(l, l % 2 == 1), cell(r - 1, r % 2 == 1))
+
+    cut = spans.withColumn("_a", first).withColumn("_e", after).withColumn("_x", F.explode(F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), cells)))))
+    s = cut.select(*spans.columns, F.col("_x.k").alias("_k"), F.col("_x.c").alias("_c"))
+    lengths = sorted(r[0] for r in s.select("_k").distinct().collect())
+    at = number(F.col(point)).cast("long") - lo
+    own = [F.struct(F.lit(k).alias("k"), F.shiftright(at, k).alias("c")) for k in lengths] or [F.struct(F.lit(-1).alias("k"), at.alias("c"))]
+    p = points.withColumn("_x", F.explode(F.array(*own))).select(*points.columns, F.col("_x.k").alias("_k"), F.col("_x.c").alias("_c"))
+    inside = (F.col(start).isNull() | (F.col(point) >= F.col(start))) & (F.col(end).isNull() | (F.col(point) < F.col(end)))
+    return p.join(s, [*by, "_k", "_c"]).where(inside).drop("_k", "_c")
 
 
 def as_of(left: DataFrame, right: DataFrame, by: str, time: str, value: str) -> DataFrame:
@@ -62,9 +89,7 @@ def runs(df: DataFrame, by: str, order: list[str], holds: Column) -> DataFrame:
 
 def percentile_floor(df: DataFrame, by: str, value: str, p: int) -> DataFrame:
     """The value at place min(floor(p/100 * n), n - 1) of each group's sorted values."""
-    w = Window.partitionBy(by)
-    placed = df.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_k", F.row_number().over(w.orderBy(value)) - 1)
-    return placed.where(F.col("_k") == F.least(F.floor(F.lit(p) / 100 * F.col("_n")), F.col("_n") - 1)).select(by, F.col(value).alias("value"))
+    return percentiles.values_at(df, by, value, {"value": f"least(floor({p} / 100D * n), n - 1)"})
 
 
 def similar_pairs(sets: DataFrame, key: str, items: str, percent: int = 80) -> DataFrame:
@@ -93,14 +118,6 @@ def where_given(df: DataFrame, wanted: dict[str, object]) -> DataFrame:
     return df
 
 
-def values_at(df: DataFrame, by: str, value: str, places: dict[str, str]) -> DataFrame:
-    """Each group's sorted values at places from 0, given as SQL of the group's size n. Values are counted first, so that what a window sees is a group's different values, not its rows."""
-    counts = df.groupBy(by, value).agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(by).orderBy(value))
-    placed = counts.withColumns({"upto": upto, "n": F.sum("c").over(Window.partitionBy(by))})
-    return placed.groupBy(by).agg(*[F.min(F.when(F.col("upto") > F.expr(place), F.col(value))).alias(name) for name, place in places.items()])
-
-
 def carried(df: DataFrame, order: list[str], start: object, step: Callable, out: str) -> DataFrame:
     """Adds a boolean column by folding over the rows of each group (the first column) in order: step(state, row) gives the next state and the row's verdict.
 

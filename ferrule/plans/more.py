@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions import rules as R
-from ferrule.operators import search, tables
+from ferrule.operators import percentiles, search, tables
 from ferrule.plans.queries import _SPARK_DOC, _SQL_DOC, ORACLE_SQL, QUERIES, query, r  # noqa: F401  what is registered here joins the others
 
 KIND = "CASE doc_id % 4 WHEN 0 THEN 'statute' WHEN 1 THEN 'case_law' WHEN 2 THEN 'regulation' ELSE 'user' END"
@@ -201,11 +201,14 @@ def _(t):
 
 
 @query("agg16_times", "SELECT event_type, min(value) AS least, max(value) AS most, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
-def _(t): return t("events").groupBy("event_type").agg(F.min("value").alias("least"), F.max("value").alias("most"), r(F.avg("value"), 4).alias("mean"), *[r(F.percentile("value", p)).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
+def _(t):
+    ends = t("events").groupBy("event_type").agg(F.min("value").alias("least"), F.max("value").alias("most"), r(F.avg("value"), 4).alias("mean"))
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    return percentiles.percentiles(t("events"), "event_type", "value", shares).select("event_type", *[r(F.col(n)).alias(n) for n in shares]).join(ends.withColumnRenamed("event_type", "t"), F.col("event_type").eqNullSafe(F.col("t"))).drop("t")
 
 
 @query("agg19_quartiles", "WITH s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, max(value) FILTER (k = n // 4) AS q1, max(value) FILTER (k = 3 * n // 4) AS q3 FROM s GROUP BY event_type")
-def _(t): return tables.values_at(t("events"), "event_type", "value", {"q1": "n div 4", "q3": "3 * n div 4"})
+def _(t): return percentiles.values_at(t("events"), "event_type", "value", {"q1": "n div 4", "q3": "3 * n div 4"})
 
 
 _EVAL = "(SELECT conv_id AS q, min(CASE WHEN turn % 4 = 2 THEN turn + 1 END) AS rank, count(*) * 10.0::DOUBLE AS ms FROM conversations GROUP BY conv_id)"

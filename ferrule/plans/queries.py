@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions import temporal, text
-from ferrule.operators import chunks, search, tables
+from ferrule.operators import chunks, percentiles, search, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -179,6 +179,19 @@ def _(t):
     return tables.as_of(e.where("event_type = 'click'").select("event_id", "user_id", "ts"), views, "user_id", "ts", "last_view").select("event_id", "last_view")
 
 
+@query("joi15_open_interval", """WITH spans AS (
+    SELECT o_custkey, o_orderkey, CASE WHEN lag(o_orderdate) OVER w IS NULL THEN NULL ELSE CAST(o_orderdate AS DATE) END AS s, CAST(lead(o_orderdate) OVER w AS DATE) AS e FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
+    SELECT s.o_orderkey, count(*) AS shipped, sum(l_linenumber) AS line_numbers FROM lineitem JOIN orders o ON l_orderkey = o.o_orderkey JOIN spans s ON s.o_custkey = o.o_custkey
+    AND (s.s IS NULL OR CAST(l_shipdate AS DATE) >= s.s) AND (s.e IS NULL OR CAST(l_shipdate AS DATE) < s.e) GROUP BY s.o_orderkey""")
+def _(t):
+    """What was shipped to a customer while each order was the latest: the first order's time has no beginning, the last one's no end."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    day = F.to_date("o_orderdate")
+    spans = t("orders").select("o_custkey", "o_orderkey", F.when(F.lag("o_orderdate").over(w).isNotNull(), day).alias("s"), F.to_date(F.lead("o_orderdate").over(w)).alias("e"))
+    points = t("lineitem").join(t("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").select("o_custkey", "l_linenumber", F.to_date("l_shipdate").alias("d"))
+    return tables.interval_join(points, spans, "d", "s", "e", ["o_custkey"]).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("shipped"), F.sum("l_linenumber").alias("line_numbers"))
+
+
 # -- aggregations
 
 
@@ -199,7 +212,10 @@ def _(t): return t("conversations").groupBy("conv_id").agg(F.count(F.lit(1)).ali
 
 
 @query("agg08_percentile_cont", "SELECT source, round(quantile_cont(n_chars, 0.5), 4) AS p50, round(quantile_cont(n_chars, 0.95), 4) AS p95, max(n_chars) AS hi, min(n_chars) AS lo FROM documents GROUP BY 1")
-def _(t): return t("documents").groupBy("source").agg(r(F.percentile("n_chars", 0.5), 4).alias("p50"), r(F.percentile("n_chars", 0.95), 4).alias("p95"), F.max("n_chars").alias("hi"), F.min("n_chars").alias("lo"))
+def _(t):
+    docs = t("documents")
+    ends = docs.groupBy("source").agg(F.max("n_chars").alias("hi"), F.min("n_chars").alias("lo"))
+    return percentiles.percentiles(docs, "source", "n_chars", {"p50": 0.5, "p95": 0.95}).select("source", r(F.col("p50"), 4).alias("p50"), r(F.col("p95"), 4).alias("p95")).join(ends.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
 
 
 @query("agg09_top_groups", "SELECT user_id, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, user_id LIMIT 5")

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
+import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from ferrule.functions import temporal, text
-from ferrule.operators import chunks, search, tables
+from ferrule.operators import chunks, percentiles, search, tables
 from ferrule.sources import files
 from ferrule.streaming import windows
 
@@ -70,7 +73,7 @@ def test_batch_of_queries_in_blocks(spark):
 
 def test_values_at_places(spark):
     df = spark.createDataFrame([("a", float(x)) for x in (3, 1, 1, 2, 9, 9, 9)] + [("b", 5.0)], "g string, v double")
-    got = {r.g: (r.q1, r.q3) for r in tables.values_at(df, "g", "v", {"q1": "n div 4", "q3": "3 * n div 4"}).collect()}
+    got = {r.g: (r.q1, r.q3) for r in percentiles.values_at(df, "g", "v", {"q1": "n div 4", "q3": "3 * n div 4"}).collect()}
     assert got == {"a": (1.0, 9.0), "b": (5.0, 5.0)}
 
 
@@ -285,3 +288,57 @@ def test_carried_on_empty_and_ungrouped(spark):
     assert tables.carried(empty, ["v"], 0, step, "first").collect() == []
     alone = spark.createDataFrame([(None, 1), (None, 2), (1, 1), (1, 2)], "g long, v long")
     assert sorted((x.g or 0, x.v, x.first) for x in tables.carried(alone, ["v"], 0, step, "first").collect()) == [(0, 1, True), (0, 2, True), (1, 1, True), (1, 2, False)]
+
+
+def _inside(points, spans):
+    return sorted((p, s) for p, k, x in points for s, q, a, b in spans if k is not None and k == q and x is not None and (a is None or x >= a) and (b is None or x < b))
+
+
+@pytest.mark.parametrize("kind", ["date", "bigint", "timestamp"])
+def test_interval_join_with_open_ends(spark, kind):
+    rng = random.Random(kind)
+    base = dt.datetime(2019, 1, 1)
+
+    def value(n):
+        return None if n is None else n if kind == "bigint" else base + dt.timedelta(seconds=n * 0.4) if kind == "timestamp" else (base + dt.timedelta(days=n)).date()
+
+    some = lambda most: rng.choice([None, *[rng.randrange(-50, most) for _ in range(5)]])
+    points = [(i, rng.choice([1, 2, None]), value(some(3000))) for i in range(300)]
+    spans = []
+    for i in range(120):
+        a, n = some(3000), rng.choice([None, 0, 1, 2, 7, 64, 1000, 100_000])
+        spans.append((i, rng.choice([1, 2, None]), value(a), value(None if n is None else (a or 0) + n)))
+    spans += [(200, 1, None, None), (201, 2, value(5), value(5)), (202, 2, value(9), value(3)), (203, 1, value(-10**4), value(-9000))]
+    p, s = spark.createDataFrame(points, f"p int, k int, x {kind}"), spark.createDataFrame(spans, f"s int, k int, a {kind}, b {kind}")
+    assert sorted(tuple(r) for r in tables.interval_join(p, s, "x", "a", "b", ["k"]).select("p", "s").collect()) == _inside(points, spans)
+    assert tables.interval_join(p.limit(0), s, "x", "a", "b", ["k"]).collect() == tables.interval_join(p, s.limit(0), "x", "a", "b", ["k"]).collect() == []
+
+
+def test_interval_cells_are_few(spark):
+    """A span of a million days makes no more rows than twice the logarithm of its length."""
+    points = spark.range(0, 1_000_000, 1000).select("id", F.lit(1).alias("k"), F.col("id").alias("x"))
+    spans = spark.createDataFrame([(1, 1, 3, 999_999), (2, 1, None, None)], "s int, k int, a long, b long")
+    joined = tables.interval_join(points, spans, "x", "a", "b", ["k"])
+    assert joined.count() == 1999
+
+
+@pytest.mark.parametrize("small", [1, 7, 100_000])
+def test_exact_percentiles(spark, small):
+    rng = random.Random(small)
+    groups = {"a": [rng.gauss(0, 1e6) for _ in range(501)], "b": [1.0] * 300 + [2.0], "c": [5.0], "d": [rng.choice([1e308, -1e308, 0.0, 1e-300]) for _ in range(90)], None: [float(i) for i in range(40)], "e": []}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("a", None), ("e", None)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, v double")
+    shares = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r.g: r for r in percentiles.percentiles(df, "g", "v", shares, small=small, bins=4).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        vs = sorted(vs)
+        for name, share in shares.items():
+            if not vs:
+                assert got[g][name] is None
+                continue
+            at = (len(vs) - 1) * share
+            a, b = vs[math.floor(at)], vs[math.ceil(at)]
+            assert got[g][name] == (a if at == math.floor(at) else a + (b - a) * (at - math.floor(at)))
+    assert percentiles.percentiles(df.limit(0), "g", "v", shares).collect() == []
