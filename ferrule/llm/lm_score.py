@@ -74,11 +74,11 @@ def counted(named: DataFrame, order: int, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, parts in _chunks(batches):
-            keys, total, check = [np.zeros(0, np.uint64)], 0, np.uint64(0)
+            keys, total, check = [np.zeros(0, np.uint64)], 0, 0
             for b in parts:
                 h, row = _hashes(*buffers(b.column("text")))
                 keys += [key[inside] for key, inside in _grams(h, row, order)]
-                total, check = total + len(h), check + mix(h).sum(dtype=np.uint64)
+                total, check = total + len(h), check + int(mix(h).sum(dtype=np.uint64))
             parts.clear()  # the texts aren't needed any more
             key = np.concatenate(keys)
             keys.clear()
@@ -147,7 +147,7 @@ def score(docs: DataFrame, order: int = 2, alpha: float = 0.4, doc_id: str = "do
             offsets = np.concatenate(([0], np.cumsum(sizes)))
             data = np.frombuffer(pa.decompress(texts["texts"][r].as_py(), int(offsets[-1]), "zstd") if offsets[-1] else b"", np.uint8)
             h, row = _hashes(data, offsets)
-            n_words, check = n_words + len(h), check + mix(h).sum(dtype=np.uint64)
+            n_words, check = n_words + len(h), check + int(mix(h).sum(dtype=np.uint64))
             n = np.bincount(row, minlength=len(sizes))
             before, value = None, None
             for size, (key, inside) in enumerate(_grams(h, row, order), 1):

@@ -73,8 +73,10 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds - self.linear(found, bounds)[:, None], -60, 60)))
 
 
-def _cumulative_fit(rows: np.ndarray, cols: np.ndarray, n: int, m: int, grade: np.ndarray, levels: int, l1: float, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """Proximal accelerated gradient on the mean negative log likelihood of the grades, with an L1 penalty on the shared weights, none of which is negative: a long text's clean words don't make up for its toxic ones."""
+def _cumulative_fit(rows: np.ndarray, cols: np.ndarray, n: int, m: int, grade: np.ndarray, levels: int, l1: float, rounds: int = 400, pull: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Proximal accelerated gradient on the mean negative log likelihood of the grades, with an L1 penalty on the shared weights, none of which is negative: a long text's clean words don't make up for its toxic ones.
+
+    Each round draws the k-th threshold up by k * pull, a prior that higher grades are rarer, with which held-out recall is better on few rows."""
     w, theta = np.zeros(m), np.linspace(0.5, 1.5, levels)
     weight = np.where(grade > 0, np.sqrt((grade == 0).sum() / max((grade > 0).sum(), 1)), 1.0)[:, None]
     scale = 1 / np.sqrt(np.bincount(cols, minlength=m) / n + 1e-3)  # rare features move as fast as frequent ones
@@ -99,7 +101,7 @@ def _cumulative_fit(rows: np.ndarray, cols: np.ndarray, n: int, m: int, grade: n
     for _ in range(rounds):
         gw, gt = slope(vw, vt)
         nw = np.maximum(vw - step * (gw + l1), 0)
-        nt = np.maximum.accumulate(vt - step * gt + 1e-3 * np.arange(levels)) if levels > 1 else vt - step * gt
+        nt = np.maximum.accumulate(vt - step * gt + pull * np.arange(levels))
         nm = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         vw, vt = nw + (momentum - 1) / nm * (nw - w), nt + (momentum - 1) / nm * (nt - theta)
         w, theta, momentum = nw, nt, nm

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ferrule.llm import chat_format, language_id, lm_score, packing, toxicity
+from ferrule.llm import chat_format, kernels, language_id, lm_score, packing, toxicity
 from ferrule.llm.queries import QUERIES, tokenizer_file
 from tests.conftest import SF
 
@@ -239,3 +239,119 @@ def test_hash_is_that_of_the_bytes_alone():
     for s, e, h in zip(starts, ends, whole, strict=True):
         assert seen.setdefault(data[s:e].tobytes(), h) == h
     assert len(set(seen.values())) == len(seen)
+
+
+# -- the models against plain arithmetic
+
+
+def plain_bits(text):
+    """The kernel's features of one text, character by character."""
+    units = [ord(c) if c.isalpha() else 32 for c in text.lower()]
+    out = set()
+    for i in range(len(units)):
+        h = 0
+        for n, factor in enumerate((2654435761, 2246822519, 3266489917)):
+            if i + n < len(units):
+                h = (h + units[i + n]) * factor % 2**32
+                h ^= h >> 15
+                out.add((h * 2246822507 % 2**32) >> 20)
+    return out
+
+
+def test_presence_by_plain_loops():
+    texts = ["", "a", "Ab c", "ÄÖ 12 日本", "the cat" * 50, "x😀y"]
+    bits, lettered = language_id.presence(texts)
+    assert [set(np.flatnonzero(row)) for row in bits] == [plain_bits(t) for t in texts]
+    assert lettered.tolist() == [any(c.isalpha() for c in t) for t in texts]
+
+
+def test_ridge_by_direct_solution():
+    """Scores are those of the weighted least squares on kernels of sets, solved for the landmarks' coefficients without a basis."""
+    rng = np.random.default_rng(3)
+    vocabulary = {"en": "the cat sat on mats with dogs and birds", "de": "der hund und die katze sind nicht hier", "fr": "le chat et les chiens sont dans la maison"}
+    rows = [(" ".join(rng.permutation(v.split())[: rng.integers(2, 6)]) + " " + "".join(rng.choice(list("abcxyz"), 5)), k) for k, v in vocabulary.items() for _ in range(14)]
+    texts, langs = [t for t, _ in rows], [k for _, k in rows]
+    model = language_id.fit_bits(language_id.presence(texts)[0], langs, landmarks=4, ridge=1e-2)
+    names = sorted(vocabulary)
+    sets = [plain_bits(t) for t in texts]
+    kernel = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    marks = [[s for s, k in zip(sets, langs, strict=True) if k == name][:4] for name in names]
+    marks = [s for each in marks for s in each]
+    k_nm, k_mm = np.array([[kernel(a, b) for b in marks] for a in sets]), np.array([[kernel(a, b) for b in marks] for a in marks])
+    weight = np.array([len(rows) / langs.count(k) / len(names) for k in langs])
+    y = np.array([[1.0 if k == name else -1.0 for name in names] for k in langs])
+    x = np.hstack([k_nm, np.ones((len(rows), 1))])
+    penalty = np.zeros((len(marks) + 1,) * 2)
+    penalty[:-1, :-1] = 1e-2 * len(rows) * k_mm
+    solved = np.linalg.solve(x.T @ (weight[:, None] * x) + penalty, x.T @ (weight[:, None] * y))
+    new = ["the dogs sat", "katze und hund", "la maison est", "zzz"]
+    got = model.scores(language_id.presence(new)[0])
+    raw = np.array([[kernel(plain_bits(t), m) for m in marks] + [1.0] for t in new]) @ solved
+    want = np.exp(6 * raw) / np.exp(6 * raw).sum(1, keepdims=True)
+    assert np.abs(got - want).max() < 1e-4
+
+
+def test_language_of_repeated_rows_and_ties(spark):
+    fit = language_id.fit(spark.createDataFrame([(1, "aaa", "x"), (2, "aaa", "b")] * 4, "doc_id long, text string, lang string"))
+    docs = spark.createDataFrame([(1, "aaa", "t")] * 3 + [(1, "bbb", "t")], "doc_id long, text string, lang_pred string")
+    got = language_id.predict(docs, fit).collect()
+    assert [r.lang_pred for r in got] == ["b"] * 4 and len({r.score for r in got[:3]}) == 1  # of equal scores the first language
+
+
+def plain_features(text):
+    found = set()
+    for word in re.findall("[0-9a-z\\x80-\U0010ffff]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        h = lambda k: int(kernels.span_hashes(raw, np.array([0]), np.array([k]))[0])
+        found.add(h(len(raw)) >> 42)
+        found |= {(h(k) * (2 * k + 1) % 2**64) >> 42 for k in (4, 5, 6) if len(raw) > k}
+    return found
+
+
+def test_toxic_features_by_plain_loops():
+    texts = ["", "Calm, kind words!", "x" * 90 + " éé12 longerword", None]
+    found, bounds, sizes = toxicity.features(pa.array(texts))
+    assert [set(found[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [plain_features(t or "") for t in texts]
+    assert sizes.tolist() == [0, 3, 3, 0]
+
+
+def test_ordinal_fit_by_dense_likelihood():
+    """At the fit the dense likelihood, differentiated numerically, meets the conditions of the constrained optimum (without the pull on thresholds)."""
+    rng = np.random.default_rng(5)
+    n, m, l1 = 160, 6, 1e-2
+    x = rng.random((n, m)) < 0.4
+    grade = np.digitize(x @ np.array([2.0, 1.5, 0.8, 0, 0, 0]) + rng.logistic(size=n), [1.5, 3.0])
+    rows, cols = np.nonzero(x)
+    w, theta = toxicity._cumulative_fit(rows, cols, n, m, grade, 2, l1, rounds=4000, pull=0.0)
+    weight = np.where(grade > 0, np.sqrt((grade == 0).sum() / (grade > 0).sum()), 1.0)
+
+    def loss(w, theta):
+        above = np.hstack([np.ones((n, 1)), 1 / (1 + np.exp(theta - (x @ w)[:, None])), np.zeros((n, 1))])
+        own = above[np.arange(n), grade] - above[np.arange(n), grade + 1]
+        return -(weight * np.log(own)).sum() / n
+
+    step = lambda f, v: np.array([(f(v + e) - f(v - e)) / 2e-5 for e in 1e-5 * np.eye(len(v))])
+    scale = 1 / np.sqrt(x.mean(0) + 1e-3)
+    slope = scale * step(lambda v: loss(v, theta), w)
+    assert np.abs(slope[w > 0] + l1).max() < 1e-5 and (slope[w == 0] > -l1 - 1e-6).all()
+    assert np.abs(step(lambda t: loss(w, t), theta)).max() < 1e-5
+    assert theta[0] < theta[1] and (w[:2] > 0.3).all()
+    drawn = toxicity._cumulative_fit(rows, cols, n, m, grade, 2, l1, rounds=4000)[1]
+    assert drawn[1] - drawn[0] > theta[1] - theta[0]
+
+
+def test_severity_by_plain_loops(spark):
+    rng = np.random.default_rng(8)
+    words = [f"word{i}" for i in range(12)] + ["Vile", "slur"]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 9))) for _ in range(30)] + [None, "", "!!"]
+    names = np.unique([f for t in texts for f in plain_features(t or "")])[::2]
+    model = toxicity.Model(names.astype(np.int64), rng.random(len(names)), np.array([0.4, 1.7]))
+    weights = dict(zip(names.tolist(), model.weights, strict=True))
+    rows = spark.createDataFrame([(i, t, 1.0, True) for i, t in enumerate(texts)] + [(3, texts[3], 1.0, True)], "doc_id long, text string, severity double, toxic boolean")
+    got = sorted(toxicity.score(rows, model).collect(), key=lambda r: r.doc_id)
+    assert [r.doc_id for r in got] == sorted([*range(len(texts)), 3])
+    for r in got:
+        z = sum(weights.get(f, 0.0) for f in plain_features(texts[r.doc_id] or ""))
+        above = [1 / (1 + math.exp(t - z)) for t in model.thresholds]
+        each = [1 - above[0], above[0] - above[1], above[1]]
+        assert abs(r.severity - (each[1] + 2 * each[2])) < 1e-9 and r.grade == each.index(max(each)) and r.toxic == (above[0] >= 0.5)
