@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import pytest
 
-from ferrule.plans import fuller, retrieval
+from ferrule.plans import fuller, retrieval, streams
 from tests.conftest import SF
 
-QUERIES, ORACLE_SQL = {**fuller.QUERIES, **retrieval.QUERIES}, {**fuller.ORACLE_SQL, **retrieval.ORACLE_SQL}
+QUERIES, ORACLE_SQL = {**fuller.QUERIES, **retrieval.QUERIES, **streams.QUERIES}, {**fuller.ORACLE_SQL, **retrieval.ORACLE_SQL, **streams.ORACLE_SQL}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
