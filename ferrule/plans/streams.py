@@ -13,7 +13,7 @@ from ferrule.streaming import machines
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern may name a single file, a path only a folder
 
 
 def _drained(out: DataFrame) -> DataFrame:

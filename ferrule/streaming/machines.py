@@ -30,11 +30,12 @@ class Machine(StatefulProcessor):
         self.state = handle.getValueState("state", "at long, event_id long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        last = 0
+        first = None
         for part in rows:
             self.waiting.appendList([(int(a), int(e), bool(m)) for a, e, m in zip(part["at"], part["event_id"], part["mark"], strict=True)])
-            last = max(last, int(part["at"].max()))
-        self.handle.registerTimer(last // 1000 + 1)
+            first = int(part["at"].min()) if first is None else min(first, int(part["at"].min()))
+        if first is not None:
+            self.handle.registerTimer(first // 1000)
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -43,6 +44,7 @@ class Machine(StatefulProcessor):
         rest = [r for r in rows if r[0] >= passed]
         if rest:
             self.waiting.put(rest)
+            self.handle.registerTimer(rest[0][0] // 1000)  # the watermark isn't there yet
         else:
             self.waiting.clear()
         state, out = tuple(self.state.get()) if self.state.exists() else None, []
@@ -89,8 +91,8 @@ class Timers(Machine):
 def ordered(events: DataFrame, mark: Column, machine: Machine) -> DataFrame:
     """user_id, event_id, micros from a stream of events (user_id, event_id, ts)."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = events.withWatermark("ts", LATE).select("user_id", "event_id", "ts", at.alias("at"), mark.alias("mark")).where("user_id is not null and event_id is not null and at is not null and mark is not null")
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE)
+    rows = timed.select("user_id", "event_id", "ts", F.unix_micros("ts").alias("at"), mark.alias("mark")).where("user_id is not null and event_id is not null and at is not null and mark is not null")
     return rows.groupBy("user_id").transformWithStateInPandas(statefulProcessor=machine, outputStructType=OUT, outputMode="Append", timeMode="eventTime")
 
 
