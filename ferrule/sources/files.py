@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -20,3 +20,30 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Job rows for files below a folder: path, length, job_id (8 hex digits). Contents aren't read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
     return found.select("path", "length", F.left(F.md5("path"), F.lit(8)).alias("job_id"))
+
+
+#: Extensions of files that are taken in.
+TAKEN = ["pdf", "docx", "txt", "html", "htm", "md"]
+
+
+def list_documents(spark: SparkSession, path: str) -> DataFrame:
+    """`list_files` for the extensions in TAKEN, whatever their case."""
+    return list_files(spark, path, "*.{" + ",".join(f"{e},{e.upper()}" for e in TAKEN) + "}")
+
+
+def read_checked(spark: SparkSession, path: str, schema: str, corrupt: str = "corrupt") -> DataFrame:
+    """JSON lines; a line that isn't what the schema says has nulls and itself in `corrupt`."""
+    return spark.read.schema(f"{schema}, {corrupt} string").option("columnNameOfCorruptRecord", corrupt).json(path)
+
+
+def write_reported(df: DataFrame, path: str, drops: dict[str, str]) -> DataFrame:
+    """Writes the rows of df that no rule drops, as JSON lines, and returns the report: reason and rows (read, written, and each rule's).
+
+    A row is counted under the first rule (SQL, by reason) that drops it. The counts come with the write itself; nothing is read twice.
+    """
+    reason = F.coalesce(*[F.when(F.coalesce(F.expr(rule), F.lit(False)), name) for name, rule in drops.items()], F.lit("written"))
+    told = Observation()
+    marked = df.withColumn("_reason", reason)
+    counts = [F.count_if(F.col("_reason") == name).alias(name) for name in (*drops, "written")]
+    marked.observe(told, F.count(F.lit(1)).alias("read"), *counts).where("_reason = 'written'").drop("_reason").write.mode("overwrite").json(path)
+    return df.sparkSession.createDataFrame([(name, int(n)) for name, n in told.get.items()], "reason string, rows long")
