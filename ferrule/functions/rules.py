@@ -1,6 +1,6 @@
 """Scoring and decision rules as SQL expressions over named columns: `F.expr(spark(RULE))` in Spark, `duck(RULE)` in DuckDB.
 
-The notation is SQL; LEN is an array's size, JOINED its elements as one text, HAS a regular-expression match, @G replaces every match, @1 is the first group. Days and clocks are columns, never read from the machine.
+The notation is SQL; LEN is an array's size, JOINED its elements as one text, HAS a regular-expression match, AGE a date's days before August 2001, @G replaces every match, @1 is the first group. Days and clocks are columns, never read from the machine.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ def _doubles(rule: str) -> str:
 
 
 def spark(rule: str) -> str:
-    return _doubles(rule).replace("\\", "\\\\").replace("LEN(", "size(").replace("JOINED(", "array_join(").replace("HAS(", "regexp_like(").replace("@G", "").replace("@1", "$1").replace("@2", "$2")
+    return _doubles(rule).replace("\\", "\\\\").replace("LEN(", "size(").replace("JOINED(", "array_join(").replace("HAS(", "regexp_like(").replace("AGE(", "datediff(DATE'2001-08-01', ").replace("@G", "").replace("@1", "$1").replace("@2", "$2")
 
 
 def duck(rule: str) -> str:
-    return _doubles(rule).replace("LEN(", "len(").replace("JOINED(", "array_to_string(").replace("HAS(", "regexp_matches(").replace("@G", ", 'g'").replace("@1", "\\1").replace("@2", "\\2")
+    return _doubles(rule).replace("LEN(", "len(").replace("JOINED(", "array_to_string(").replace("HAS(", "regexp_matches(").replace("AGE(", "-date_diff('day', DATE '2001-08-01', ").replace("@G", ", 'g'").replace("@1", "\\1").replace("@2", "\\2")
 
 
 def column(rule: str) -> Column:

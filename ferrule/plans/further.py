@@ -28,9 +28,9 @@ def _(t):
     return named.join(F.broadcast(formats), "ext", "left").select("page_id", "kind", "needs_ocr")  # ten rows
 
 
-scalar("src14_status", "documents", "doc_id", {"status": "CASE WHEN doc_id % 7 = 0 THEN 'archived' WHEN doc_id % 5 = 0 THEN 'deleted' ELSE 'active' END"})
-scalar("fil06_as_on", "documents", "doc_id", {"first_year": "CASE WHEN doc_id % 4 > 0 THEN 1990 + doc_id % 40 END", "last_year": "CASE WHEN doc_id % 3 > 0 THEN 2000 + doc_id % 40 END", "asked": "CASE WHEN doc_id % 5 > 0 THEN 2012 END"}, {"valid": "asked IS NULL OR ((first_year IS NULL OR first_year <= asked) AND (last_year IS NULL OR last_year > asked))"})
-scalar("fil08_dated_kinds", "documents", "doc_id", RANKED | {"year": "CASE WHEN doc_id % 6 > 0 THEN 1990 + doc_id % 40 END"}, {"valid": "CASE WHEN kind IN ('case_law', 'user') THEN coalesce(year <= 2012, false) ELSE coalesce(year <= 2012, true) END"})
+scalar("src14_status", "orders", "o_orderkey", {"status": "CASE WHEN o_orderstatus = 'F' AND year(o_orderdate) < 1998 THEN 'archived' WHEN o_orderstatus = 'P' THEN 'deleted' ELSE 'active' END"})
+scalar("fil06_as_on", "orders", "o_orderkey", {"first_year": "CASE WHEN o_orderpriority <> '1-URGENT' THEN year(o_orderdate) END", "last_year": "CASE WHEN o_orderstatus <> 'O' THEN year(o_orderdate) + 2 END", "asked": "CASE WHEN o_totalprice > 50000.0 THEN 1998 END"}, {"valid": "asked IS NULL OR ((first_year IS NULL OR first_year <= asked) AND (last_year IS NULL OR last_year > asked))"})
+scalar("fil08_dated_kinds", "documents", "doc_id", RANKED | {"year": "CASE WHEN HAS(coalesce(text, ''), '[0-9]{4}') THEN CAST(regexp_extract(text, '([0-9]{4})', 1) AS INT) END"}, {"valid": "CASE WHEN kind IN ('case_law', 'user') THEN coalesce(year <= 2012, false) ELSE coalesce(year <= 2012, true) END"})
 
 # -- texts
 
@@ -66,8 +66,8 @@ scalar("str20_title", "documents", "doc_id", {"t": "trim(coalesce(text, ''))"},
 scalar("str24_redact", "documents", "doc_id", {"k": "CASE doc_id % 4 WHEN 0 THEN 'password' WHEN 1 THEN 'api_token' WHEN 2 THEN 'note' ELSE 'secret_key' END", "v": "coalesce(text, '')"}, {"shown": "CASE WHEN HAS(k, 'password|token|secret|key') THEN '[REDACTED]' WHEN length(v) > 1000 THEN concat(substring(v, 1, 1000), '...[TRUNCATED]') ELSE v END"})
 scalar("ext08_keywords", "documents", "doc_id", {"t": BODY}, {"cases": "JOINED(regexp_extract_all(t, '[A-Z][a-z]+ vs?[.] [A-Z][a-z]+', 0), '; ')", "statutes": "JOINED(regexp_extract_all(t, '(?:Section|Article) [0-9]+', 0), '; ')", "courts": "JOINED(regexp_extract_all(lower(t), '(?:supreme|high|the) court', 0), '; ')"})
 scalar("ext01_analysis", "documents", "doc_id", {"t": f"lower(concat({BODY}, CASE WHEN doc_id % 3 = 0 THEN ' theft under bail' ELSE ' murder' END))"}, {"terms": "concat(CASE WHEN contains(t, 'bail') THEN 'bail ' ELSE '' END, CASE WHEN contains(t, 'constitution') THEN 'constitution ' ELSE '' END)", "offences": "concat(CASE WHEN contains(t, 'theft') THEN 'theft ' ELSE '' END, CASE WHEN contains(t, 'murder') THEN 'murder ' ELSE '' END)", "sections": "JOINED(regexp_extract_all(t, 'section ([0-9]+)', 1), ' ')", "mentions": "LEN(regexp_extract_all(t, '[(][0-9]{4}[)]', 0))"})
-scalar("ver06_citation_form", "documents", "doc_id", RANKED, {"shown": "CASE WHEN kind = 'case_law' THEN concat('Ram v. Lal (', 1950 + doc_id % 70, ')') WHEN kind = 'statute' THEN concat('Section ', coalesce(CAST(section AS VARCHAR(20)), '?'), ', IPC') ELSE concat('Document ', doc_id) END"})
-scalar("dat06_cutoff", "documents", "doc_id", {"age": "doc_id * 7 % 900"}, {"kept_30": "age <= 30", "kept_365": "age <= 365"})
+scalar("ver06_citation_form", "documents", "doc_id", RANKED, {"shown": "CASE WHEN kind = 'case_law' THEN concat(substring(coalesce(text, ''), 1, 30), ' (', n_chars, ')') WHEN kind = 'statute' THEN concat('Section ', coalesce(CAST(section AS VARCHAR(20)), '?'), ', IPC') ELSE concat('Document ', doc_id) END"})
+scalar("dat06_cutoff", "orders", "o_orderkey", {"age": "AGE(CAST(o_orderdate AS DATE))"}, {"kept_30": "age <= 30", "kept_365": "age <= 365"})
 
 
 @query("dat08_durations", "SELECT user_id, date_diff('second', min(date_trunc('second', ts)), max(date_trunc('second', ts))) // 60 AS minutes, round(date_diff('second', min(date_trunc('second', ts)), max(date_trunc('second', ts))) / 3600.0::DOUBLE, 6) AS hours, round(date_diff('day', min(ts::DATE), max(ts::DATE)) / 365.0::DOUBLE, 6) AS years FROM events GROUP BY user_id")
@@ -81,11 +81,16 @@ def _(t):
 
 
 def _legs(t) -> tuple[DataFrame, DataFrame]:
-    d = t("documents")
-    return d.where("doc_id % 3 = 0").selectExpr("doc_id", "doc_id % 101 / 101D as score"), d.where("doc_id % 4 = 0").selectExpr("doc_id", "doc_id % 97 / 97D as score")
+    """Two legs' scores: how close a vector is to the first one, and the share of a text's words that are its commonest."""
+    v = t("embeddings")
+    first = v.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    near = v.join(F.broadcast(first)).select(F.col("vec_id").alias("doc_id"), search.cosine(F.col("embedding"), F.col("q")).alias("score")).where("score > 0.1")
+    words = t("documents").select("doc_id", (F.regexp_count(F.lower("text"), F.lit("the")) * 3.0 / F.greatest(F.length("text"), F.lit(1))).alias("score"))
+    return near, words.where("score > 0")
 
 
-_LEGS = "(SELECT doc_id, doc_id % 101 / 101.0::DOUBLE AS score FROM documents WHERE doc_id % 3 = 0) v FULL JOIN (SELECT doc_id, doc_id % 97 / 97.0::DOUBLE AS score FROM documents WHERE doc_id % 4 = 0) k ON v.doc_id = k.doc_id"
+_LEGS = """(SELECT e.vec_id AS doc_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) > 0.1) v
+    FULL JOIN (SELECT doc_id, len(regexp_extract_all(lower(text), 'the')) * 3.0::DOUBLE / greatest(length(text), 1) AS score FROM documents WHERE contains(lower(text), 'the')) k ON v.doc_id = k.doc_id"""
 
 
 @query("joi05_candidates", f"SELECT coalesce(v.doc_id, k.doc_id) AS doc_id, round(coalesce(v.score, 0), 6) AS vec, round(coalesce(k.score, 0), 6) AS kw FROM {_LEGS}")
@@ -186,8 +191,8 @@ def _(t): return _expansions(t).select("doc_id", F.array_join("s", " | ").alias(
 def _(t): return _expansions(t).select("doc_id", F.trim(F.concat_ws(" ", "q", F.array_join("s", " "))).alias("expanded"))
 
 
-@query("rnk14_sections", "SELECT doc_id, CAST(doc_id % 511 AS VARCHAR) AS section, 1.0::DOUBLE AS score, true AS fallback_match FROM documents WHERE CAST(doc_id % 511 AS VARCHAR) IN ('12', '302', '420')")
-def _(t): return t("documents").select("doc_id", (F.col("doc_id") % 511).cast("string").alias("section"), F.lit(1.0).alias("score"), F.lit(True).alias("fallback_match")).where(F.col("section").isin("12", "302", "420"))
+@query("rnk14_sections", "SELECT doc_id, section, 1.0::DOUBLE AS score, true AS fallback_match FROM (SELECT doc_id, regexp_extract(text, '([0-9]{2,3})', 1) AS section FROM documents) WHERE section IN ('12', '13', '20', '23', '55', '555', '127', '743', '212', '302')")
+def _(t): return t("documents").select("doc_id", F.regexp_extract("text", "([0-9]{2,3})", 1).alias("section"), F.lit(1.0).alias("score"), F.lit(True).alias("fallback_match")).where(F.col("section").isin("12", "13", "20", "23", "55", "555", "127", "743", "212", "302"))
 
 
 @query("rnk17_resolver", "WITH h AS (SELECT conv_id, turn, (contains(lower(text), 'the')::INT + contains(lower(text), 'de')::INT + contains(lower(text), 'an')::INT)::BIGINT AS hits, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY hits DESC NULLS LAST, turn) AS k FROM h) SELECT conv_id, turn, hits FROM n WHERE (k <= 2 AND hits > 0) OR turn = last")
@@ -208,8 +213,8 @@ def _(t):
 # -- reports and orders
 
 
-@query("agg34_citations", "SELECT source, count(*) AS n, round(count(*) FILTER (doc_id % 3 = 0) / count(*), 6) AS verified_rate, round(avg(doc_id % 10 / 10.0::DOUBLE), 6) AS relevance FROM documents GROUP BY source")
-def _(t): return t("documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), r(F.count_if(F.expr("doc_id % 3 = 0")) / F.count(F.lit(1))).alias("verified_rate"), r(F.avg(F.expr("doc_id % 10 / 10D"))).alias("relevance"))
+@query("agg34_citations", "SELECT flag AS kind, count(*) AS n, round(count(*) FILTER (verified) / count(*), 6) AS verified_rate, round(avg(relevance), 6) AS relevance FROM (SELECT l_returnflag AS flag, l_linestatus = 'F' AS verified, l_discount * 10 AS relevance FROM lineitem) GROUP BY 1")
+def _(t): return t("lineitem").groupBy(F.col("l_returnflag").alias("kind")).agg(F.count(F.lit(1)).alias("n"), r(F.count_if(F.col("l_linestatus") == "F") / F.count(F.lit(1))).alias("verified_rate"), r(F.avg(F.col("l_discount") * 10)).alias("relevance"))
 
 
 @query("agg36_by_owner", "SELECT doc_id % 9 AS owner, count(*) AS n, count(*) FILTER (lang = 'en') AS english, count(*) FILTER (n_chars > 1000) AS long FROM documents GROUP BY 1")
@@ -222,8 +227,8 @@ def _(t):
     return hits.agg(F.count_if(F.contains("b", F.lit("the"))).alias("total"))
 
 
-@query("top06_stable_ties", "SELECT doc_id, doc_id % 10 AS score FROM documents ORDER BY score DESC, doc_id LIMIT 25")
-def _(t): return t("documents").selectExpr("doc_id", "doc_id % 10 as score").orderBy(F.desc("score"), "doc_id").limit(25)
+@query("top06_stable_ties", "SELECT event_id, floor(value / 10)::BIGINT AS score FROM events ORDER BY score DESC NULLS LAST, event_id LIMIT 25")
+def _(t): return t("events").select("event_id", F.floor(F.col("value") / 10).alias("score")).orderBy(F.desc_nulls_last("score"), "event_id").limit(25)
 
 
 _DATES = "'([0-9]{2}/[0-9]{2}/[0-9]{4})'"
@@ -451,8 +456,10 @@ def _(t):
 def _(t): return t("documents").agg(r(F.greatest(F.lit(2000.0), F.least(F.lit(8000.0), F.avg("n_chars") / 10)), 4).alias("size"))
 
 
-@query("src12_deleted", f"SELECT count(*) FILTER ({_SQL_DOC} < DATE '2010-06-01') AS deleted, count(*) FILTER ({_SQL_DOC} >= DATE '2010-06-01') AS kept FROM documents")
-def _(t): return t("documents").agg(*[F.count_if(F.expr(f"{_SPARK_DOC} {sign} date'2010-06-01'")).alias(n) for n, sign in (("deleted", "<"), ("kept", ">="))])
+@query("src12_deleted", "WITH c AS (SELECT max(ts) - INTERVAL 10 DAY AS day FROM events) SELECT count(*) FILTER (ts < day) AS deleted, count(*) FILTER (ts >= day) AS kept FROM events, c")
+def _(t):
+    last = t("events").agg((F.max("ts") - F.expr("interval 10 days")).alias("day"))
+    return t("events").join(F.broadcast(last)).agg(F.count_if(F.col("ts") < F.col("day")).alias("deleted"), F.count_if(F.col("ts") >= F.col("day")).alias("kept"))
 
 
 @query("stm07_alerts", "WITH g AS (SELECT *, count(*) FILTER (value <= 20) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events), s AS (SELECT *, min(ts) FILTER (value > 20) OVER (PARTITION BY user_id, run) AS since FROM g) SELECT user_id, event_id, epoch_us(ts) - epoch_us(since) AS micros FROM s WHERE value > 20 AND epoch_us(ts) - epoch_us(since) >= 7200000000")

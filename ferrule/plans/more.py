@@ -9,11 +9,20 @@ from ferrule.functions import rules as R
 from ferrule.operators import percentiles, search, tables
 from ferrule.plans.queries import _SPARK_DOC, _SQL_DOC, ORACLE_SQL, QUERIES, query, r  # noqa: F401  what is registered here joins the others
 
-KIND = "CASE doc_id % 4 WHEN 0 THEN 'statute' WHEN 1 THEN 'case_law' WHEN 2 THEN 'regulation' ELSE 'user' END"
+KIND = "CASE lang WHEN 'en' THEN 'statute' WHEN 'fr' THEN 'case_law' WHEN 'de' THEN 'regulation' ELSE 'user' END"
 #: documents' texts with references, which the fixtures lack, after them
 BODY = "concat(coalesce(text, ''), ' Under Section ', doc_id % 511, ' IPC and Article ', doc_id % 395, ' of the Constitution, as held in Ram Lal vs. State, (', 1950 + doc_id % 70, ') ', doc_id % 9 + 1, ' SCC ', doc_id % 900 + 1, ' and AIR ', 1950 + doc_id % 70, ' SC ', doc_id % 700 + 1, ', [Doc', doc_id % 5 + 1, '] and [', doc_id % 7, ']. The court shall, as on 1', doc_id % 9, '/0', doc_id % 8 + 1, '/20', doc_id % 10 + 10, ', decide \"that it may be so\" always.')"
 #: what a ranking has of each candidate
-RANKED = {"body": BODY, "kind": KIND, "score": "(doc_id * 37 % 1000) / 1000.0", "section": "CASE WHEN doc_id % 3 = 0 THEN doc_id % 511 END", "part": "CASE doc_id % 5 WHEN 0 THEN 'definition' WHEN 1 THEN 'ratio' WHEN 2 THEN 'procedure' ELSE 'other' END", "importance": "(doc_id * 13 % 100) / 100.0", "age": "doc_id * 7 % 9000", "bench": "doc_id % 8", "unit": "CASE WHEN doc_id % 2 = 0 THEN 'Section' ELSE 'Proviso' END"}
+RANKED = {
+    "body": BODY,
+    "kind": KIND,
+    "score": "LEN(regexp_extract_all(coalesce(text, ''), '[aeiou]', 0)) * 1.0 / greatest(length(coalesce(text, '')), 1)",
+    "section": "CASE WHEN HAS(coalesce(text, ''), '[0-9]') THEN regexp_extract(text, '([0-9]+)', 1) END",
+    "part": "CASE source WHEN 'src1' THEN 'definition' WHEN 'src2' THEN 'ratio' WHEN 'src3' THEN 'procedure' ELSE 'other' END",
+    "importance": "least(1.0, n_chars / 4000.0)",
+    "bench": "LEN(regexp_extract_all(coalesce(text, ''), '\\n', 0)) + 1",
+    "unit": "CASE WHEN contains(coalesce(text, ''), ';') OR n_chars > 1000 THEN 'Section' ELSE 'Proviso' END",
+}
 
 
 def double(rule: str, digits: int = 6) -> str:
@@ -38,16 +47,16 @@ def scalar(name: str, table: str, keys: str, *layers: dict[str, str]) -> None:
 
 # -- ranking rules
 
-scalar("rnk21_authority", "documents", "doc_id", RANKED | {"kind": "CASE WHEN doc_id % 2 = 0 THEN 'statute' ELSE 'case' END"}, {"authority": double(R.AUTHORITY)})
-scalar("rnk20_recency_by_kind", "documents", "doc_id", {"kind": "CASE WHEN doc_id % 2 = 0 THEN 'statute' ELSE 'case' END", "day": "CASE WHEN doc_id % 5 > 0 THEN doc_id END", "age": "doc_id * 7 % 9000 - 100"}, {"recency": double(R.RECENCY)})
+scalar("rnk21_authority", "documents", "doc_id", RANKED | {"kind": "CASE WHEN lang = 'en' THEN 'statute' ELSE 'case' END"}, {"authority": double(R.AUTHORITY)})
+scalar("rnk20_recency_by_kind", "orders", "o_orderkey", {"kind": "CASE o_orderstatus WHEN 'O' THEN 'statute' WHEN 'F' THEN 'case' ELSE 'other' END", "day": "CASE WHEN o_orderpriority <> '1-URGENT' THEN o_orderdate END", "age": "AGE(CAST(o_orderdate AS DATE))"}, {"recency": double(R.RECENCY)})
 scalar("rnk27_legal_boost", "documents", "doc_id", RANKED, {"boosted": double(R.legal_boost(["Section 12", "ipc", "constitution", "court", "Article 7"], ["AIR 1977 SC", "ram lal vs. state"]))})
 scalar("rnk28_keyword_boost", "documents", "doc_id", RANKED, {"boosted": double(R.keyword_boost([("ram lal vs. state", 0.3), ("Section 12", 0.25), ("court", 0.2), ("shall", 0.1)]))})
 scalar("rnk29_simple_boost", "documents", "doc_id", RANKED, {"boosted": double(R.keyword_boost([("section 12", 0.2), ("court", 0.15)]))}, {"kept": "length(body) >= 50 AND boosted >= 0.3", "final": "boosted"})
 scalar("rnk30_relevance", "documents", "doc_id", RANKED, {"relevance": double(R.CHUNK_RELEVANCE)}, {"final": "relevance", "kept": "relevance >= 0.7"})
-scalar("rnk31_intent", "documents", "doc_id", RANKED | {"question": "CASE doc_id % 6 WHEN 0 THEN 'what is theft' WHEN 1 THEN 'how to file' WHEN 2 THEN 'the ruling' WHEN 3 THEN 'which section' WHEN 4 THEN 'penalty for it' ELSE 'hello' END"}, {"intent": R.INTENT}, {"why": "intent", "boost": double(R.INTENT_BOOST)})
-scalar("rnk33_citation_rank", "documents", "doc_id", RANKED | {"verified": "doc_id % 3 = 0", "reference": "CASE WHEN doc_id % 2 = 0 THEN 'AIR 1977 SC 4' END"}, {"rank_score": double(R.CITATION_RANK)})
+scalar("rnk31_intent", "documents", "doc_id", RANKED | {"question": "concat(CASE source WHEN 'src1' THEN 'what is ' WHEN 'src2' THEN 'how to ' WHEN 'src3' THEN 'the ruling on ' WHEN 'src4' THEN 'which section of ' WHEN 'src5' THEN 'penalty for ' ELSE '' END, lower(substring(coalesce(text, ''), 1, 80)))"}, {"intent": R.INTENT}, {"why": "intent", "boost": double(R.INTENT_BOOST)})
+scalar("rnk33_citation_rank", "documents", "doc_id", RANKED | {"verified": "HAS(coalesce(text, ''), '[.]\\s*$')", "reference": "regexp_extract(coalesce(text, ''), '([0-9.]{4,})', 1)"}, {"rank_score": double(R.CITATION_RANK)})
 scalar("fil13_floor_by_kind", "documents", "doc_id", RANKED | {"least_score": "0.7"}, {"floor": double(R.FLOOR_BY_KIND)}, {"passes": "score >= floor"})
-scalar("rnk35_memory", "documents", "doc_id", {"overlap": "(doc_id % 10) / 10.0", "importance": "(doc_id % 7) / 7.0", "hours": "doc_id % 200"}, {"relevance": double(R.MEMORY)}, {"final": "relevance", "kept": "importance >= 0.3 AND relevance > 0.5"})
+scalar("rnk35_memory", "events", "event_id", {"overlap": "least(1.0, value / 40.0)", "importance": "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) / 100.0", "hours": "hour(ts) + 24 * (30 - day(ts))"}, {"relevance": double(R.MEMORY)}, {"final": "relevance", "kept": "importance >= 0.3 AND relevance > 0.5"})
 
 # -- quality, importance, questions, claims
 
@@ -59,17 +68,17 @@ scalar("qlt02_skip", "documents", "doc_id", *QUALITY, {"quality": R.QUALITY}, {"
 scalar("qlt03_keep_score", "documents", "doc_id", *QUALITY, {"keep_score": double(R.KEEP_SCORE)})
 scalar("qlt04_importance", "documents", "doc_id", *QUALITY, {"importance": double(R.IMPORTANCE)})
 scalar("qlt05_ingestible", "documents", "doc_id", *QUALITY, {"reason": "CASE WHEN length(t) < 100 THEN 'short' WHEN length(t) > 1000000 THEN 'long' WHEN keywords < 3 THEN 'few keywords' END"})
-_ASKED = {"question": "CASE doc_id % 7 WHEN 0 THEN 'compare theft and robbery' WHEN 1 THEN 'what is the procedure' WHEN 2 THEN 'how is it' WHEN 3 THEN 'punishment for theft' WHEN 4 THEN 'x y' WHEN 5 THEN 'the sentence given for a long and old offence of theft in any of the courts in the land by any person whatever' ELSE 'one two three four' END"}, {"words": "LEN(regexp_extract_all(question, '\\S+', 0))", "offences": R.count_of("question", ["theft", "robbery", "murder"]), "terms": R.count_of("question", ["punishment", "sentence", "procedure"]), "guesses": "CASE WHEN contains(question, 'theft') THEN 1 ELSE 0 END"}
-scalar("ext02_question_type", "documents", "doc_id", *_ASKED, {"type": R.QUESTION_TYPE})
-scalar("ext03_clarify", "documents", "doc_id", *_ASKED, {"type": R.QUESTION_TYPE}, {"ask": R.CLARIFY, "refuse": R.REFUSE})
-scalar("rul01_complexity", "documents", "doc_id", *_ASKED, {"complexity": R.COMPLEXITY})
-_CLAIM = {f: f"CASE WHEN doc_id % {k} = 0 THEN 1 ELSE 0 END" for f, k in (("absolute", 2), ("uncited_number", 3), ("recent", 5), ("complex", 7), ("definitive", 11))}
-scalar("ver04_claim_risk", "documents", "doc_id", _CLAIM, {"risk": double(R.CLAIM_RISK), "unsupported": "(doc_id % 10) / 20.0"}, {"claim_risk": "risk", "level": R.RISK_LEVEL, "confidence": double("greatest(0.1, 1.0 - unsupported)")})
+_ASKED = {"question": "concat(CASE role WHEN 'user' THEN CASE WHEN turn = 0 THEN 'compare theft and robbery in ' WHEN turn = 2 THEN 'what is the procedure of ' ELSE 'punishment for theft, ' END ELSE '' END, lower(coalesce(text, '')))"}, {"words": "LEN(regexp_extract_all(question, '\\S+', 0))", "offences": R.count_of("question", ["theft", "robbery", "murder"]), "terms": R.count_of("question", ["punishment", "sentence", "procedure"]), "guesses": "CASE WHEN contains(question, 'theft') THEN 1 ELSE 0 END"}
+scalar("ext02_question_type", "conversations", "conv_id turn", *_ASKED, {"type": R.QUESTION_TYPE})
+scalar("ext03_clarify", "conversations", "conv_id turn", *_ASKED, {"type": R.QUESTION_TYPE}, {"ask": R.CLARIFY, "refuse": R.REFUSE})
+scalar("rul01_complexity", "conversations", "conv_id turn", *_ASKED, {"complexity": R.COMPLEXITY})
+_CLAIM = {"s": "lower(coalesce(text, ''))"}, {f: f"CASE WHEN {e} THEN 1 ELSE 0 END" for f, e in (("absolute", "HAS(s, '\\bthe\\b')"), ("uncited_number", "HAS(s, '[0-9]')"), ("recent", "HAS(s, '\\bthis\\b')"), ("complex", "n_chars > 1500"), ("definitive", "HAS(s, 'is')"))}
+scalar("ver04_claim_risk", "documents", "doc_id", *_CLAIM, {"risk": double(R.CLAIM_RISK), "unsupported": "least(0.6, n_chars / 5000.0)"}, {"claim_risk": "risk", "level": R.RISK_LEVEL, "confidence": double("greatest(0.1, 1.0 - unsupported)")})
 scalar("ver05_citation_faults", "documents", "doc_id", {"kind": "CASE WHEN doc_id % 2 = 0 THEN 'case_law' ELSE 'statute' END", "reference": "CASE doc_id % 5 WHEN 0 THEN 'Ram v. Lal, (1977) 2 SCC 3' WHEN 1 THEN 'Untitled document' WHEN 2 THEN '' WHEN 3 THEN 'Ram and Lal, 1977' ELSE 'Ram v Lal' END"}, {"fault": R.CITATION_FAULTS})
 scalar("ver07_supported", "documents", "doc_id", {"t": BODY}, {"supported": "contains(t, '[Doc')"})
-scalar("mth01_clamp", "documents", "doc_id", {"x": "(doc_id % 40 - 10) / 20.0"}, {"clamped": double("greatest(0.05, least(0.95, x))")})
+scalar("mth01_clamp", "events", "event_id", {"x": "value / 40.0 - 0.1"}, {"clamped": double("greatest(0.05, least(0.95, x))")})
 scalar("mth04_tokens", "documents", "doc_id", {"t": "coalesce(text, '')"}, {"by_words": f"CAST(floor({_WORDS} * 1.3) AS BIGINT)"})
-scalar("mth06_confidence", "documents", "doc_id", {"a": "(doc_id % 10) / 10.0", "b": "(doc_id % 7) / 7.0", "c": "(doc_id % 3) / 3.0"}, {"product": double("a * (0.5 + 0.5 * b) * (0.8 + 0.2 * c)"), "weighted": double("0.4 * a + 0.3 * b + 0.3 * c")})
+scalar("mth06_confidence", "lineitem", "l_orderkey l_linenumber", {"a": "l_quantity / 50.0", "b": "l_discount * 10", "c": "l_tax * 12.5"}, {"product": double("a * (0.5 + 0.5 * b) * (0.8 + 0.2 * c)"), "weighted": double("0.4 * a + 0.3 * b + 0.3 * c")})
 
 # -- texts, extraction
 
@@ -83,7 +92,7 @@ scalar("str21_validators", "documents", "doc_id", {"t": "CASE doc_id % 4 WHEN 0
 scalar("str23_devanagari", "documents", "doc_id", {"t": "CASE WHEN doc_id % 5 = 0 THEN concat('धारा एक दो तीन ', doc_id) ELSE coalesce(text, '') END"}, {"lang_by_script": R.DEVANAGARI})
 scalar("str18_quote_match", "documents", "doc_id", {"t": f"regexp_replace(lower({BODY}), '\\s+', ' '@G)"}, {"quoted": "contains(t, 'that it may be so')"})
 scalar("str17_topic", "documents", "doc_id", {"t": "regexp_replace(trim(coalesce(text, '')), '\\s+', ' '@G)"}, {"topic": "regexp_extract(t, '^((?:[^ ]+ ?){0,14})', 1)"})
-scalar("fil21_canonical_id", "documents", "doc_id", {"section": "CASE WHEN doc_id % 3 > 0 THEN doc_id % 511 END"}, {"canonical": "concat(CAST(doc_id AS VARCHAR(20)), ':Sec:', coalesce(CAST(section AS VARCHAR(20)), 'None'))"})
+scalar("fil21_canonical_id", "documents", "doc_id", {"section": "CASE WHEN HAS(coalesce(text, ''), '[0-9]') THEN regexp_extract(text, '([0-9]+)', 1) END"}, {"canonical": "concat(CAST(doc_id AS VARCHAR(20)), ':Sec:', coalesce(CAST(section AS VARCHAR(20)), 'None'))"})
 scalar("ext05_citations", "documents", "doc_id", {"t": BODY}, {"scc": "JOINED(regexp_extract_all(t, '[(][0-9]{4}[)] [0-9]+ SCC [0-9]+', 0), '; ')", "n_air": "LEN(regexp_extract_all(t, 'AIR [0-9]{4} SC [0-9]+', 0))", "sections": "JOINED(regexp_extract_all(t, 'Section ([0-9]+)', 1), '; ')"})
 scalar("ext06_statute_ids", "documents", "doc_id", {"t": BODY}, {"ipc": "CASE WHEN HAS(t, 'Section [0-9]+ IPC') THEN concat('IPC:Sec:', regexp_extract(t, 'Section ([0-9]+) IPC', 1)) END", "constitution": "CASE WHEN HAS(t, 'Article [0-9]+') THEN concat('COI:Art:', regexp_extract(t, 'Article ([0-9]+)', 1)) END"})
 scalar("ext07_case_names", "documents", "doc_id", {"t": f"replace({BODY}, ' vs. ', ' v. ')"}, {"case_name": "regexp_extract(t, '([A-Z][a-z]+(?: [A-Z][a-z]+)* v[.] [A-Z][a-z]+)', 1)"})
@@ -91,7 +100,7 @@ scalar("ext11_jurisdiction", "documents", "doc_id", {"t": f"lower({BODY})"}, {"j
 scalar("ext12_structure", "documents", "doc_id", {"t": f"lower({BODY})"}, {"shalls": "LEN(regexp_extract_all(t, '\\bshall\\b', 0))", "held": "LEN(regexp_extract_all(t, '\\bheld\\b', 0))", "courts": "LEN(regexp_extract_all(t, '\\bcourt\\b', 0))"})
 scalar("ext13_markers", "documents", "doc_id", {"t": BODY}, {"docs": "JOINED(regexp_extract_all(t, '\\[Doc([0-9]+)\\]', 1), ' ')", "numbers": "JOINED(regexp_extract_all(t, '\\[([0-9]+)\\]', 1), ' ')"})
 scalar("ext15_topics", "documents", "doc_id", {"t": f"lower({BODY})"}, {"criminal": R.any_of("t", ["ipc", "crime", "bail"]), "constitutional": R.any_of("t", ["constitution", "article"]), "follow_up": R.any_of("t", ["what about", "also", "as above"])})
-scalar("dat02_build_date", "documents", "doc_id", {"y": "doc_id % 120", "m": "doc_id % 12 + 1", "d": "doc_id % 31 + 1"}, {"year": "CASE WHEN y < 70 THEN y + 2000 WHEN y < 100 THEN y + 1900 ELSE y + 1900 END"}, {"day_text": "CASE WHEN d <= 28 OR (d <= 30 AND m <> 2) OR m IN (1, 3, 5, 7, 8, 10, 12) THEN concat(year, '-', m, '-', d) WHEN d = 29 AND m = 2 AND (year % 4 = 0 AND (year % 100 <> 0 OR year % 400 = 0)) THEN concat(year, '-', m, '-', d) ELSE concat(year, '-', m, '-28') END"})
+scalar("dat02_build_date", "lineitem", "l_orderkey l_linenumber", {"y": "year(l_shipdate) % 100 + CASE WHEN l_returnflag = 'R' THEN 100 ELSE 0 END", "m": "month(l_shipdate)", "d": "day(l_shipdate) + l_linenumber % 4"}, {"year": "CASE WHEN y < 70 THEN y + 2000 WHEN y < 100 THEN y + 1900 ELSE y + 1900 END"}, {"day_text": "CASE WHEN d <= 28 OR (d <= 30 AND m <> 2) OR m IN (1, 3, 5, 7, 8, 10, 12) THEN concat(year, '-', m, '-', d) WHEN d = 29 AND m = 2 AND (year % 4 = 0 AND (year % 100 <> 0 OR year % 400 = 0)) THEN concat(year, '-', m, '-', d) ELSE concat(year, '-', m, '-28') END"})
 scalar("dat03_as_on", "documents", "doc_id", {"t": BODY}, {"as_on": "regexp_extract(t, '(?:as on|as of|on|in|during|before|after) ([0-9]{1,2}/[0-9]{1,2}/[0-9]{4})', 1)"})
 scalar("dat05_iso", "documents", "doc_id", {"t": BODY}, {"found": "regexp_extract(t, '([0-9]{2}/[0-9]{2}/[0-9]{4})', 1)"}, {"iso": "concat(substring(found, 7, 4), '-', substring(found, 4, 2), '-', substring(found, 1, 2))"})
 scalar("chk15_post", "documents", "doc_id", {"t": "trim(coalesce(text, ''))"}, {"words": _WORDS, "letters": "length(regexp_replace(t, '[^A-Za-z0-9_]', ''@G))"}, {"kept": "length(t) >= 30 AND letters >= 20", "n_words": "words"})

@@ -14,7 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 Tables = Callable[[str], DataFrame]
 
-DAY = "2010-06-01"
+DAY, LAST = "1998-06-01", "2010-06-01"
 _SPARK_DOC = "date_add(date'2000-01-01', cast(doc_id % 8000 as int))"
 _SQL_DOC = "DATE '2000-01-01' + CAST(doc_id % 8000 AS INTEGER)"
 
@@ -33,13 +33,15 @@ def r(c: Column | str, n: int = 6) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, n)
 
 
-def dated(d: DataFrame) -> DataFrame:
-    """documents with the dates that the fixtures lack: start, end (null for a third), kind."""
-    start = F.expr(_SPARK_DOC)
-    return d.withColumns({"start": start, "end_": F.when(F.col("doc_id") % 3 != 0, F.date_add(start, 700)), "kind": F.when(F.col("doc_id") % 2 == 0, "statute").otherwise("judgment")})
+def dated(t: Tables) -> DataFrame:
+    """Orders as dated documents: from the order's day to the last shipment (open orders have no end); finished ones are judgments, the others statutes."""
+    last = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.to_date(F.max("l_shipdate")).alias("till"))
+    kind, end = F.when(F.col("o_orderstatus") == "F", "judgment").otherwise("statute"), F.when(F.col("o_orderstatus") != "O", F.col("till"))
+    return t("orders").join(last, "o_orderkey", "left").select(F.col("o_orderkey").alias("doc_id"), F.to_date("o_orderdate").alias("start"), end.alias("end_"), kind.alias("kind"))
 
 
-_DATED = f"(SELECT *, {_SQL_DOC} AS start, CASE WHEN doc_id % 3 <> 0 THEN {_SQL_DOC} + 700 END AS end_, CASE WHEN doc_id % 2 = 0 THEN 'statute' ELSE 'judgment' END AS kind FROM documents)"
+_DATED = """(SELECT o_orderkey AS doc_id, CAST(o_orderdate AS DATE) AS start, CASE WHEN o_orderstatus <> 'O' THEN till END AS end_, CASE WHEN o_orderstatus = 'F' THEN 'judgment' ELSE 'statute' END AS kind
+    FROM orders LEFT JOIN (SELECT l_orderkey, CAST(max(l_shipdate) AS DATE) AS till FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey)"""
 
 
 def _day() -> Column:
@@ -92,19 +94,19 @@ def _(t):
 
 
 @query("fil02_valid_on", f"SELECT doc_id FROM {_DATED} WHERE (start IS NULL OR start <= DATE '{DAY}') AND (end_ IS NULL OR end_ > DATE '{DAY}')")
-def _(t): return dated(t("documents")).where(temporal.valid_on(F.col("start"), F.col("end_"), _day())).select("doc_id")
+def _(t): return dated(t).where(temporal.valid_on(F.col("start"), F.col("end_"), _day())).select("doc_id")
 
 
 @query("fil03_decided_known", f"SELECT doc_id FROM {_DATED} WHERE end_ IS NOT NULL AND end_ <= DATE '{DAY}'")
-def _(t): return dated(t("documents")).where(temporal.decided_by(F.col("end_"), _day(), False)).select("doc_id")
+def _(t): return dated(t).where(temporal.decided_by(F.col("end_"), _day(), False)).select("doc_id")
 
 
 @query("fil04_decided_or_unknown", f"SELECT doc_id FROM {_DATED} WHERE end_ IS NULL OR end_ <= DATE '{DAY}'")
-def _(t): return dated(t("documents")).where(temporal.decided_by(F.col("end_"), _day(), True)).select("doc_id")
+def _(t): return dated(t).where(temporal.decided_by(F.col("end_"), _day(), True)).select("doc_id")
 
 
 @query("fil07_typed_validity", f"SELECT doc_id, CASE kind WHEN 'statute' THEN start <= DATE '{DAY}' AND (end_ IS NULL OR end_ > DATE '{DAY}') ELSE start <= DATE '{DAY}' END AS ok FROM {_DATED}")
-def _(t): return dated(t("documents")).select("doc_id", temporal.typed_validity(F.col("kind"), F.col("start"), F.col("end_"), F.col("start"), _day()).alias("ok"))
+def _(t): return dated(t).select("doc_id", temporal.typed_validity(F.col("kind"), F.col("start"), F.col("end_"), F.col("start"), _day()).alias("ok"))
 
 
 @query("fil09_prefix", "SELECT p_partkey FROM part WHERE p_name ILIKE 'S%'")
@@ -363,7 +365,7 @@ def _(t): return _bm25(t).select("doc_id", r("score").alias("score"), "matched")
 @query("rnk18_hybrid", f"""WITH v AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) DESC, vec_id) AS rank FROM embeddings, {_Q0} QUALIFY rank <= 50),
     k AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM {_BM25} QUALIFY rank <= 50),
     f AS (SELECT coalesce(v.doc_id, k.doc_id) AS doc_id, 1.0::DOUBLE / (60 + coalesce(v.rank, 1000000)) + 1.0::DOUBLE / (60 + coalesce(k.rank, 1000000)) AS rrf FROM v FULL JOIN k ON v.doc_id = k.doc_id),
-    d AS (SELECT f.doc_id, rrf, source, text FROM f JOIN documents USING (doc_id) WHERE {_SQL_DOC.replace("doc_id", "f.doc_id")} <= DATE '{DAY}'),
+    d AS (SELECT f.doc_id, rrf, source, text FROM f JOIN documents USING (doc_id) WHERE {_SQL_DOC.replace("doc_id", "f.doc_id")} <= DATE '{LAST}'),
     c AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rrf DESC, doc_id) AS nth FROM d)
     SELECT doc_id, source, round(rrf, 8) AS rrf, substring(text, 1, 100) AS snippet FROM c WHERE nth <= 3 ORDER BY c.rrf DESC, doc_id LIMIT 10""")
 def flagship(t: Tables) -> DataFrame:
@@ -372,7 +374,7 @@ def flagship(t: Tables) -> DataFrame:
     top = _bm25(t).withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "doc_id").limit(50)
     k = search.ranked(top, "score", "doc_id", "rank").select("doc_id", "rank")
     fused = search.fuse_ranks(v, k, "doc_id").select("doc_id", "rrf")
-    docs = dated(t("documents")).where(temporal.decided_by(F.col("start"), _day(), False)).select("doc_id", "source", F.substring("text", 1, 100).alias("snippet"))
+    docs = t("documents").where(temporal.decided_by(F.expr(_SPARK_DOC), F.lit(LAST).cast("date"), False)).select("doc_id", "source", F.substring("text", 1, 100).alias("snippet"))
     capped = search.cap_per_group(docs.join(F.broadcast(fused), "doc_id"), "source", "rrf", "doc_id", 3)
     return capped.orderBy(F.desc("rrf"), "doc_id").limit(10).select("doc_id", "source", r("rrf", 8).alias("rrf"), "snippet")
 
@@ -410,12 +412,12 @@ def _(t):
     return t("documents").select("doc_id", temporal.query_date(q).alias("d"))
 
 
-@query("dat04_code", f"SELECT doc_id, CASE WHEN {_SQL_DOC} >= DATE '2010-01-01' THEN 'new' ELSE 'old' END AS code FROM documents")
-def _(t): return t("documents").select("doc_id", temporal.applicable_code(F.expr(_SPARK_DOC), "2010-01-01").alias("code"))
+@query("dat04_code", "SELECT o_orderkey, CASE WHEN CAST(o_orderdate AS DATE) >= DATE '1998-07-01' THEN 'new' ELSE 'old' END AS code FROM orders")
+def _(t): return t("orders").select("o_orderkey", temporal.applicable_code(F.to_date("o_orderdate"), "1998-07-01").alias("code"))
 
 
-@query("rnk20_recency", f"SELECT doc_id, round(1 / (1 + date_diff('day', {_SQL_DOC}, DATE '2025-01-01') / 365.0), 6) AS recency FROM documents")
-def _(t): return t("documents").select("doc_id", r(temporal.recency(F.expr(_SPARK_DOC), F.lit("2025-01-01").cast("date"))).alias("recency"))
+@query("rnk20_recency", "SELECT o_orderkey, round(1 / (1 + date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-08-01') / 365.0), 6) AS recency FROM orders")
+def _(t): return t("orders").select("o_orderkey", r(temporal.recency(F.to_date("o_orderdate"), F.lit("2001-08-01").cast("date"))).alias("recency"))
 
 
 @query("mth02_half_even", "SELECT l_orderkey, l_linenumber, round_even(l_quantity / 4, 0) AS q FROM lineitem")
