@@ -371,39 +371,50 @@ def _(t):
 
 # -- fusion
 
-_LEGS = f"(SELECT doc_id, ((doc_id * 37 % 1000) / 1000.0::DOUBLE) AS vec, ((doc_id * 91 % 1000) / 1000.0::DOUBLE) AS kw, {_SQL_DOC} AS day FROM documents)"
+_FLAGS = {
+    "apex": "source = 'src0'",
+    "topics": "CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'ion') THEN 1 ELSE 0 END",
+    "bridged": "HAS(text, '[0-9]')",
+    "resolver": "CASE source WHEN 'src1' THEN 'party' WHEN 'src2' THEN 'party_or' WHEN 'src3' THEN 'fallback' END",
+    "kw": "round(LEN(regexp_extract_all(lower(text), '(the|and|que)', 0)) * 3.0 / greatest(length(text), 1), 9)",
+}
+_LEGS = f"""(SELECT doc_id, source, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9) AS vec, CAST(o_orderdate AS DATE) AS day, {", ".join(f"{R.duck(e)} AS {n}" for n, e in _FLAGS.items())}
+    FROM documents JOIN embeddings e ON e.vec_id = doc_id JOIN embeddings q ON q.vec_id = 7 LEFT JOIN orders ON o_orderkey = doc_id)"""
 
 
 def _legs(t) -> DataFrame:
-    return t("documents").select("doc_id", F.expr("(doc_id * 37 % 1000) / 1000D").alias("vec"), F.expr("(doc_id * 91 % 1000) / 1000D").alias("kw"), F.expr(_SPARK_DOC).alias("day"))
+    """Documents with an embedding: how close it is to the seventh, how common their words are, the day of the order with their id, and what their texts and sources tell."""
+    q = t("embeddings").where("vec_id = 7").select(F.col("embedding").alias("q"))
+    near = t("embeddings").join(F.broadcast(q)).select(F.col("vec_id").alias("doc_id"), r(search.cosine(F.col("embedding"), F.col("q")), 9).alias("vec"))
+    days = t("orders").select(F.col("o_orderkey").alias("doc_id"), F.to_date("o_orderdate").alias("day"))
+    return t("documents").join(near, "doc_id").join(days, "doc_id", "left").select("doc_id", "source", "vec", "day", *[R.column(e).alias(n) for n, e in _FLAGS.items()])
 
 
 _VEC = f"(SELECT * FROM {_LEGS} ORDER BY vec DESC, doc_id LIMIT 60)"
 _KW = f"(SELECT * FROM {_LEGS} ORDER BY kw DESC, doc_id LIMIT 60)"
 
 
-@query("rnk19_statute_fusion", f"""WITH v AS {_VEC}, k AS {_KW}, m AS (SELECT coalesce(v.doc_id, k.doc_id) AS doc_id, coalesce(v.vec, 0) / (SELECT max(vec) FROM v) AS vec_norm, coalesce(k.kw, 0) / (SELECT max(kw) FROM k) AS kw_norm, date_diff('day', coalesce(v.day, k.day), DATE '2025-01-01') AS age FROM v FULL JOIN k ON v.doc_id = k.doc_id),
-    s AS (SELECT *, 'statute' AS kind, 1 AS day, CASE WHEN doc_id % 2 = 0 THEN 1.1::DOUBLE ELSE 1.0 END AS authority, doc_id % 10 = 0 AS section_guessed, doc_id % 15 = 0 AS id_guessed FROM m), w AS (SELECT *, {R.duck(R.RECENCY)} AS recency FROM s)
+@query("rnk19_statute_fusion", f"""WITH v AS {_VEC}, k AS {_KW}, m AS (SELECT coalesce(v.doc_id, k.doc_id) AS doc_id, coalesce(v.vec, 0) / (SELECT max(vec) FROM v) AS vec_norm, coalesce(k.kw, 0) / (SELECT max(kw) FROM k) AS kw_norm, date_diff('day', coalesce(v.day, k.day), DATE '2005-01-01') AS age, coalesce(v.topics, k.topics) AS topics, coalesce(v.bridged, k.bridged) AS bridged, coalesce(v.apex, k.apex) AS apex FROM v FULL JOIN k ON v.doc_id = k.doc_id),
+    s AS (SELECT *, 'statute' AS kind, 1 AS day, CASE WHEN topics > 1 THEN 1.1::DOUBLE ELSE 1.0 END AS authority, bridged AS section_guessed, apex AS id_guessed FROM m), w AS (SELECT *, {R.duck(R.RECENCY)} AS recency FROM s)
     SELECT doc_id, round({R.duck(R.STATUTE_SCORE)}, 6) AS score FROM w""")
 def _(t):
     both = search.candidates(_legs(t), "doc_id", "vec", "kw", 60)
-    made = both.withColumns({"kind": F.lit("statute"), "age": F.datediff(F.lit("2025-01-01").cast("date"), "day"), "authority": F.when(F.col("doc_id") % 2 == 0, 1.1).otherwise(1.0), "section_guessed": F.col("doc_id") % 10 == 0, "id_guessed": F.col("doc_id") % 15 == 0})
+    made = both.withColumns({"kind": F.lit("statute"), "age": F.datediff(F.lit("2005-01-01").cast("date"), "day"), "authority": F.when(F.col("topics") > 1, 1.1).otherwise(1.0), "section_guessed": F.col("bridged"), "id_guessed": F.col("apex")}).withColumn("day", F.lit(1))
     return made.withColumn("recency", R.column(R.RECENCY)).select("doc_id", r(R.column(R.STATUTE_SCORE)).alias("score"))
 
 
 @query("rnk18_case_fusion", f"""WITH v AS (SELECT *, row_number() OVER (ORDER BY vec DESC, doc_id) AS r FROM {_VEC}), k AS (SELECT *, row_number() OVER (ORDER BY kw DESC, doc_id) AS r FROM {_KW}),
-    m AS (SELECT coalesce(v.doc_id, k.doc_id) AS doc_id, 1.0::DOUBLE / (60 + coalesce(v.r, 1000000)) + 1.0::DOUBLE / (60 + coalesce(k.r, 1000000)) AS rrf, coalesce(v.vec, 0) / (SELECT max(vec) FROM v) AS vec_norm, 2025 - year(coalesce(v.day, k.day)) AS years FROM v FULL JOIN k ON v.doc_id = k.doc_id),
-    s AS (SELECT *, doc_id % 3 = 0 AS apex, doc_id % 4 AS topics, doc_id % 6 = 0 AS bridged, CASE doc_id % 5 WHEN 0 THEN 'party' WHEN 1 THEN 'party_or' WHEN 2 THEN 'fallback' END AS resolver FROM m)
-    SELECT doc_id, round({R.duck(R.CASE_SCORE)}, 6) AS score FROM s""")
+    m AS (SELECT coalesce(v.doc_id, k.doc_id) AS doc_id, 1.0::DOUBLE / (60 + coalesce(v.r, 1000000)) + 1.0::DOUBLE / (60 + coalesce(k.r, 1000000)) AS rrf, coalesce(v.vec, 0) / (SELECT max(vec) FROM v) AS vec_norm, 2005 - year(coalesce(v.day, k.day)) AS years, coalesce(v.topics, k.topics) AS topics, coalesce(v.bridged, k.bridged) AS bridged, coalesce(v.apex, k.apex) AS apex, coalesce(v.resolver, k.resolver) AS resolver FROM v FULL JOIN k ON v.doc_id = k.doc_id)
+    SELECT doc_id, round({R.duck(R.CASE_SCORE)}, 6) AS score FROM m""")
 def _(t):
     both = search.candidates(_legs(t), "doc_id", "vec", "kw", 60)
-    made = both.withColumns({"years": 2025 - F.year("day"), "apex": F.col("doc_id") % 3 == 0, "topics": F.col("doc_id") % 4, "bridged": F.col("doc_id") % 6 == 0, "resolver": F.expr("case doc_id % 5 when 0 then 'party' when 1 then 'party_or' when 2 then 'fallback' end")})
+    made = both.withColumn("years", 2005 - F.year("day"))
     return made.select("doc_id", r(R.column(R.CASE_SCORE)).alias("score"))
 
 
-@query("rnk22_diverse_top", f"WITH c AS (SELECT doc_id, source, (doc_id * 37 % 1000) / 1000.0::DOUBLE AS score, doc_id % 9 = 0 AS exempt FROM documents ORDER BY score DESC, doc_id LIMIT 200), n AS (SELECT *, NOT exempt AND row_number() OVER (PARTITION BY source, exempt ORDER BY score DESC, doc_id) > 1 AS again FROM c) SELECT doc_id FROM n ORDER BY round(0.7 * score - CASE WHEN again THEN 0.3 ELSE 0 END, 9) DESC, score DESC, doc_id LIMIT 20")
+@query("rnk22_diverse_top", f"WITH c AS (SELECT doc_id, source, vec AS score, bridged AS exempt FROM {_LEGS} ORDER BY score DESC, doc_id LIMIT 200), n AS (SELECT *, NOT exempt AND row_number() OVER (PARTITION BY source, exempt ORDER BY score DESC, doc_id) > 1 AS again FROM c) SELECT doc_id FROM n ORDER BY round(0.7 * score - CASE WHEN again THEN 0.3 ELSE 0 END, 9) DESC, score DESC, doc_id LIMIT 20")
 def _(t):
-    some = t("documents").select("doc_id", "source", F.expr("(doc_id * 37 % 1000) / 1000D").alias("score"), (F.col("doc_id") % 9 == 0).alias("exempt")).orderBy(F.desc("score"), "doc_id").limit(200)
+    some = _legs(t).select("doc_id", "source", F.col("vec").alias("score"), F.col("bridged").alias("exempt")).orderBy(F.desc("score"), "doc_id").limit(200)
     return search.diverse_top(some, "source", "score", "doc_id", "exempt", 20).select("doc_id")
 
 
