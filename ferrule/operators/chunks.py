@@ -70,18 +70,26 @@ def _size(text: str) -> int:
     return len(text) // 4
 
 
-def _runs(pieces: list[str], fits: Callable[[list[str]], bool], keep: Callable[[list[str]], list[str]] = lambda run: []) -> list[list[str]]:
-    """Pieces in runs: a run ends before the piece with which it wouldn't fit, and the next one opens with what `keep` takes from its end."""
+def _runs(pieces: list[str], weigh: Callable[[str], int], joint: int, most: int, keep: Callable[[list[str]], list[str]] | None = None) -> list[list[str]]:
+    """Pieces in runs: a run ends before the piece with which it would weigh more than `most`, joints between pieces included, and the next one opens with what `keep` takes from its end."""
     made: list[list[str]] = []
-    run: list[str] = []
+    run, size = [], -joint
     for piece in pieces:
-        if run and not fits([*run, piece]):
+        own = joint + weigh(piece)
+        if run and size + own > most:
             made.append(run)
-            run = keep(run)
-        run = [*run, piece]
+            run = list(keep(run)) if keep else []
+            size = sum(joint + weigh(p) for p in run) - joint
+        run.append(piece)
+        size += own
     return [*made, run] if run else made
 
 
+def _room(tokens: int) -> int:
+    """The most characters that are estimated as so many tokens."""
+    return 4 * tokens + 3
+
+
 def _sentences(text: str) -> list[str]:
     return [s for s in re.split(r"(?<=[.!?])\s+", text) if s.strip()]
 
@@ -106,7 +114,7 @@ def paragraph_windows(docs: DataFrame, key: str, text: str, target: int = 500, l
 
         def add_long(paragraph: str) -> None:
             pieces = [s[i : i + 4 * most] for s in _sentences(paragraph) for i in range(0, len(s), 4 * most)]
-            for run in _runs(pieces, lambda r: _size("\n\n".join(r)) <= most):
+            for run in _runs(pieces, len, 2, _room(most)):
                 add("\n\n".join(run))
 
         paragraphs = [p for p in map(str.strip, re.split(r"\n\s*\n", document)) if len(p) >= 20]
@@ -134,12 +142,72 @@ def paragraph_windows(docs: DataFrame, key: str, text: str, target: int = 500, l
 
 def case_paragraphs(docs: DataFrame, key: str, text: str, most: int = 1000) -> DataFrame:
     """Paragraphs between blank lines, packed while they have `most` estimated tokens; a longer paragraph is a chunk of its own."""
-    return _cut(docs, key, text, lambda d: ["\n\n".join(r) for r in _runs([p for p in map(str.strip, d.split("\n\n")) if p], lambda r: _size("\n\n".join(r)) <= most)])
+    return _cut(docs, key, text, lambda d: ["\n\n".join(r) for r in _runs([p for p in map(str.strip, d.split("\n\n")) if p], len, 2, _room(most))])
 
 
 def overlapping_sentences(docs: DataFrame, key: str, text: str, most: int = 1000, again: int = 2) -> DataFrame:
     """Sentences packed while they have `most` estimated tokens; a chunk opens with the last `again` sentences of the one before."""
-    return _cut(docs, key, text, lambda d: [" ".join(r) for r in _runs(_sentences(d), lambda r: _size(" ".join(r)) <= most, lambda r: r[-again:])])
+    return _cut(docs, key, text, lambda d: [" ".join(r) for r in _runs(_sentences(d), len, 1, _room(most), lambda r: r[-again:])])
+
+
+#: What is taken out of a judgment before it is cut.
+NOISE = [r"(?i)SUPREME COURT REPORTS.*?\n", r"Page \d+ of \d+", r"\[.*?\]"]
+
+
+def judgment_chunks(docs: DataFrame, key: str, text: str, target: int = 800, hard: int = 1800, overlap: int = 75, again: int = 3, lines: bool = True) -> DataFrame:
+    """Paragraphs packed to `target` estimated tokens; a chunk opens with the last sentences of the one before, `again` sentences and `overlap` tokens at most.
+
+    A paragraph of more than `hard` tokens is cut by sentences, each run up to `hard`; a sentence longer than that is cut by words if it opens its run, else it stays whole. Without `lines` the
+    cleaning collapses line breaks too, so a judgment is one paragraph.
+    """
+
+    def by_sentence(paragraph: str) -> list[str]:
+        made: list[str] = []
+        run, size = [], 0
+        for sentence in re.split(r"(?<=[.!?])\s+", paragraph):
+            own = _size(sentence)
+            if size + own <= hard:
+                run.append(sentence)
+                size += own
+            elif run:
+                made.append(" ".join(run))
+                run, size = [sentence], own
+            else:
+                made += [" ".join(r) for r in _runs(sentence.split(), _size, 0, hard)]
+        return [*made, " ".join(run)] if run else made
+
+    def tail(chunk: str) -> list[str]:
+        kept: list[str] = []
+        for sentence in reversed(re.split(r"(?<=[.!?])\s+", chunk)[-again:]):
+            if sum(map(_size, kept)) + _size(sentence) > overlap:
+                break
+            kept.insert(0, sentence)
+        return [" ".join(kept)] if kept else []
+
+    def cut(document: str) -> list[str]:
+        for noise in NOISE:
+            document = re.sub(noise, "", document)
+        document = re.sub(r"(\w)-\s*\n\s*(\w)", r"\1\2", document)
+        document = re.sub(r"[^\S\n]+" if lines else r"\s+", " ", document).strip()
+        made: list[str] = []
+        held, size = "", 0
+        for paragraph in (p.strip() for p in re.split(r"\n\s*\n|\n\s*\(\d+\)\s*", document)):
+            own = _size(paragraph)
+            if not paragraph:
+                continue
+            if own > hard:
+                made += [*([held] if held else []), *by_sentence(paragraph)]
+                held, size = "", 0
+            elif size + own > target:
+                made += [held] if held else []
+                held = "\n\n".join([*(tail(held) if held else []), paragraph])
+                size = _size(held)
+            else:
+                held = f"{held}\n\n{paragraph}" if held else paragraph
+                size += own
+        return [c.strip() for c in ([*made, held] if held else made)]
+
+    return _cut(docs, key, text, cut)
 
 
 def statute_sections(docs: DataFrame, key: str, text: str, most: int = 800) -> DataFrame:
@@ -154,7 +222,7 @@ def statute_sections(docs: DataFrame, key: str, text: str, most: int = 800) -> D
             parts, between = re.split(r"\n\s*(?=(?:Illustration|Explanation|Proviso))", section), "\n\n"
             if len(parts) == 1:
                 parts, between = _sentences(section), " "
-            made += [between.join(r).strip() for r in _runs(parts, lambda r: sum(map(_size, r)) <= most)]
+            made += [between.join(r).strip() for r in _runs(parts, _size, 0, most)]
         return made
 
     return _cut(docs, key, text, cut)
@@ -166,7 +234,7 @@ MARKS = [r"\d+\.\s+", r"\([a-z]\)\s+", r"\([ivx]+\)\s+"]
 
 
 def judgment_sections(docs: DataFrame, key: str, text: str, most: int = 6000, overlap: int = 200) -> DataFrame:
-    """Texts of 50 characters or more parted at the first heading that occurs; sections over `most` characters are packed again from parts between marks, else from sentences.
+    """Texts of 50 characters or more parted at the first heading that occurs and gives a chunk; sections over `most` characters are packed again from parts between marks, else from sentences.
 
     Sections of 100 characters or fewer go, as do packed chunks of 50 or fewer. Parts are repeated by overlap / 10 words, sentences by `overlap` words.
     """
@@ -175,7 +243,7 @@ def judgment_sections(docs: DataFrame, key: str, text: str, most: int = 6000, ov
 
     def by_sentence(section: str) -> list[str]:
         pieces = [s for s in map(str.strip, re.split(r"[.!?]+\s+", section)) if s]
-        return long(" ".join(r) for r in _runs(pieces, lambda r: len(" ".join(r)) <= most + 1, last(overlap)))
+        return long(" ".join(r) for r in _runs(pieces, len, 1, most + 1, last(overlap)))
 
     def by_mark(section: str) -> list[str]:
         if len(section) <= most:
@@ -183,15 +251,17 @@ def judgment_sections(docs: DataFrame, key: str, text: str, most: int = 6000, ov
         mark = next((m for m in MARKS if re.search(m, section)), None)
         if mark is None:
             return by_sentence(section)
-        return long(" ".join(r) for r in _runs(re.split(f"(?={mark})", section), lambda r: len(" ".join(r)) <= most, last(overlap // 10)))
+        return long(" ".join(r) for r in _runs(re.split(f"(?={mark})", section), len, 1, most, last(overlap // 10)))
 
     def cut(document: str) -> list[str]:
         flat = re.sub(r"\s+", " ", document.strip())
         if len(flat) < 50:
             return []
-        heading = next((h for h in HEADINGS if re.search(h, flat, re.IGNORECASE)), None)
-        sections = [] if heading is None else [s for s in re.split(f"(?={heading})", flat, flags=re.IGNORECASE) if len(s) > 100]
-        return [c for s in sections for c in by_mark(s)] or by_sentence(flat)
+        for heading in HEADINGS:
+            sections = re.split(f"(?={heading})", flat, flags=re.IGNORECASE) if re.search(heading, flat, re.IGNORECASE) else []
+            if made := [c for s in sections if len(s) > 100 for c in by_mark(s)]:
+                return made
+        return by_sentence(flat)
 
     return _cut(docs, key, text, cut)
 
