@@ -56,18 +56,24 @@ def _unpack(data: bytes, size: int) -> bytes:
 
 def _rolling(data: np.ndarray) -> np.ndarray:
     """Hash of the K bytes from each position; a collision costs a comparison, never a wrong result."""
-    h, base, at = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93), int(_ODD), {}
+    h, base, eight = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93), int(_ODD), None
     for w in (1, 2, 4, 8):
+        eight = h  # of 8 bytes, in the last round
         h = h[:-w] * np.uint64(base) + h[w:]
         h ^= h >> np.uint64(31)
-        at[2 * w], base = h, (base * int(_ODD) + 2) % 2**64
-    h = h[: len(h) - 8] * np.uint64(base) + at[8][16:]
-    return mix(h)
-
-
-def _alone(h: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Hash of whole windows from those of their first, middle and last K bytes."""
-    return mix(sum(mix(h[at + d] + np.uint64(d)) for d in sorted({*range(0, length - K, K), length - K})))
+        base = (base * int(_ODD) + 2) % 2**64
+    return mix(h[: len(h) - 8] * np.uint64(base) + eight[16:])
+
+
+def _alone(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the windows at ascending places, from those of their first, middle and last K bytes, a slice of the bytes at a time."""
+    out = np.empty(len(at), np.uint64)
+    for x in range(0, len(data), SLICE):
+        a, b = np.searchsorted(at, (x, x + SLICE))
+        if a < b:
+            h = _rolling(data[x : x + SLICE + length])
+            out[a:b] = mix(sum(mix(h[at[a:b] - x + d] + np.uint64(d)) for d in sorted({*range(0, length - K, K), length - K})))
+    return out
 
 
 def _least(x: np.ndarray, w: int) -> np.ndarray:
@@ -150,11 +156,12 @@ class _Chunk:
         again, hot = np.flatnonzero(mark == 2), np.flatnonzero(mark == 3)
         windows = self.end[hot] - self.start[hot] - self.length + 1
         each = np.repeat(self.start[hot], windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        own = _alone(_rolling(self.data), each, self.length) if len(each) else np.zeros(0, np.uint64)
+        each.sort()
+        own = _alone(self.data, each, self.length)
         alone = ((own >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
         start = np.concatenate((self.start[again], each))
         size = np.concatenate(((self.end - self.start)[again], np.full(len(each), self.length)))
-        row = np.concatenate((self.row[again], np.repeat(self.row[hot], windows)))
+        row = np.concatenate((self.row[again], np.searchsorted(self.offsets, each, "right") - 1))
         bucket, single = np.concatenate((self.bucket[again], alone)), np.arange(len(start)) >= len(again)
         order = np.argsort(bucket, kind="stable")
         start, size, row, bucket, single = start[order], size[order], row[order], bucket[order], single[order]
@@ -469,12 +476,17 @@ def _marked(dealt: DataFrame, length: int, tasks: int) -> DataFrame:
 
 def _by_anchor(data: np.ndarray, size: np.ndarray, single: np.ndarray, length: int) -> Iterator[np.ndarray]:
     """Numbers of segments, about INDEX_BYTES at a time; those with one anchor stay together, and single windows with their copies."""
-    starts = np.cumsum(size) - size
-    h = _rolling(data)
-    low = np.uint64(2 * SLICE - 1)
-    inside = np.where(np.arange(len(h)) + K <= np.repeat(starts + size, size)[: len(h)], h & ~low, ~np.uint64(0))
-    group = np.minimum.reduceat(inside, starts)
-    group[single] = _alone(h, starts[single], length) | np.uint64(1)  # an anchor's last bit is 0
+    starts, low = np.cumsum(size) - size, np.uint64(2 * SLICE - 1)
+    group, at = np.empty(len(size), np.uint64), 0
+    while at < len(size):  # of about SLICE bytes at a time the least hash of each segment, as its windows have it
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + SLICE)))
+        a, b = int(starts[at]), int(starts[to - 1] + size[to - 1])
+        h = _rolling(data[a:b])
+        end = np.repeat(starts[at:to] + size[at:to] - a, size[at:to])[: len(h)]
+        inside = np.where(np.arange(len(h)) + K <= end, h & ~low, ~np.uint64(0))
+        group[at:to] = np.minimum.reduceat(inside, starts[at:to] - a)
+        at = to
+    group[single] = _alone(data, starts[single], length) | np.uint64(1)  # an anchor's last bit is 0
     order = np.argsort(group, kind="stable")
     ends, group = np.cumsum(size[order]), group[order]
     at = 0
