@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from ferrule.functions import temporal
 from ferrule.operators import patterns
 from ferrule.sources import files
 
@@ -52,3 +54,28 @@ def test_documents_by_extension(spark, tmp_path):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text("x")
     assert sorted(r.path.rsplit("/", 1)[1] for r in files.list_documents(spark, str(tmp_path)).collect()) == ["a.pdf", "b.TXT", "c.html"]
+
+
+@pytest.mark.parametrize(
+    "text, day, source",
+    [
+        ("as on 31/12/2019?", "2019-12-31", "explicit"),
+        ("on 5-3-69 or 1 May 2000", "2069-03-05", "explicit"),
+        ("on 5-3-70", "1970-03-05", "explicit"),
+        ("31/02/2020", "2020-02-28", "explicit"),
+        ("by 3 sept 2001", None, None),
+        ("by 3 Sep 2001", "2001-09-03", "explicit"),
+        ("30  FEBRUARY 1999", "1999-02-28", "explicit"),
+        ("in 1947", "1947-12-31", "inferred_year"),
+        ("BNS, 2023", "2024-07-01", "acts_inference"),
+        ("in 2023", "2023-12-31", "inferred_year"),
+        ("room 1066", "2025-01-01", "default"),
+        ("", "2025-01-01", "default"),
+        ("5/13/2020", None, "explicit"),
+    ],
+)
+def test_query_dates(spark, text, day, source):
+    got = spark.createDataFrame([(text,)], "q string").select(temporal.query_context(F.col("q"), F.lit("2025-01-01").cast("date")).alias("c")).first().c
+    if source is None:  # no such month name: the year alone
+        day, source = "2001-12-31", "inferred_year"
+    assert (got.day, got.source) == (day and dt.date.fromisoformat(day), source)
