@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,22 @@ def changes(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> Dat
     return a.join(b, key, "full_outer").select(key, action.alias("action")).where("action is not null")
 
 
+def changed_rows(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """`changes` with each row's columns before and after, as JSON (null where there is none)."""
+    a, b = old.select(key, F.struct(*columns).alias("before")), new.select(key, F.struct(*columns).alias("after"))
+    js = lambda c: F.when(F.col(c).isNotNull(), F.to_json(c))
+    both = a.join(b, key, "full_outer").join(changes(old, new, key, columns), key)
+    return both.select(key, "action", js("before").alias("before"), js("after").alias("after"))
+
+
+def overlay(*maps: Column) -> Column:
+    """One map of all; of a key in several the last map's value stays."""
+    def two(under: Column, over: Column) -> Column:
+        return F.map_concat(F.map_filter(under, lambda k, v: ~F.map_contains_key(over, k)), over)
+
+    return reduce(two, maps)
+
+
 def interval_join(points: DataFrame, spans: DataFrame, point: str, start: str, end: str, by: list[str]) -> DataFrame:
     """Points in half-open spans of dates, timestamps or whole numbers; a null start or end is open.
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import pytest
 
-from ferrule.plans import extras, fuller, retrieval, streams
+from ferrule.plans import completed, extras, fuller, retrieval, streams
 from tests.conftest import SF
 
-QUERIES, ORACLE_SQL = {**fuller.QUERIES, **retrieval.QUERIES, **streams.QUERIES, **extras.QUERIES}, {**fuller.ORACLE_SQL, **retrieval.ORACLE_SQL, **streams.ORACLE_SQL, **extras.ORACLE_SQL}
+QUERIES, ORACLE_SQL = {**fuller.QUERIES, **completed.QUERIES, **retrieval.QUERIES, **streams.QUERIES, **extras.QUERIES}, {**fuller.ORACLE_SQL, **completed.ORACLE_SQL, **retrieval.ORACLE_SQL, **streams.ORACLE_SQL, **extras.ORACLE_SQL}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
