@@ -58,10 +58,10 @@ def bm25(docs: DataFrame, query: list[str], key: str, text: str, k1: float = 1.2
 
     Texts are read and split once: what leaves a task is a row of numbers for each document, and both uses of these rows read the same exchange.
     """
-    words = docs.select(key, terms(F.col(text)).alias("w"))
-    times = lambda q: F.size(F.filter("w", lambda x: x == q))
+    words = docs.select(key, F.lower(F.col(text)).alias("t"))
+    times = lambda q: F.regexp_count("t", F.lit(f"(?<![a-z0-9]){q}(?![a-z0-9])"))  # noqa: E731  no array of words is made
     tf = [times(q).alias(f"tf{i}") for i, q in enumerate(query)]
-    counted = words.select(key, F.size("w").alias("len"), *tf).repartition(key)
+    counted = words.select(key, F.regexp_count("t", F.lit("[a-z0-9]+")).alias("len"), *tf).repartition(key)
     has = [F.col(f"tf{i}") > 0 for i in range(len(query))]
     corpus = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(h).alias(f"df{i}") for i, h in enumerate(has)])
     part = lambda i: F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
