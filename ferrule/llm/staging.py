@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Rows of a few numbers that may be broadcast (under 20 MB); more are joined by a shuffle.
 MAX_BROADCAST = 200_000
+_staged: dict[str, dict[str, None]] = {}  # by application, in the order of writing
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,14 +39,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     staged = df.sparkSession.read.schema(df.schema).parquet(path)
     staged.staged_at = path
+    _staged.setdefault(df.sparkSession.sparkContext.applicationId, {})[path] = None
     return staged
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def unstage(staged: DataFrame) -> None:
     """Delete what `stage` wrote; nothing may read it any more."""
-    jvm = staged.sparkSession.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(staged.staged_at)
-    path.getFileSystem(staged.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(staged.sparkSession, staged.staged_at)
+    _staged.get(staged.sparkSession.sparkContext.applicationId, {}).pop(staged.staged_at, None)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete all that this application has staged, and tell how many tables that was. Results that were not written elsewhere can't be read afterwards."""
+    paths = _staged.pop(spark.sparkContext.applicationId, {})
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from ferrule.llm import divergence, lexical, repeats
+from ferrule.llm import divergence, lexical, repeats, staging
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 LETTERS = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
@@ -223,3 +223,15 @@ def test_strips_of_many_sources(monkeypatch):
 def test_share_beyond_64_bits():
     n, size = np.array([0, 10**11, 7 * 10**12], np.int64), np.array([8 * 10**14, 10**12, 7 * 10**12 + 5], np.int64)
     assert divergence.share(n, size).tolist() == [1 + 10**9 * (int(a) + 5) // int(b) for a, b in zip(n, size, strict=True)]
+
+
+def test_staged_tables_are_swept(spark, tmp_path):
+    staging.sweep(spark)
+    rows = spark.createDataFrame([(i, "the same long passage of some words that stands in every text of this table, " + str(i)) for i in range(9)], "doc_id long, text string")
+    repeats.repeats(rows).write.parquet(str(tmp_path / "out"))
+    kept = staging.stage(rows, "kept")
+    staging.unstage(staging.stage(rows, "gone"))
+    assert staging.sweep(spark) == 4  # chunks, answers, repeats and kept
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FileNotFound"):
+        kept.count()
+    assert staging.sweep(spark) == 0 and spark.read.parquet(str(tmp_path / "out")).count() == 9
