@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -47,3 +47,24 @@ def write_reported(df: DataFrame, path: str, drops: dict[str, str]) -> DataFrame
     counts = [F.count_if(F.col("_reason") == name).alias(name) for name in (*drops, "written")]
     marked.observe(told, F.count(F.lit(1)).alias("read"), *counts).where("_reason = 'written'").drop("_reason").write.mode("overwrite").json(path)
     return df.sparkSession.createDataFrame([(name, int(n)) for name, n in told.get.items()], "reason string, rows long")
+
+
+def in_batches(df: DataFrame, by: str, order: list[str], size: int) -> DataFrame:
+    """df with batch: its number, from 0, among the batches of `size` rows into which each group falls in order. What is called once a batch then groups by (by, batch)."""
+    nth = F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
+    return df.withColumn("batch", F.floor(nth / size))
+
+
+def flush_points(points: DataFrame, path: str) -> DataFrame:
+    """Appends metric points (name, value, dimensions, ts) in one write, a folder a metric, and returns how many of each were written and their sum; a replay of the same day replaces it."""
+    dated = points.withColumn("day", F.to_date("ts"))
+    told = Observation()
+    spark = points.sparkSession
+    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        dated.observe(told, F.count(F.lit(1)).alias("n")).write.mode("overwrite").partitionBy("name", "day").parquet(path)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+    written = spark.read.parquet(path)
+    return written.groupBy("name").agg(F.count(F.lit(1)).alias("points"), F.round(F.sum("value"), 4).alias("total")).withColumn("flushed", F.lit(int(told.get["n"])))
