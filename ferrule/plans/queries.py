@@ -156,8 +156,8 @@ def _(t):
 def _(t): return t("customer").join(t("orders").where("o_totalprice > 200000"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey")
 
 
-@query("joi09_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-def _(t): return t("customer").join(t("orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+@query("joi09_anti", "SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)")
+def _(t): return t("documents").select("doc_id").join(t("labels").select("doc_id"), "doc_id", "left_anti")
 
 
 @query("joi11_theta_pairs", "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
@@ -315,8 +315,8 @@ def _(t): return t("orders").orderBy(F.desc("o_totalprice"), "o_orderkey").offse
 def _(t): return t("customer").select(F.col("c_custkey").alias("k"), F.lit("c").alias("tag")).unionByName(t("supplier").select(F.col("s_suppkey").alias("k"), F.lit("s").alias("tag")))
 
 
-@query("set05_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
-def _(t): return t("customer").select(F.col("c_custkey").alias("k")).subtract(t("orders").select("o_custkey"))
+@query("set05_except", "SELECT doc_id AS k FROM documents EXCEPT SELECT doc_id FROM labels")
+def _(t): return t("documents").select(F.col("doc_id").alias("k")).subtract(t("labels").select("doc_id"))
 
 
 @query("set04_intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
