@@ -217,7 +217,7 @@ class RunIndex:
         left = (np.repeat(end, size + 1) - np.arange(n)).astype(np.int32)  # bytes to the segment's end
 
         width = len(letters).bit_length()
-        depth = max(1, (63 - n.bit_length()) // width)
+        depth = max(1, min(length, (63 - n.bit_length()) // width))
         key = np.zeros(n, np.int64)
         for d in range(depth):
             key <<= width

@@ -135,6 +135,11 @@ def test_repeats_of_long_texts(spark):
     assert [(s.start, s.end) for s in got[5].spans] == [(0, 1_300_000)]
 
 
+def test_repeats_of_one_letter(spark):
+    rows = [(i, "-" * n) for i, n in enumerate((49, 50, 51, 80, 400, 30_000))] + [(9, "=" * 70)]
+    assert spans_of(repeats.repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == Counter(cut(rows, 50))
+
+
 def test_repeats_of_nothing(spark):
     assert repeats.repeats(spark.createDataFrame([], REPEATS)).collect() == []
 
@@ -152,6 +157,14 @@ def test_run_index_streams_least_documents():
             want[p[k : k + 50]] = min(want.get(p[k : k + 50], d), d)
     index = repeats.RunIndex(data, np.concatenate(([0], np.cumsum(size))), least, 50)
     assert index.stream(size, 50).tolist() == [want[p[k : k + 50]] for p in parts for k in range(len(p) - 49)]
+    for parts in ([b"a" * 50], [b"-" * 60, b"-" * 55], [b"ab" * 25], [b"a" * 49 + b"b", b"b" + b"a" * 49]):  # few letters and few bytes
+        size = np.array([len(p) for p in parts])
+        index = repeats.RunIndex(np.frombuffer(b"".join(parts), np.uint8), np.concatenate(([0], np.cumsum(size))), np.arange(len(parts))[::-1], 50)
+        want = {}
+        for p, d in zip(parts, range(len(parts) - 1, -1, -1), strict=True):
+            for k in range(len(p) - 49):
+                want[p[k : k + 50]] = min(want.get(p[k : k + 50], d), d)
+        assert index.stream(size, 50).tolist() == [want[p[k : k + 50]] for p in parts for k in range(len(p) - 49)]
     passage = prose(rng, 200).encode()
     parts = [passage[k : k + 70] for k in range(len(passage) - 70)]
     size = np.full(len(parts), 70)
