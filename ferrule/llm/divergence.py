@@ -23,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ferrule.llm.kernels import slices, terms
 from ferrule.llm.staging import MAX_BROADCAST, bounded, stage, text_batches

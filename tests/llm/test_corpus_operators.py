@@ -8,7 +8,6 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from ferrule.llm import divergence, lexical, repeats, staging
