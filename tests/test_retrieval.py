@@ -8,7 +8,6 @@ import re
 from collections import defaultdict
 
 import pytest
-from pyspark.sql import functions as F
 
 from ferrule.functions.stems import STOP_WORDS, stem, stems
 from ferrule.operators import contained, fulltext
