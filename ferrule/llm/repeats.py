@@ -34,7 +34,7 @@ from ferrule.llm.staging import stage, text_batches
 
 K = 24
 CHUNK_BYTES, SLICE = 1 << 22, 1 << 20
-INDEX_BYTES = 1 << 19
+INDEX_BYTES = 1 << 17
 #: Text whose anchors, and whose repeated segments, go to one task.
 TASK_BYTES = 1 << 25
 HOT = 4096
