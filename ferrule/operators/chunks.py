@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 from itertools import zip_longest
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,15 +55,27 @@ def sentence_chunks(docs: DataFrame, key: str, text: str, most: int = 500) -> Da
     return folded.select(key, F.posexplode(whole).alias("chunk", "text"))
 
 
-def _cut(docs: DataFrame, key: str, text: str, cutter: Callable[[str], list[str]]) -> DataFrame:
-    """key, chunk and text of what cutter makes of each text; a null text has no chunks."""
+#: Rows of whole texts that Spark sends to Python at once, and those that are cut before their chunks go back.
+SENT, CUT = 1000, 32
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(k, i, c) for k, t in zip(pdf[key], pdf[text], strict=True) if t for i, c in enumerate(cutter(t))]
-            yield pd.DataFrame(rows, columns=[key, "chunk", "text"])
 
-    return docs.select(key, text).mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, chunk int, text string")
+def _cut(docs: DataFrame, key: str, text: str, cutter: Callable[[str], list[str]]) -> DataFrame:
+    """key, chunk and text of what cutter makes of each text; a null text has no chunks. The session's Arrow batches are lowered to SENT rows, and a few texts at a time are held as Python's."""
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= SENT:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(SENT))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, CUT):
+                b = whole.slice(at, CUT)
+                made = [cutter(t) if t else [] for t in b.column(1).to_pylist()]
+                n = [len(m) for m in made]
+                rows = pa.array([i for i, k in enumerate(n) for _ in range(k)], pa.int64())
+                nth = pa.array([i for k in n for i in range(k)], pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), nth, pa.array([c for m in made for c in m], pa.string())], [key, "chunk", "text"])
+
+    return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, chunk int, text string")
 
 
 def _size(text: str) -> int:
