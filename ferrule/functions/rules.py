@@ -122,5 +122,7 @@ CLAIMS = {
 ABSOLUTE = ["always", "never", "all cases", "in every situation", "without exception", "guaranteed", "certainly", "definitely will", "impossible", "absolutely"]
 RECENT = ["recently", "latest", "new", "current", "2024", "2025"]
 INTERPRETING = ["interpretation", "implies", "suggests", "indicates", "likely means"]
+#: Words of which a sentence holds one at least if it makes the claim: they are sought first, as most sentences have none.
+CLAIM_WORDS = {"definitive": ["law", "act", "section", "court", "judgment", "article", "under", "according"], "case_law": ["case", "court"], "statutory": ["section", "article", "under"], "procedural": ["procedure", "process", "filing", "application", "petition"], "quantitative": ["days", "months", "years", "percent", "rupees"]}
 CLAIM_FLAGS = {name: f"HAS(s, '{pattern}')" for name, pattern in CLAIMS.items()}
 RISK_FLAGS = {"absolute": any_of("s", ABSOLUTE), "uncited_number": rf"HAS(s, '{QUANTITY}') AND NOT HAS(s, '\[doc[0-9]+\]|\[[0-9]+\]')", "recent": any_of("s", RECENT), "interpreting": any_of("s", INTERPRETING)}

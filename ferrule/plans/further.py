@@ -376,8 +376,11 @@ _SENTENCES = f"concat(coalesce(text, ''), '. ', {BODY}, ' It must always be file
 
 @query("ver02_claim_indicators", f"SELECT doc_id, k, {', '.join(f'{R.duck(f)} AS {n}' for n, f in _FLAGS.items())} FROM (SELECT doc_id, unnest(range(len(p))) AS k, lower(regexp_replace(unnest(p), '^\\s+|\\s+$', '', 'g')) AS s FROM (SELECT doc_id, string_split_regex({_SENTENCES}, '[.!?]+') AS p FROM documents)) WHERE length(s) >= 10 AND ({' OR '.join(R.duck(f) for f in R.CLAIM_FLAGS.values())})")
 def _(t):
-    each = t("documents").select("doc_id", F.posexplode(F.split(F.expr(_SENTENCES), "[.!?]+")).alias("k", "s")).withColumn("s", F.lower(F.regexp_replace("s", r"^\s+|\s+$", "")))
-    flagged = each.where("length(s) >= 10").select("doc_id", F.col("k").cast("long").alias("k"), *[R.column(f).alias(n) for n, f in _FLAGS.items()])
+    trimmed = F.transform(F.split(F.expr(_SENTENCES), "[.!?]+"), lambda s: F.lower(F.regexp_replace(s, r"^\s+|\s+$", "")))  # before they are rows: later every flag would do it again
+    each = t("documents").select("doc_id", F.posexplode(trimmed).alias("k", "s"))
+    claims = {n: R.column(f"{R.any_of('s', R.CLAIM_WORDS[n])} AND {f}") for n, f in R.CLAIM_FLAGS.items()}
+    worth = each.where("length(s) >= 10").where(R.any_of("s", sorted({w for words in R.CLAIM_WORDS.values() for w in words})))
+    flagged = worth.select("doc_id", F.col("k").cast("long").alias("k"), *[claims.get(n, R.column(f)).alias(n) for n, f in _FLAGS.items()])
     return flagged.where(" or ".join(R.CLAIM_FLAGS))
 
 
