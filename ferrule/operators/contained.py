@@ -4,7 +4,9 @@ Of the Q-grams in each window of `least` characters the one with the least hash
 its first window alone. Where the string stands in a text, the text has that seed at the same distance, so an equi-join on the seeds' hashes finds every place, and the place is checked
 against the text. Equal strings are sought once, and a text is sent to its checks once, with all its candidate strings.
 
-Strings shorter than `least` are sought by their own lengths, each with windows of just that many characters.
+Where the strings have SENT seeds at most these go to the tasks, and texts send no others.
+
+Strings shorter than `least` are sought with windows of the least of their lengths below the same power of two.
 
 Cases: null and empty strings and null texts match nothing; a text that holds a string several times gives its first place; rows with one id are rows of their own only if the
 caller's ids are unique, which is expected.
@@ -21,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAST = 16
+#: Seeds of strings that are sent to every task, so that texts give only rows that have one of them.
+SENT = 100_000
 
 
 def _seeds(text: str, least: int, q: int, first: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -40,15 +44,30 @@ def _seeds(text: str, least: int, q: int, first: bool) -> tuple[np.ndarray, np.n
     return h[at].view(np.int64), at
 
 
-def _seeded(df: DataFrame, key: str, least: int, first: bool) -> DataFrame:
-    """seed, key and at, the seed's place, of df's rows (key, text)."""
+def _few(seeded: DataFrame) -> np.ndarray | None:
+    """The distinct seeds, sorted, if they are few enough to go to every task."""
+    found = [r[0] for r in seeded.select("seed").distinct().limit(SENT + 1).collect()]
+    return np.array(sorted(found), np.int64) if len(found) <= SENT else None
+
+
+def _seeded(df: DataFrame, key: str, least: int, first: bool, wanted: np.ndarray | None = None) -> DataFrame:
+    """seed, key and at, the seed's place, of df's rows (key, text); of the `wanted` seeds alone, if they are given."""
     q = least // 2 + 1 if least > 3 else least
 
+    def kept(found: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        if wanted is None:
+            return found
+        h, at = found
+        if not len(wanted):
+            return h[:0], at[:0]
+        have = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
+        return h[have], at[have]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 64):
                 part = b.slice(i, 64)
-                found = [_seeds(t or "", least, q, first) for t in part.column("text").to_pylist()]
+                found = [kept(_seeds(t or "", least, q, first)) for t in part.column("text").to_pylist()]
                 n = [len(h) for h, _ in found]
                 ids = part.column(key).take(pa.array(np.repeat(np.arange(part.num_rows), n)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for h, _ in found])), ids, pa.array(np.concatenate([a for _, a in found]))], ["seed", key, "at"])
@@ -64,10 +83,15 @@ def contained(strings: DataFrame, texts: DataFrame, string: str, text_id: str, t
     whole = texts.select(F.col(text_id).alias("tid"), F.col(text).alias("text"))
     short = [r[0] for r in each.where(F.length("text") < least).select(F.length("text")).distinct().collect()]
     places = []
-    for size in [least, *sorted(short, reverse=True)]:
-        some = each.where(F.length("text") >= least) if size == least else each.where(F.length("text") == size)
+    brackets: dict[int, int] = {}  # of the short lengths below the same power of two the least, whose windows serve them all
+    for n in short:
+        b = n if n < 4 else n.bit_length() + 4
+        brackets[b] = min(n, brackets.get(b, n))
+    bounds = [least, *sorted(brackets.values(), reverse=True)]
+    for size, above in zip(bounds, [None, *bounds], strict=False):
+        some = each.where((F.length("text") >= size) & (F.length("text") < above if above else F.lit(True)))
         a = _seeded(some, "sid", size, True).withColumnRenamed("at", "off").distinct()
-        b = _seeded(whole, "tid", size, False)
+        b = _seeded(whole, "tid", size, False, _few(a))
         places.append(b.join(a, "seed").where("at >= off").select("tid", "sid", (F.col("at") - F.col("off") + 1).alias("place")))
     found = reduce(DataFrame.unionByName, places).groupBy("tid", "sid").agg(F.array_sort(F.collect_set("place")).alias("places"))
     by_text = found.join(sought, "sid").select("tid", F.explode("texts").alias("string"), "places").groupBy("tid").agg(F.collect_list(F.struct("string", "places")).alias("sought"))
