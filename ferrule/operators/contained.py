@@ -4,9 +4,9 @@ Of the Q-grams in each window of `least` characters the one with the least hash
 its first window alone. Where the string stands in a text, the text has that seed at the same distance, so an equi-join on the seeds' hashes finds every place, and the place is checked
 against the text. Equal strings are sought once, and a text is sent to its checks once, with all its candidate strings.
 
-Where the strings have SENT seeds at most these go to the tasks, and texts send no others.
+Where the strings have SENT seeds at most these go to the tasks, and texts send no others; else a filter of BITS bits does, which lets few others through.
 
-Strings shorter than `least` are sought with windows of the least of their lengths below the same power of two.
+Strings shorter than `least` are sought with windows of the least of their lengths below the same power of two, longer ones with windows of WIDER times `least`, whose seeds are rarer.
 
 Cases: null and empty strings and null texts match nothing; a text that holds a string several times gives its first place; rows with one id are rows of their own only if the
 caller's ids are unique, which is expected.
@@ -22,9 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ferrule.sources.store import shared_path
+
 LEAST = 16
 #: Seeds of strings that are sent to every task, so that texts give only rows that have one of them.
 SENT = 100_000
+#: Bits of the filter of more seeds, and times `least` of the windows of longer strings.
+BITS, WIDER = 1 << 27, (4, 2)
 
 
 def _seeds(text: str, least: int, q: int, first: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -34,32 +38,45 @@ def _seeds(text: str, least: int, q: int, first: bool) -> tuple[np.ndarray, np.n
         codes = codes[:least]
     if len(codes) < least:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = np.zeros(len(codes) - q + 1, np.uint64)
-    for k in range(q):
-        h = (h ^ codes[k : len(codes) - q + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h, n = (codes + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), 1
+    while n < q:  # hashes of n characters make those of twice as many, overlapping for the last
+        step = min(n, q - n)
+        h, n = (h[:-step] ^ h[:-step] >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + (h[step:] ^ h[step:] >> np.uint64(31)), n + step
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
     windows = np.lib.stride_tricks.sliding_window_view(h, least - q + 1)
     at = np.unique(np.argmin(windows, axis=1) + np.arange(len(windows)))
     return h[at].view(np.int64), at
 
 
-def _few(seeded: DataFrame) -> np.ndarray | None:
-    """The distinct seeds, sorted, if they are few enough to go to every task."""
+def _few(seeded: DataFrame) -> np.ndarray:
+    """The distinct seeds, sorted, if they are few enough to go to every task; else a filter, bit by bit, whose size doesn't depend on their number."""
     found = [r[0] for r in seeded.select("seed").distinct().limit(SENT + 1).collect()]
-    return np.array(sorted(found), np.int64) if len(found) <= SENT else None
+    if len(found) <= SENT:
+        return np.array(sorted(found), np.int64)
+    bit = F.pmod("seed", F.lit(BITS))
+    rows = seeded.groupBy(F.floor(bit / 32768).alias("at")).agg(F.bitmap_construct_agg(bit % 32768)).collect()
+    bits = np.zeros((BITS // 32768, 4096), np.uint8)
+    for at, some in rows:
+        bits[at] = np.frombuffer(some, np.uint8)
+    return bits.reshape(-1)
 
 
 def _seeded(df: DataFrame, key: str, least: int, first: bool, wanted: np.ndarray | None = None) -> DataFrame:
     """seed, key and at, the seed's place, of df's rows (key, text); of the `wanted` seeds alone, if they are given."""
     q = least // 2 + 1 if least > 3 else least
 
+    sent = None if wanted is None else df.sparkSession.sparkContext.broadcast(wanted)
+
     def kept(found: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        if wanted is None:
+        if sent is None:
             return found
-        h, at = found
+        (h, at), wanted = found, sent.value
         if not len(wanted):
             return h[:0], at[:0]
+        if wanted.dtype == np.uint8:
+            bit = h & np.int64(BITS - 1)
+            have = wanted[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1
+            return h[have], at[have]
         have = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
         return h[have], at[have]
 
@@ -79,6 +96,8 @@ def contained(strings: DataFrame, texts: DataFrame, string: str, text_id: str, t
     """string, text_id and place (from 1) of every text that contains a string. strings: the column `string`; it need not be distinct."""
     sought = strings.select(F.col(string).alias("text")).where("text <> ''").distinct().select(F.xxhash64("text", F.length("text")).alias("sid"), "text")
     sought = sought.groupBy("sid").agg(F.collect_set("text").alias("texts"))  # strings of one hash stay apart in the check
+    sought.write.parquet(path := shared_path(texts.sparkSession, "sought"))
+    sought = texts.sparkSession.read.schema(sought.schema).parquet(path)
     each = sought.select("sid", F.explode("texts").alias("text"))
     whole = texts.select(F.col(text_id).alias("tid"), F.col(text).alias("text"))
     short = [r[0] for r in each.where(F.length("text") < least).select(F.length("text")).distinct().collect()]
@@ -87,7 +106,9 @@ def contained(strings: DataFrame, texts: DataFrame, string: str, text_id: str, t
     for n in short:
         b = n if n < 4 else n.bit_length() + 4
         brackets[b] = min(n, brackets.get(b, n))
-    bounds = [least, *sorted(brackets.values(), reverse=True)]
+    longest = each.agg(F.max(F.length("text"))).first()[0] or 0
+    wide = [least * k for k in WIDER if least * k <= longest]
+    bounds = [*wide, least, *sorted(brackets.values(), reverse=True)]
     for size, above in zip(bounds, [None, *bounds], strict=False):
         some = each.where((F.length("text") >= size) & (F.length("text") < above if above else F.lit(True)))
         a = _seeded(some, "sid", size, True).withColumnRenamed("at", "off").distinct()
