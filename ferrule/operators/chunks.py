@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions.text import token_estimate, word_set
-from ferrule.operators import tables
 
 
 def word_windows(docs: DataFrame, key: str, text: str, size: int = 500, step: int = 450, least: int = 50) -> DataFrame:
@@ -296,21 +295,35 @@ def parsed_lines(docs: DataFrame, key: str, text: str, section: str = "^([0-9]+[
 def near_in_document(docs: DataFrame, key: str, text: str, percent: int = 95) -> DataFrame:
     """Every line (chunk) with kept: false if an earlier kept line of its document has the same words or a word set with Jaccard similarity percent / 100 or more. Lines without words are kept; a null text has none.
 
-    Pairs come from an equi-join on rare words within a document, each different set once; the greedy order is folded over a document's sets.
+    A document's lines are all in its row, so nothing is shuffled: a line meets the kept ones of its document that share one of its first words in order (of two sets so similar, each has one among its
+    n - ceil(percent * n / 100) + 1 first), and of these those of like size.
     """
-    lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("chunk", "line")).select(key, "chunk", F.array_sort(F.filter(word_set(F.col("line")), lambda w: w != "")).alias("words"))
-    sets = lines.where(F.size("words") > 0).groupBy(key, "words").agg(F.min("chunk").alias("first"))
-    named = sets.select(F.struct(key, "first").alias("id"), F.transform("words", lambda w: F.concat_ws("|", F.col(key).cast("string"), w)).alias("items"))
-    pairs = tables.similar_pairs(named, "id", "items", percent)
-    later = pairs.groupBy(F.col(f"y.{key}").alias(key), F.col("y.first").alias("first")).agg(F.array_sort(F.collect_list("x.first")).alias("before"))
-
-    def step(gone: set | None, row: tuple) -> tuple[set, bool]:
-        gone = set() if gone is None else gone
-        drop = any(x not in gone for x in row[2])
-        if drop:
-            gone.add(row[1])
-        return gone, drop
-
-    dropped = tables.carried(later, ["first"], None, step, "drop").where("drop").select(key, "first", "drop")
-    told = lines.join(sets.join(dropped, [key, "first"], "left"), [key, "words"], "left")
-    return told.select(key, "chunk", F.coalesce((F.col("chunk") == F.col("first")) & F.isnull("drop"), F.lit(True)).alias("kept"))
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= SENT:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(SENT))
+
+    def told(lines: list[list[str]]) -> list[bool]:
+        out, same, first = [], set(), {}
+        for words in lines:
+            own, n = frozenset(words), len(words)
+            known = own in same
+            if n and not known:
+                same.add(own)
+                heads = words[: n - (percent * n + 99) // 100 + 1]
+                known = any(100 * min(n, len(s)) >= percent * max(n, len(s)) and 100 * len(own & s) >= percent * len(own | s) for w in heads for s in first.get(w, ()))
+                if not known:
+                    for w in heads:
+                        first.setdefault(w, []).append(own)
+            out.append(not known)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, CUT):
+                b = whole.slice(at, CUT)
+                kept = [told(lines or []) for lines in b.column(1).to_pylist()]
+                ids = b.column(0).take(pa.array([i for i, k in enumerate(kept) for _ in k], pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([c for k in kept for c in range(len(k))], pa.int32()), pa.array([x for k in kept for x in k], pa.bool_())], [key, "chunk", "kept"])
+
+    words = F.transform(F.split(text, "\n"), lambda line: F.array_sort(F.filter(word_set(line), lambda w: w != "")))
+    return docs.select(key, words.alias("words")).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, chunk int, kept boolean")
