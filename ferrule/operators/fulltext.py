@@ -26,7 +26,7 @@ from ferrule.functions.stems import STOP_WORDS, stem
 from ferrule.functions.text import terms as words_of
 
 #: Ids in a window, buckets of terms, and windows of a bucket that one task writes.
-WINDOW, BUCKETS, PART = 4096, 64, 256
+WINDOW, BUCKETS, PART = 4096, 64, 32
 #: Distinct terms of all queries that are pushed down into the scan; more are joined alone.
 PUSHED = 1000
 #: Queries that a window's blocks are sent to at once.
