@@ -8,6 +8,9 @@ Where the strings have SENT seeds at most these go to the tasks, and texts send
 
 Strings shorter than `least` are sought with windows of the least of their lengths below the same power of two, longer ones with windows of WIDER times `least`, whose seeds are rarer.
 
+Where the strings are lines of the texts themselves, `lines_within` compares distinct lines: a line that stands as a whole one is found by its digest, and of the others only seeds, places and digests are shuffled,
+and the lines that may hold another.
+
 Cases: null and empty strings and null texts match nothing; a text that holds a string several times gives its first place; rows with one id are rows of their own only if the
 caller's ids are unique, which is expected.
 """
@@ -19,7 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.sources.store import shared_path
@@ -29,6 +32,8 @@ LEAST = 16
 SENT = 100_000
 #: Bits of the filter of more seeds, and times `least` of the windows of longer strings.
 BITS, WIDER = 1 << 27, (4, 2)
+#: Characters of a line that are looked at together at most; places among twice as many have 24 bits.
+PIECE = 1 << 22
 
 
 def _seeds(text: str, least: int, q: int, first: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -61,6 +66,16 @@ def _few(seeded: DataFrame) -> np.ndarray:
     return bits.reshape(-1)
 
 
+def _held(h: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which of the seeds are among the wanted ones, or seem to be by their filter."""
+    if not len(wanted):
+        return np.zeros(len(h), bool)
+    if wanted.dtype == np.uint8:
+        bit = h & np.int64(BITS - 1)
+        return wanted[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1
+    return wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
+
+
 def _seeded(df: DataFrame, key: str, least: int, first: bool, wanted: np.ndarray | None = None) -> DataFrame:
     """seed, key and at, the seed's place, of df's rows (key, text); of the `wanted` seeds alone, if they are given."""
     q = least // 2 + 1 if least > 3 else least
@@ -70,14 +85,8 @@ def _seeded(df: DataFrame, key: str, least: int, first: bool, wanted: np.ndarray
     def kept(found: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         if sent is None:
             return found
-        (h, at), wanted = found, sent.value
-        if not len(wanted):
-            return h[:0], at[:0]
-        if wanted.dtype == np.uint8:
-            bit = h & np.int64(BITS - 1)
-            have = wanted[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1
-            return h[have], at[have]
-        have = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
+        h, at = found
+        have = _held(h, sent.value)
         return h[have], at[have]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,3 +127,103 @@ def contained(strings: DataFrame, texts: DataFrame, string: str, text_id: str, t
     by_text = found.join(sought, "sid").select("tid", F.explode("texts").alias("string"), "places").groupBy("tid").agg(F.collect_list(F.struct("string", "places")).alias("sought"))
     checked = whole.join(by_text, "tid").select("tid", F.explode(F.transform("sought", lambda x: F.struct(x["string"].alias("string"), F.filter(x["places"], lambda p: F.substring(F.col("text"), p, F.length(x["string"])) == x["string"]).alias("places")))).alias("x"), )
     return checked.select(F.col("x.string").alias(string), F.col("tid").alias(text_id), F.get("x.places", F.lit(0)).alias("place")).where("place is not null")
+
+
+def digest(text: Column) -> Column:
+    """What names a line: 16 bytes of its SHA-256."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
+def _least(texts: list[str], size: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window of `size` characters of the texts put together the least hash of its grams of q characters, less its last 24 bits, and the gram's place; of equal ones the first. PIECE characters a text and 64 texts at most."""
+    h, n = (np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), 1
+    if len(h) < size:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    while n < q:
+        step = min(n, q - n)
+        h, n = (h[:-step] ^ h[:-step] >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + (h[step:] ^ h[step:] >> np.uint64(31)), n + step
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = h & ~np.uint64((1 << 24) - 1) | np.arange(len(h), dtype=np.uint64)
+    n = 1
+    while n < size - q + 1:  # least of n places, then of twice as many
+        step = min(n, size - q + 1 - n)
+        h, n = np.minimum(h[:-step], h[step:]), n + step
+    return h >> np.uint64(24), (h & np.uint64((1 << 24) - 1)).astype(np.int64)
+
+
+def _line_seeds(lines: DataFrame, least: int, first: bool, wanted: np.ndarray | None = None) -> DataFrame:
+    """seed, id, at and n, its line's length, of lines (id, text, n): of the first window of the longest size that a line has, or of all windows of all sizes, the `wanted` alone. Seeds of one size are unlike those of others."""
+    sizes = [*[least * k for k in WIDER], least]
+    sent = None if wanted is None else lines.sparkSession.sparkContext.broadcast(wanted)
+
+    def of_part(rows: list[int], bases: list[int], texts: list[str], lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Seeds, rows and places of some lines, or pieces of lines that start at `bases`."""
+        has = np.array([len(t) for t in texts])
+        starts, rows, bases = np.cumsum(has) - has, np.array(rows), np.array(bases)
+        for k, size in enumerate(sizes):
+            h, at = _least(texts, size, size // 2 + 1)
+            if first:
+                own = np.flatnonzero((lengths[rows] >= size) & ((lengths[rows] < sizes[k - 1]) if k else True))
+                h, at = h[starts[own]], at[starts[own]]
+            else:
+                own = np.repeat(np.arange(len(texts)), has)[: len(h)]
+                fits = np.flatnonzero(np.arange(len(h)) + size <= (starts + has)[own])
+                fits = fits[np.diff(at[fits], prepend=-1) != 0]
+                h, at, own = h[fits], at[fits], own[fits]
+            h = h.astype(np.int64) ^ np.int64(size << 44)
+            if sent is not None:
+                have = np.flatnonzero(_held(h, sent.value))
+                h, at, own = h[have], at[have], own[have]
+            yield h, rows[own], at - starts[own] + bases[own]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done: set[bytes] = set()
+            for i in range(0, b.num_rows, 64):
+                part = b.slice(i, 64)
+                pieces = []
+                for row, name in enumerate(part.column("id").to_pylist()):
+                    if name not in done:
+                        done.add(name)
+                        text = part.column("text")[row].as_py()
+                        pieces += [(row, c, text[c : c + PIECE + sizes[0]]) for c in range(0, max(1, len(text) - sizes[0]), PIECE)]
+                lengths, held = part.column("n").to_numpy(), []
+                for row, base, text in [*pieces, (None, 0, "")]:
+                    if held and (row is None or sum(len(t) for *_, t in held) + len(text) > 2 * PIECE):
+                        for h, rows, at in of_part(*map(list, zip(*held, strict=True)), lengths):
+                            own = pa.array(rows)
+                            yield pa.RecordBatch.from_arrays([pa.array(h), part.column("id").take(own), pa.array(at.astype(np.int32)), part.column("n").take(own)], ["seed", "id", "at", "n"])
+                        held = []
+                    held.append((row, base, text))
+
+    return lines.mapInArrow(run, "seed long, id binary, at int, n int")
+
+
+def lines_within(lines: DataFrame, least: int) -> DataFrame:
+    """id and within: the digests of every two different lines of which the second contains the first. lines: the column `line`, of `least` characters or more; it need not be distinct."""
+    each = lines.select(digest(F.col("line")).alias("id"), F.col("line").alias("text"), F.length("line").alias("n"))
+    begun = _line_seeds(each.withColumn("text", F.left("text", F.lit(least * max(WIDER)))), least, True)
+    begun.write.parquet(path := shared_path(lines.sparkSession, "begun"))
+    begun = lines.sparkSession.read.schema(begun.schema).parquet(path)
+    a = begun.select("seed", F.col("id").alias("sid"), F.col("at").alias("off"), F.col("n").alias("size")).repartition("seed").dropDuplicates()
+    b = _line_seeds(each, least, False, _few(begun))
+    may = (F.col("n") > F.col("size")) & (F.col("at") >= F.col("off")) & (F.col("at") - F.col("off") + F.col("size") <= F.col("n"))
+    pairs = b.join(a, "seed").where(may).select("id", "sid", (F.col("at") - F.col("off") + 1).alias("place"), "size").distinct()
+    pairs.write.parquet(path := shared_path(lines.sparkSession, "places"))
+    pairs = lines.sparkSession.read.schema(pairs.schema).parquet(path)
+    holders = pairs.groupBy("id").agg(F.collect_list(F.struct("sid", "place", "size")).alias("sought"))
+    some = _asked(each.withColumn("seed", F.xxhash64("id")), _few(pairs.select(F.xxhash64("id").alias("seed"))))
+    checked = some.dropDuplicates(["id"]).join(holders, "id")
+    found = checked.select(F.col("id").alias("within"), F.explode(F.filter("sought", lambda x: digest(F.substring(F.col("text"), x["place"], x["size"])) == x["sid"])["sid"]).alias("id"))
+    return found.select("id", "within").distinct()
+
+
+def _asked(rows: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """Rows whose seed is among the wanted ones, or seems to be."""
+    sent = rows.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_held(b.column("seed").to_numpy(), sent.value)))
+
+    return rows.mapInArrow(run, rows.schema)
